@@ -28,6 +28,13 @@ def op2_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op8_multi_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), 3, 3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -40,5 +47,5 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), 1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_trie_bpe, op5_minimax_sharding, op9_harmonic_packing, op10_prefix_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_trie_bpe, op5_minimax_sharding, op8_multi_index_simhash, op9_harmonic_packing, op10_prefix_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
