@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_pu import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -28,6 +34,12 @@ def op2_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op7_crf_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import apply_rules
+
+    return apply_rules(table(spark, sf_dir, "documents"))
+
+
 def op8_multi_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -47,5 +59,5 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), 1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_trie_bpe, op5_minimax_sharding, op8_multi_index_simhash, op9_harmonic_packing, op10_prefix_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_trie_bpe, op4_pu_quality, op5_minimax_sharding, op7_crf_line_rules, op8_multi_index_simhash, op9_harmonic_packing, op10_prefix_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
