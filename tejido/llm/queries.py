@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op3_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import search
+
+    return search(table(spark, sf_dir, "embeddings"), 10, 100)
+
+
 def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_pu import classify
 
@@ -59,5 +65,5 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), 1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_trie_bpe, op4_pu_quality, op5_minimax_sharding, op7_crf_line_rules, op8_multi_index_simhash, op9_harmonic_packing, op10_prefix_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_trie_bpe, op3_one_bit_neighbours, op4_pu_quality, op5_minimax_sharding, op7_crf_line_rules, op8_multi_index_simhash, op9_harmonic_packing, op10_prefix_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
