@@ -40,6 +40,13 @@ def op2_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import dedup
+
+    found = dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_crf_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import apply_rules
 
@@ -65,5 +72,5 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), 1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_trie_bpe, op3_one_bit_neighbours, op4_pu_quality, op5_minimax_sharding, op7_crf_line_rules, op8_multi_index_simhash, op9_harmonic_packing, op10_prefix_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_trie_bpe, op3_one_bit_neighbours, op4_pu_quality, op5_minimax_sharding, op6_suffix_dedup, op7_crf_line_rules, op8_multi_index_simhash, op9_harmonic_packing, op10_prefix_token_counts)}
 ORACLE_SQL: dict[str, str] = {}

@@ -117,3 +117,10 @@ def near_duplicates(docs: DataFrame, k: int = 3, distance: int = 3) -> DataFrame
     roots = components(linked(classes, distance))
     named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep(docs: DataFrame, k: int = 3, distance: int = 3) -> DataFrame:
+    """The row of each component's smallest doc_id, with all columns of docs; of several rows with that id one stays."""
+    found = near_duplicates(docs, k, distance)
+    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct()
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
