@@ -109,7 +109,7 @@ class LibraryIds:
     those with special strings or rarer scripts, take the library's whole path one by one.
     """
 
-    MOST = 500_000
+    MOST = 1_200_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -152,32 +152,48 @@ class LibraryIds:
         return True
 
     def learn(self, runs: list[bytes]) -> None:
-        hard, cut = [], {}
+        hard, one, several = [], {}, {}
         for r in runs:
             s = r.decode()
-            if self.simple and PLAIN.fullmatch(s) and not ("<" in s and any(x in s for x in self.special)):
+            if self.simple and (s.isascii() and s.isprintable() or PLAIN.fullmatch(s)) and not ("<" in s and any(x in s for x in self.special)):
                 s = s.lower()
-                cut[r] = [s] if s.isalpha() else PIECES.findall(s)
+                if s.isalpha():
+                    one[r] = s
+                else:
+                    several[r] = PIECES.findall(s)
             else:
                 hard.append(r)
-        new = {p for ps in cut.values() for p in ps} - self.pieces.keys()
+        new = {p for p in chain(one.values(), chain.from_iterable(several.values())) if p not in self.pieces}
         if new and not self.learn_pieces(list(new)):
-            hard, cut = runs, {}
-        for r, ps in cut.items():
-            self.memo[r] = b"".join(map(self.pieces.__getitem__, ps))
+            return self.whole(runs)
+        pieces = self.pieces
+        for r, p in one.items():
+            self.memo[r] = pieces[p]
+        for r, ps in several.items():
+            self.memo[r] = b"".join([pieces[p] for p in ps])
         self.whole(hard)
 
     def of(self, group: list[str]) -> Iterator[bytes]:
-        cut = [t.encode().split() for t in group]
-        if len(self.memo) > self.MOST:
-            self.memo.clear()
-        if len(self.pieces) > self.MOST:
+        memo = self.memo
+        if len(memo) > self.MOST:
+            memo.clear()
             self.pieces.clear()
-        new = {r for runs in cut for r in runs if r not in self.memo}
+        found, open_, new = [], [], set()
+        for text in group:
+            data = text.encode()
+            # Lowering A-Z here makes fewer distinct runs; special strings are told apart by case, so their texts stay.
+            runs = (data.lower() if self.simple and b"<|" not in data else data).split()
+            values = list(map(memo.get, runs))
+            missing = [i for i, v in enumerate(values) if v is None]
+            found.append(values)
+            open_.append([(i, runs[i]) for i in missing])
+            new.update(runs[i] for i in missing)
         if new:
             self.learn(list(new))
-        for runs in cut:
-            yield b"".join(map(self.memo.__getitem__, runs))
+        for values, missing in zip(found, open_):
+            for i, r in missing:
+                values[i] = memo[r]
+            yield b"".join(values)
 
 
 def lower_words(data: dict) -> bool:
