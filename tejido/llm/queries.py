@@ -28,6 +28,12 @@ def op5_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_hpylm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hpylm import score
+
+    return score(table(spark, sf_dir, "documents"), 7, 2)
+
+
 def _vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -72,5 +78,5 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), 1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_trie_bpe, op3_one_bit_neighbours, op4_pu_quality, op5_minimax_sharding, op6_suffix_dedup, op7_crf_line_rules, op8_multi_index_simhash, op9_harmonic_packing, op10_prefix_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_hpylm_scores, op2_trie_bpe, op3_one_bit_neighbours, op4_pu_quality, op5_minimax_sharding, op6_suffix_dedup, op7_crf_line_rules, op8_multi_index_simhash, op9_harmonic_packing, op10_prefix_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
