@@ -87,27 +87,32 @@ def linked(classes: DataFrame, distance: int = 3) -> DataFrame:
     """Pairs (a, b) of class ids whose fingerprints differ in at most `distance` bits; classes: (fp, id), fp distinct."""
     if distance > 3:
         raise ValueError("two segments with balls of radius one find all pairs up to distance 3 only")
-    two = F.explode(F.array(*(F.struct(F.lit(s).alias("seg"), _field(F.col("fp"), 32 * s, 32).alias("key"), _field(F.col("fp"), 32 - 32 * s, 32).alias("rest")) for s in (0, 1))))
-    held = classes.select("fp", "id", two.alias("s")).select("fp", "id", "s.*")
-    crowded = held.groupBy("seg", "key").count().where(F.col("count") > CROWDED).select("seg", "key")
-    held = written(held.join(crowded.withColumn("crowded", F.lit(True)), ["seg", "key"], "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))), "simhash-table")
-    probe = held.select("seg", F.explode(_upward(F.col("key"), 32)).alias("key"), F.col("fp").alias("fp1"), F.col("id").alias("id1"), F.col("rest").alias("rest1"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp1"))) <= distance
-    plain = held.where("not crowded").select("seg", "key", "fp", "id").join(probe.select("seg", "key", "fp1", "id1"), ["seg", "key"])
-
-    def quarters(rest: Column, ball: bool) -> Column:
-        parts = [(h, _field(rest, 16 * h, 16)) for h in (0, 1)]
-        return F.explode(F.flatten(F.array(*(F.transform(_ball(q, 16) if ball else F.array(q), lambda x, h=h: F.struct(F.lit(h).alias("half"), x.alias("quarter"))) for h, q in parts))))
-
-    full = held.where("crowded").select("seg", "key", "fp", "id", quarters(F.col("rest"), False).alias("q")).select("seg", "key", "q.*", "fp", "id")
-    asked = (
-        probe.join(crowded, ["seg", "key"], "left_semi")
-        .select("seg", "key", "fp1", "id1", quarters(F.col("rest1"), True).alias("q"))
-        .select("seg", "key", "q.*", "fp1", "id1")
-    )
-    fine = full.join(asked, ["seg", "key", "half", "quarter"])
-    pairs = [j.where((F.col("id") != F.col("id1")) & near).select(F.least("id", "id1").alias("a"), F.greatest("id", "id1").alias("b")) for j in (plain, fine)]
-    return pairs[0].unionByName(pairs[1]).distinct()
+    # A segment's number is kept above its 32 bits, so that one long is the key.
+    two = F.explode(F.array(*(F.struct(F.lit(s << 32).bitwiseOR(_field(F.col("fp"), 32 * s, 32)).alias("key"), _field(F.col("fp"), 32 - 32 * s, 32).alias("rest")) for s in (0, 1))))
+    held = classes.select("fp", two.alias("s")).select("fp", "s.*")
+    crowded = written(held.groupBy("key").count().where(F.col("count") > CROWDED).select("key"), "simhash-crowded")
+    probe = held.select(F.explode(_upward(F.col("key"), 32)).alias("key"), F.col("fp").alias("fp1"), F.col("rest").alias("rest1"))
+    near = (F.col("fp") != F.col("fp1")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp1"))) <= distance)
+    # Both sides are dealt by the key at every size: the table is never sent to all tasks.
+    if crowded.isEmpty():
+        pairs = held.select("key", "fp").hint("merge").join(probe.select("key", "fp1"), "key").where(near).select("fp", "fp1")
+    else:
+
+        def marked(bit: int):
+            return lambda x: x.bitwiseOR(bit)
+
+        def quarters(rest: Column, ball: bool) -> Column:
+            parts = [(h, _field(rest, 16 * h, 16)) for h in (0, 1)]
+            return F.explode(F.flatten(F.array(*(F.transform(_ball(q, 16) if ball else F.array(q), marked(h << 16)) for h, q in parts))))
+
+        plain = held.select("key", "fp").join(crowded, "key", "left_anti").hint("merge").join(probe.select("key", "fp1"), "key")
+        full = held.join(crowded, "key", "left_semi").select("key", "fp", quarters(F.col("rest"), False).alias("quarter"))
+        asked = probe.join(crowded, "key", "left_semi").select("key", "fp1", quarters(F.col("rest1"), True).alias("quarter"))
+        fine = full.hint("merge").join(asked, ["key", "quarter"])
+        pairs = plain.where(near).select("fp", "fp1").unionByName(fine.where(near).select("fp", "fp1"))
+    pairs = written(pairs.distinct(), "simhash-pairs")
+    name = lambda old, new: classes.select(F.col("fp").alias(old), F.col("id").alias(new))
+    return pairs.join(name("fp", "a"), "fp").join(name("fp1", "b"), "fp1").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, distance: int = 3) -> DataFrame:
