@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def _cents(number: Column) -> Column:
-    return F.bround(number.try_cast("decimal(28,6)") * 100).cast("long") if hasattr(number, "try_cast") else F.bround(number.cast("decimal(28,6)") * 100).cast("long")
+    return F.bround(number.try_cast("decimal(28,6)") * 100).cast("long")
 
 
 def parse_money(c: Column) -> Column:

@@ -167,7 +167,7 @@ def shaped(rows: DataFrame) -> DataFrame:
         out = out.withColumn("price_retail", F.nullif(F.col("price_retail_cents"), F.lit(0)) / 100)
     if "images" in rows.columns:
         urls = F.filter(F.transform("images", lambda i: i["url"]), lambda u: u.isNotNull())
-        out = out.withColumn("images", F.slice(urls, 1, 3)).withColumn("image", F.get(urls, F.lit(0)))
+        out = out.withColumns({"images": F.slice(urls, 1, 3), "image": F.get(urls, F.lit(0))})
     return out
 
 
