@@ -1,2 +1,157 @@
+"""Dashboard, window, gender and quality queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import analytics as A
+from ..operators import quality as Q
+from .frames import NOW, POINT_SQL, PRODUCT_SQL, STORE_SQL, points, products, stores, table
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+_TS = f"TIMESTAMP '{NOW}'"
+
+
+@query(
+    f"""WITH {PRODUCT_SQL}, {STORE_SQL} SELECT (SELECT count(*) FROM product) AS products, (SELECT count(embedding) FROM product) AS with_embedding,
+    (SELECT count(DISTINCT seller) FROM product WHERE store_slug = 'avellaneda') AS sellers, (SELECT count(DISTINCT brand) FROM product WHERE store_slug <> 'avellaneda') AS brands,
+    (SELECT count(*) FROM lineitem) AS variants, (SELECT count(*) FROM events) AS price_points, (SELECT count(*) FROM store) AS stores"""
+)
+def stats_overview(spark, sf_dir):
+    return A.overview(products(spark, sf_dir), table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "events"), stores(spark, sf_dir))
+
+
+@query(f"WITH {PRODUCT_SQL} SELECT store_slug, count(*) AS n, quantile_cont(price_min_cents, 0.5) / 100 AS median_price FROM product GROUP BY 1")
+def stats_by_store(spark, sf_dir):
+    return A.by_store(products(spark, sf_dir))
+
+
+@query(f"WITH {PRODUCT_SQL} SELECT coalesce(category, '(sin clasificar)') AS category, count(*) AS n FROM product GROUP BY 1 ORDER BY n DESC, category LIMIT 10")
+def stats_top_categories(spark, sf_dir):
+    return A.top_categories(products(spark, sf_dir))
+
+
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 10) AS above, count(DISTINCT user_id) AS users, round(max(value), 2) AS top FROM events GROUP BY 1")
+def conditional_counts(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 10).alias("above"), F.count_distinct("user_id").alias("users"), F.round(F.max("value"), 2).alias("top"))
+
+
+_RECENT = f"recent AS (SELECT * FROM point WHERE observed_at >= {_TS} - INTERVAL 7 DAYS)"
+
+
+@query(
+    f"""WITH {POINT_SQL}, {_RECENT} SELECT product_uid, variant_external_id, observed_at, amount_cents, first_value(amount_cents) OVER w AS price_now, last_value(amount_cents) OVER w AS price_before FROM recent
+    WINDOW w AS (PARTITION BY product_uid ORDER BY observed_at DESC, variant_external_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+)
+def price_window_7d(spark, sf_dir):
+    return A.price_window(points(spark, sf_dir), F.expr(_TS)).withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
+
+
+@query(
+    f"""WITH {POINT_SQL}, {_RECENT}, ends AS (SELECT product_uid, arg_max(amount_cents, (observed_at, variant_external_id)) AS price_now, arg_min(amount_cents, (observed_at, variant_external_id)) AS price_before FROM recent GROUP BY 1)
+    SELECT *, round(100 * (1 - price_now / price_before), 2) AS drop_pct FROM ends WHERE price_now < price_before"""
+)
+def price_drops(spark, sf_dir):
+    return A.price_drops(points(spark, sf_dir), F.expr(_TS))
+
+
+_DOMINANT = """counts AS (SELECT store_slug, gender, count(*) AS n FROM {src} WHERE gender IN ('women', 'men', 'kids') GROUP BY ALL),
+    totals AS (SELECT store_slug, sum(n)::BIGINT AS n, max(n) AS top, arg_max(gender, (n, gender)) AS gender FROM counts GROUP BY 1), dominant AS (SELECT store_slug, gender, n, top / n AS share FROM totals WHERE n >= {least} AND top / n >= {share})"""
+
+
+@query(f"WITH {PRODUCT_SQL}, {_DOMINANT.format(src='product', least=5, share=0.5)} SELECT * FROM dominant")
+def dominant_label(spark, sf_dir):
+    return A.dominant_gender(products(spark, sf_dir), 5, 0.5)
+
+
+@query(
+    f"""WITH {PRODUCT_SQL}, first AS (SELECT product_uid, store_slug, CASE WHEN gender NOT IN ('women', 'men', 'kids') AND category IN ('dresses', 'skirts', 'lingerie') THEN 'women' ELSE gender END AS gender FROM product),
+    {_DOMINANT.format(src='first', least=5, share=0.5)} SELECT product_uid, CASE WHEN f.gender NOT IN ('women', 'men', 'kids') AND d.gender IS NOT NULL THEN d.gender ELSE f.gender END AS gender FROM first f LEFT JOIN dominant d USING (store_slug)"""
+)
+def complete_gender(spark, sf_dir):
+    return A.complete_gender(products(spark, sf_dir), 5, 0.5).select("product_uid", "gender")
+
+
+@query(
+    """SELECT l_orderkey, min(l_extendedprice) AS price_min, max(l_extendedprice) AS price_max, bool_or(l_returnflag = 'N') AS in_stock, count(*) AS variants,
+    arg_min(l_linenumber, (l_extendedprice, l_linenumber)) AS cheapest FROM lineitem GROUP BY 1"""
+)
+def variant_rollup(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.min("l_extendedprice").alias("price_min"), F.max("l_extendedprice").alias("price_max"), F.bool_or(F.col("l_returnflag") == "N").alias("in_stock"), F.count("*").alias("variants"),
+        F.min_by("l_linenumber", F.struct("l_extendedprice", "l_linenumber")).alias("cheapest"),
+    )
+
+
+@query("SELECT category, n, round(n / sum(n) OVER (), 6) AS share FROM (SELECT p_type AS category, count(*) AS n FROM part GROUP BY 1)")
+def counter_shares(spark, sf_dir):
+    from pyspark.sql import Window
+
+    counts = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("category")).agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+
+
+_COVER = (
+    "avg((coalesce(title, '') <> '')::INT) AS title, avg((price_min_cents > 0)::INT) AS price, avg((coalesce(url, '') <> '')::INT) AS url, avg(has_image::INT) AS images, "
+    "avg((category IS NOT NULL)::INT) AS category, avg((coalesce(description, '') <> '')::INT) AS description"
+)
+
+
+@query(f"WITH {PRODUCT_SQL} SELECT {_COVER} FROM product")
+def quality_coverage(spark, sf_dir):
+    return Q.coverage(products(spark, sf_dir))
+
+
+@query(
+    f"""WITH {PRODUCT_SQL} SELECT quantile_cont(price_min_cents, 0.5) AS median_cents, avg((price_min_cents % 100000 = 0)::INT) AS round_share, count(*) FILTER (WHERE compare_at_cents <= price_min_cents) AS inverted,
+    count(*) AS n, count(DISTINCT product_uid) AS uids, count(DISTINCT title_normalized) AS titles, count(*) FILTER (WHERE color = '42') AS odd_colors FROM product"""
+)
+def quality_measures(spark, sf_dir):
+    return Q.measures(products(spark, sf_dir)).select("median_cents", "round_share", "inverted", "n", "uids", "titles", "odd_colors")
+
+
+@query(
+    f"""WITH {PRODUCT_SQL}, m AS (SELECT {_COVER}, count(*) AS n, quantile_cont(price_min_cents, 0.5) AS median, count(*) FILTER (WHERE color = '42') AS odd, count(*) FILTER (WHERE compare_at_cents <= price_min_cents) AS inverted FROM product)
+    SELECT * FROM (SELECT 'block' AS severity, 'semantica:color-numerico' AS "check", odd / n AS ratio FROM m UNION ALL SELECT 'warn', 'precio:descuento-invertido', inverted / n FROM m
+    UNION ALL SELECT 'info', 'cobertura:description', description FROM m WHERE description < 0.4 UNION ALL SELECT 'warn', 'deriva:cantidad', (n - 100) / 100 FROM m UNION ALL SELECT 'block', 'deriva:precio', median / 1000 FROM m
+    UNION ALL SELECT 'warn', 'deriva:cobertura:description', description - 0.9 FROM m UNION ALL SELECT 'block', 'completitud', n / (n * 2) FROM m)"""
+)
+def quality_findings(spark, sf_dir):
+    p = products(spark, sf_dir)
+    n = p.count()
+    found = Q.validate(p, {"n_products": 100, "median_price_cents": 1000, "coverage": {"description": 0.9, "title": 1.0}}, expected=2 * n)
+    return found.select("severity", "check", "ratio")
+
+
+@query("SELECT doc_id, regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') OR length(text) - length(replace(text, '�', '')) > 1 AS undecoded FROM documents")
+def quality_content(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", Q.undecoded(F.col("text")).alias("undecoded"))
+
+
+@query(f"WITH {PRODUCT_SQL} SELECT count(*) AS n_products, cast(trunc(quantile_cont(price_min_cents, 0.5)) AS BIGINT) AS median_price_cents, avg((coalesce(description, '') <> '')::INT) AS description FROM product")
+def quality_baseline(spark, sf_dir):
+    return Q.baseline(products(spark, sf_dir)).select("n_products", "median_price_cents", F.col("coverage.description").alias("description"))
+
+
+@query("WITH e AS (SELECT event_type, list_sort(list(value)) AS xs FROM events GROUP BY 1) SELECT event_type, xs[1 + len(xs) // 2] AS upper_median FROM e")
+def latency_upper_median(spark, sf_dir):
+    """The upper of the two middle values; as a percentile by rank it needs no list in one place."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("event_type")
+    e = table(spark, sf_dir, "events")
+    ranked = e.withColumn("i", F.row_number().over(w.orderBy("value"))).withColumn("n", F.count("*").over(w))
+    return ranked.where(F.col("i") == 1 + F.floor(F.col("n") / 2)).select("event_type", F.col("value").alias("upper_median"))

@@ -1,2 +1,289 @@
+"""Queries over tables that change: upserts, appends, diffs, subsets, streams; and the platform mappers."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import analytics as A
+from ..operators import storage as K
+from ..sources import platforms as P
+from ..streaming import price_stream as T
+from .frames import COLORS, GARMENTS, NOW, POINT_SQL, PRODUCT_SQL, STORE_SQL, at, points, products, sql_at, stores, table
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+_TS = f"TIMESTAMP '{NOW}'"
+_OLD = "old AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_totalprice AS price, o_orderpriority AS kept FROM orders WHERE o_orderkey % 3 <> 0)"
+_NEW = "new AS (SELECT o_orderkey AS k, 'X' AS status, o_totalprice + 1 AS price FROM orders WHERE o_orderkey % 2 = 0)"
+
+
+def _old_new(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, sf_dir, "orders")
+    old = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("kept"))
+    new = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.lit("X").alias("status"), (F.col("o_totalprice") + 1).alias("price"))
+    return old, new
+
+
+@query(f"WITH {_OLD}, {_NEW} SELECT coalesce(n.k, o.k) AS k, CASE WHEN n.k IS NOT NULL THEN n.status ELSE o.status END AS status, CASE WHEN n.k IS NOT NULL THEN n.price ELSE o.price END AS price, CASE WHEN o.k IS NOT NULL THEN o.kept ELSE 'first' END AS kept FROM old o FULL JOIN new n ON o.k = n.k")
+def upsert_merge(spark, sf_dir):
+    old, new = _old_new(spark, sf_dir)
+    return K.upsert(old, new, ["k"], preserved={"kept": F.lit("first")})
+
+
+@query(f"WITH {_OLD}, {_NEW} SELECT coalesce(n.k, o.k) AS k, CASE WHEN o.k IS NOT NULL THEN o.status ELSE n.status END AS status, CASE WHEN n.k IS NOT NULL THEN n.price ELSE o.price END AS price, o.kept AS kept FROM old o FULL JOIN new n ON o.k = n.k")
+def upsert_some_columns(spark, sf_dir):
+    old, new = _old_new(spark, sf_dir)
+    return K.upsert(old, new, ["k"], update_only=["price"])
+
+
+@query(f"WITH {POINT_SQL} SELECT product_uid, variant_external_id, observed_at, amount_cents FROM point WHERE variant_external_id::BIGINT % 4 = 0")
+def price_point_append(spark, sf_dir):
+    """Three quarters are there already; what is new comes twice."""
+    p = points(spark, sf_dir)
+    there = p.where(F.col("variant_external_id").cast("long") % 4 != 0)
+    return K.new_points(p.unionByName(p), there).withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0")
+def hash_diff(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.md5(F.col("o_totalprice").cast("string")).alias("content_hash"))
+    before = o.where("o_orderkey % 3 <> 0").withColumn("content_hash", F.when(F.col("o_orderkey") % 5 == 0, "old").otherwise(F.col("content_hash")))
+    return K.changed(o, before, "o_orderkey").select("o_orderkey")
+
+
+@query(f"WITH {PRODUCT_SQL}, {STORE_SQL}, seen AS (SELECT store_slug AS slug, max(scraped_at) AS at FROM product GROUP BY 1) SELECT slug, name, coalesce(seen.at, last_crawl) AS last_crawl FROM store LEFT JOIN seen USING (slug)")
+def seal_last_crawl(spark, sf_dir):
+    return K.seal(stores(spark, sf_dir), products(spark, sf_dir)).select("slug", "name", F.col("last_crawl").cast("timestamp_ntz").alias("last_crawl"))
+
+
+@query("SELECT o_custkey AS run_id, max(o_orderdate) AS finished_at FROM orders GROUP BY 1")
+def crawl_run_latest(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderdate").alias("started_at"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate")).alias("finished_at"))
+    return K.finish_runs(o).select("run_id", F.coalesce("finished_at", "started_at").alias("finished_at"))
+
+
+@query(f"WITH {PRODUCT_SQL} SELECT product_uid FROM product WHERE embedding IS NULL OR (description_ia IS NOT NULL AND embedding_ia_at IS DISTINCT FROM description_ia_at)")
+def pending_embedding(spark, sf_dir):
+    return K.pending_embedding(products(spark, sf_dir)).select("product_uid")
+
+
+@query(f"WITH {PRODUCT_SQL} SELECT product_uid, title, 'https://img/' || key AS image_url, store_slug FROM product WHERE (description IS NULL OR length(trim(description)) < 20) AND description_ia IS NULL AND has_image")
+def pending_description(spark, sf_dir):
+    return K.pending_description(products(spark, sf_dir))
+
+
+@query(f"WITH {PRODUCT_SQL} SELECT product_uid, CASE WHEN key % 9 = 0 THEN 7 ELSE embedding END AS embedding, CASE WHEN key % 9 = 0 THEN description_ia_at ELSE embedding_ia_at END AS embedding_ia_at FROM product")
+def set_embeddings(spark, sf_dir):
+    p = products(spark, sf_dir)
+    return K.set_embeddings(p, p.where("key % 9 = 0").select("product_uid", F.lit(7).alias("embedding"))).select("product_uid", "embedding", "embedding_ia_at")
+
+
+@query(f"WITH {PRODUCT_SQL} (SELECT product_uid, store_slug FROM product WHERE store_slug IN ('tienda1', 'tienda2')) UNION ALL (SELECT product_uid, store_slug FROM product WHERE store_slug = 'avellaneda' ORDER BY scraped_at DESC, product_uid LIMIT 50)")
+def demo_subset(spark, sf_dir):
+    return K.subset(products(spark, sf_dir), ["tienda1", "tienda2"], {"avellaneda": 50}, F.desc("scraped_at")).select("product_uid", "store_slug")
+
+
+@query(f"WITH {PRODUCT_SQL}, picked AS (SELECT key FROM product WHERE store_slug = 'tienda1') SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT key FROM picked)")
+def demo_dependents(spark, sf_dir):
+    picked = products(spark, sf_dir).where("store_slug = 'tienda1'").select("key")
+    return table(spark, sf_dir, "lineitem").join(picked, F.col("l_partkey") == F.col("key"), "left_semi").select("l_orderkey", "l_linenumber")
+
+
+@query(f"WITH {PRODUCT_SQL} SELECT l_orderkey, l_linenumber FROM lineitem LEFT JOIN (SELECT key FROM product WHERE key % 2 = 0) p ON p.key = l_partkey WHERE p.key IS NULL")
+def orphan_check(spark, sf_dir):
+    parents = products(spark, sf_dir).where("key % 2 = 0").select(F.col("key").alias("l_partkey"))
+    return K.orphans(table(spark, sf_dir, "lineitem"), parents, "l_partkey").select("l_orderkey", "l_linenumber")
+
+
+@query(f"WITH {PRODUCT_SQL}, {POINT_SQL} SELECT product_uid, title, (SELECT count(*) FROM lineitem WHERE l_partkey = 7) AS variants, least(60, (SELECT count(*) FROM point WHERE product_uid = '7')) AS history, (SELECT max(observed_at) FROM point WHERE product_uid = '7') AS newest FROM product WHERE product_uid = '7'")
+def product_detail(spark, sf_dir):
+    v = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("product_uid"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("external_id"), "l_extendedprice")
+    d = A.detail(products(spark, sf_dir), v, points(spark, sf_dir), "7")
+    return d.select("product_uid", "title", F.size("variants").cast("long").alias("variants"), F.size("history").cast("long").alias("history"), F.col("history")[0]["observed_at"].cast("timestamp_ntz").alias("newest"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 4 <> 0")
+def pending_urls(spark, sf_dir):
+    """All addresses less those done or skipped."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    done, skipped = o.where("o_orderkey % 4 = 0"), o.where("o_orderkey % 8 = 0")
+    return o.join(done.union(skipped).distinct(), "o_orderkey", "left_anti")
+
+
+def _through_stream(spark: SparkSession, sf_dir: str, build, mode: str) -> DataFrame:
+    """Runs a stream over the events table's file to its end and reads the sink."""
+    name = f"stream_{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{sf_dir}/[e]vents.parquet")
+    run = build(events).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_window_counts(spark, sf_dir):
+    out = _through_stream(spark, sf_dir, T.window_counts, "complete")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT event_id, user_id FROM events")
+def stream_dedup_append(spark, sf_dir):
+    """Every event comes twice and is appended once."""
+    return _through_stream(spark, sf_dir, lambda e: T.once(e.unionByName(e), ["event_id"]), "append").select("event_id", "user_id")
+
+
+@query()
+def rate_controller(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("host"), "ts", F.when(F.col("event_type") == "error", 503).otherwise(200).alias("status"), (F.col("value") / 100).alias("latency"))
+    return T.rate_controller(e)
+
+
+@query()
+def two_key_dedup(spark, sf_dir):
+    """The first row of each model and of each id, in order, within a store."""
+    p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 10).alias("store"), "p_partkey", F.col("p_name").alias("model"), (F.col("p_partkey") % 77).cast("string").alias("id"))
+    return A.keep_first_of_two_keys(p, "store", "p_partkey", "model", "id")
+
+
+# --- platform mappers: raw shop records made from part, mapped, and compared with what they were made from
+
+_TITLE = f"{sql_at(GARMENTS, 'p_partkey')} || ' ' || p_name"
+_CENTS = "cast(round_even(p_retailprice * 100, 0) AS BIGINT)"
+_COLOR = sql_at(COLORS, "p_partkey")
+_FAMILY = sql_at(("black", "red", "white", "green", "blue", "white", None), "p_partkey")
+
+
+def _base(spark, sf_dir) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").withColumns({
+        "t": F.concat_ws(" ", at(GARMENTS, k), "p_name"), "c": at(COLORS, k), "price": F.bround("p_retailprice", 2), "handle": F.concat(F.lit("item-"), k.cast("string")), "ok": k % 3 != 0,
+    })
+
+
+def _digest(mapped: DataFrame) -> DataFrame:
+    v = F.col("variants")
+    return mapped.select(
+        "product_uid", "title", F.col("price_min.amount_cents").alias("low"), F.col("price_max.amount_cents").alias("high"), F.col("price_min.compare_at_cents").alias("listed"), "availability",
+        F.size(v).cast("long").alias("n_variants"), v[0]["color"]["normalized"].alias("color"), v[0]["size"]["normalized"].alias("size"), F.array_join("sizes_available", ",").alias("sizes"),
+    )
+
+
+_SIZE_OK = "CASE WHEN p_size < 1 THEN NULL ELSE cast(p_size AS VARCHAR) END"
+_STATE = "CASE WHEN p_partkey % 3 <> 0 THEN 'in_stock' ELSE 'out_of_stock' END"
+_TWO = f"CASE WHEN p_partkey % 3 <> 0 THEN {_SIZE_OK} ELSE '' END"
+
+
+@query(
+    f"SELECT 'shop:' || p_partkey AS product_uid, {_TITLE} AS title, {_CENTS} AS low, {_CENTS} + 1000 AS high, {_CENTS} + 5000 AS listed, {_STATE} AS availability, 2::BIGINT AS n_variants, {_FAMILY} AS color, {_SIZE_OK} AS size, {_TWO} AS sizes FROM part WHERE p_partkey % 11 <> 0"
+)
+def map_shopify(spark, sf_dir):
+    money = lambda c: F.format_string("%.2f", c)
+    v = lambda i, extra, ok: F.struct(
+        (F.col("p_partkey") * 10 + i).alias("id"), F.col("c").alias("option1"), F.col("p_size").cast("string").alias("option2"), F.lit(None).cast("string").alias("option3"), F.lit("S").alias("sku"),
+        F.struct(F.lit(None).cast("string").alias("src")).alias("featured_image"), ok.alias("available"), money(F.col("price") + extra).alias("price"), F.when(F.lit(i) == 0, money(F.col("price") + 50)).otherwise("0.00").alias("compare_at_price"),
+    )
+    raw = _base(spark, sf_dir).select(
+        F.when(F.col("p_partkey") % 11 != 0, F.col("p_partkey")).alias("id"), F.col("t").alias("title"), "handle", F.lit("<p>hola</p>").alias("body_html"), F.lit("Marca").alias("vendor"), F.lit("").alias("product_type"), F.array(F.lit("a")).alias("tags"),
+        F.array(F.struct(F.lit("Color").alias("name")), F.struct(F.lit("Talle").alias("name"))).alias("options"), F.array(v(0, 0, F.col("ok")), v(1, 10, F.lit(False))).alias("variants"), F.array().cast("array<struct<src:string,position:int,width:int,height:int>>").alias("images"),
+    )
+    landed = raw.select(F.to_json(F.struct("*")).alias("line")).select(F.from_json("line", P.SHOPIFY).alias("r")).select("r.*")
+    return _digest(P.shopify(landed.where("id IS NOT NULL"), "shop", "shop.com", "Tienda"))
+
+
+@query(
+    f"SELECT 'vtex:' || p_partkey AS product_uid, {_TITLE} AS title, {_CENTS} AS low, {_CENTS} AS high, {_CENTS} + 5000 AS listed, {_STATE} AS availability, 1::BIGINT AS n_variants, {_FAMILY} AS color, {_SIZE_OK} AS size, {_TWO} AS sizes FROM part"
+)
+def map_vtex(spark, sf_dir):
+    offer = F.struct(F.struct(F.col("price").alias("Price"), (F.col("price") + 50).alias("ListPrice"), F.lit(3).alias("AvailableQuantity"), F.col("ok").alias("IsAvailable")).alias("commertialOffer"))
+    item = F.struct(F.col("p_partkey").cast("string").alias("itemId"), F.array(F.lit("Color"), F.lit("Talle")).alias("variations"), F.array("c").alias("Color"), F.array(F.col("p_size").cast("string")).alias("Talle"), F.array(offer).alias("sellers"))
+    raw = _base(spark, sf_dir).select(F.to_json(F.struct(F.col("p_partkey").cast("string").alias("productId"), F.col("t").alias("productName"), F.col("handle").alias("linkText"), F.array(F.lit("/Ropa/Varios/")).alias("categories"), F.array(item).alias("items"))).alias("line"))
+    return _digest(P.vtex(raw.select(F.from_json("line", P.VTEX).alias("r")).select("r.*"), "vtex", "v.com", "Tienda"))
+
+
+@query(
+    f"SELECT 'mag:k' || p_partkey AS product_uid, {_TITLE} AS title, {_CENTS} AS low, {_CENTS} AS high, CASE WHEN p_partkey % 2 = 0 THEN {_CENTS} + 5000 END AS listed, {_STATE} AS availability, 1::BIGINT AS n_variants, CASE WHEN p_partkey % 4 <> 1 THEN {_FAMILY} END AS color, CASE WHEN p_partkey % 4 <> 1 THEN {_SIZE_OK} END AS size, CASE WHEN p_partkey % 4 <> 1 THEN {_TWO} ELSE '' END AS sizes FROM part"
+)
+def map_magento(spark, sf_dir):
+    """Every fourth is a simple product; variants have no price of their own."""
+    own = F.struct(F.struct(F.struct(F.col("price").alias("value")).alias("final_price"), F.struct(F.when(F.col("p_partkey") % 2 == 0, F.col("price") + 50).otherwise(F.lit(0.0)).alias("value")).alias("regular_price")).alias("minimum_price"))
+    state = F.when(F.col("ok"), "IN_STOCK").otherwise("OUT_OF_STOCK")
+    attrs = F.array(F.struct(F.lit("color").alias("code"), F.col("c").alias("label")), F.struct(F.lit("talle").alias("code"), F.col("p_size").cast("string").alias("label")))
+    v = F.struct(attrs.alias("attributes"), F.struct(F.concat(F.lit("v"), F.col("p_partkey").cast("string")).alias("sku"), state.alias("stock_status")).alias("product"))
+    raw = _base(spark, sf_dir).select(F.to_json(F.struct(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("sku"), F.col("t").alias("name"), F.col("handle").alias("url_key"), state.alias("stock_status"), own.alias("price_range"), F.when(F.col("p_partkey") % 4 != 1, F.array(v)).alias("variants"))).alias("line"))
+    return _digest(P.magento(raw.select(F.from_json("line", P.MAGENTO).alias("r")).select("r.*"), "mag", "m.com", "Tienda"))
+
+
+@query(
+    f"SELECT 'zara:' || p_partkey AS product_uid, {_TITLE} AS title, {_CENTS} AS low, {_CENTS} AS high, CASE WHEN p_partkey % 2 = 0 THEN {_CENTS} + 5000 END AS listed, {_STATE} AS availability, 1::BIGINT AS n_variants, CASE WHEN p_partkey % 4 <> 1 THEN {_FAMILY} END AS color, NULL AS size, '' AS sizes FROM part"
+)
+def map_zara(spark, sf_dir):
+    detail = F.struct(F.lit("0354-S2026").alias("reference"), F.when(F.col("p_partkey") % 4 != 1, F.array(F.struct(F.lit("1").alias("id"), F.col("c").alias("name")))).alias("colors"))
+    raw = _base(spark, sf_dir).select(F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("t").alias("name"), F.bround(F.col("price") * 100).alias("price"), F.when(F.col("p_partkey") % 2 == 0, F.bround(F.col("price") * 100) + 5000).alias("oldPrice"), F.when(F.col("ok"), "in_stock").otherwise("out_of_stock").alias("availability"), F.lit("WOMAN").alias("sectionName"), detail.alias("detail"))).alias("line"))
+    return _digest(P.zara(raw.select(F.from_json("line", P.ZARA).alias("r")).select("r.*"), "zara", "https://z.com", "Tienda"))
+
+
+@query("SELECT s_suppkey, [cast(s_suppkey AS VARCHAR), s_suppkey || 'b', s_suppkey || 'c'] AS ids FROM supplier")
+def category_tree(spark, sf_dir):
+    """A menu of three levels, with a heading that has no section between."""
+    k = F.col("s_suppkey").cast("string")
+    tree = F.format_string('[{"id":"%s","sectionName":"W","name":"a","subcategories":[{"id":"x","name":"head","subcategories":[{"id":"%sc","sectionName":"M","name":"c"}]},{"id":"%sb","sectionName":"W","name":"b"}]}]', k, k, k)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.transform(P.flat_categories(tree), lambda n: n["id"]).alias("ids"))
+
+
+def _pages(spark, sf_dir, html) -> DataFrame:
+    url = F.concat(F.lit("https://shop.com/producto/"), F.col("handle"))
+    return _base(spark, sf_dir).select(url.alias("url"), html.alias("html"))
+
+
+_LD = '<html><head><script type="application/ld+json">%s</script></head><body><p>x</p></body></html>'
+
+
+@query(
+    f"SELECT 'gen:sku-' || p_partkey AS product_uid, {_TITLE} AS title, {_CENTS} AS low, {_CENTS} AS high, NULL::BIGINT AS listed, {_STATE} AS availability, 1::BIGINT AS n_variants, CASE WHEN p_partkey % 2 = 0 THEN {_FAMILY} END AS color, CASE WHEN p_partkey % 2 = 0 AND {_COLOR} = '42' THEN '42' END AS size, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 <> 0 THEN {_COLOR} ELSE '' END AS sizes FROM part WHERE p_partkey % 5 <> 0"
+)
+def map_generic_pages(spark, sf_dir):
+    """A product inside a graph; every fifth page describes something else."""
+    offer = F.struct(F.col("price").alias("price"), F.when(F.col("ok"), "https://schema.org/InStock").otherwise("https://schema.org/OutOfStock").alias("availability"), F.when(F.col("p_partkey") % 2 == 0, F.col("c")).otherwise("").alias("name"))
+    node = F.to_json(F.struct(F.when(F.col("p_partkey") % 5 != 0, "Product").otherwise("Article").alias("@type"), F.col("t").alias("name"), F.concat(F.lit("SKU "), F.col("p_partkey").cast("string")).alias("sku"), offer.alias("offers")))
+    html = F.format_string(_LD, F.concat(F.lit('{"@graph":[{"@type":"WebSite"},'), node, F.lit("]}")))
+    return _digest(P.generic_pages(_pages(spark, sf_dir, html), "gen", "Tienda"))
+
+
+@query(
+    f"SELECT 'tn:' || (p_partkey + 1) AS product_uid, {_TITLE} AS title, {_CENTS} AS low, {_CENTS} AS high, {_CENTS} + 5000 AS listed, {_STATE} AS availability, 1::BIGINT AS n_variants, {_FAMILY} AS color, {_SIZE_OK} AS size, {_TWO} AS sizes FROM part WHERE p_partkey % 5 <> 0"
+)
+def map_tiendanube(spark, sf_dir):
+    """Labels name the options; every fifth page is about another address."""
+    variants = F.to_json(F.array(F.struct((F.col("p_partkey") + 1).alias("product_id"), F.col("p_partkey").alias("id"), F.col("price").alias("price_number"), F.bround(F.col("price") * 100).cast("long").alias("price_number_raw"), (F.col("price") + 50).alias("compare_at_price_number"), F.col("ok").alias("available"), F.col("p_size").cast("string").alias("option0"), F.col("c").alias("option1"))))
+    about = F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit("https://shop.com/producto/"), "handle")).otherwise("https://shop.com/error/")
+    ld = F.to_json(F.struct(F.lit("WebPage").alias("@type"), F.struct(about.alias("@id"), F.col("t").alias("name")).alias("mainEntity")))
+    form = '<form><label for="variation_1">Talle</label><label for="variation_2">Color</label></form>'
+    html = F.concat(F.lit('<html><script type="application/ld+json">'), ld, F.lit('</script><div data-variants="'), F.replace(variants, F.lit('"'), F.lit("&quot;")), F.lit(f'"></div>{form}</html>'))
+    return _digest(P.tiendanube(_pages(spark, sf_dir, html), "tn", "Tienda"))
+
+
+@query(
+    f"SELECT 'ava:' || p_partkey AS product_uid, {_TITLE} AS title, {_CENTS} AS low, {_CENTS} + 200000 AS high, NULL::BIGINT AS listed, {_STATE} AS availability, 1::BIGINT AS n_variants, NULL AS color, NULL AS size, '' AS sizes FROM part"
+)
+def map_marketplace(spark, sf_dir):
+    offers = F.struct(F.col("price").alias("lowPrice"), (F.col("price") + 2000).alias("highPrice"), F.when(F.col("ok"), "https://schema.org/InStock").otherwise("https://schema.org/SoldOut").alias("availability"))
+    html = F.format_string(_LD, F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("t").alias("name"), offers.alias("offers"))))
+    url = F.concat(F.lit("https://a.com/p/"), F.col("p_partkey").cast("string"), F.lit("-cosa"))
+    return _digest(P.marketplace(_base(spark, sf_dir).select(url.alias("url"), html.alias("html")), "ava", "Mercado"))
+
+

@@ -42,6 +42,11 @@ def price(amount: Column, compare_at: Column | None = None) -> Column:
     return F.struct(amount.cast("long").alias("amount_cents"), F.lit("ARS").alias("currency"), above.cast("long").alias("compare_at_cents")).cast(PRICE)
 
 
+def in_order(items: Column) -> Column:
+    """By place; variants hold maps, which have no order of their own."""
+    return F.array_sort(items, lambda a, b: a["_at"] - b["_at"])
+
+
 def variant(external_id: Column, amount: Column, state: Column, compare_at: Column | None = None, sku: Column | None = None, options: Column | None = None, stock: Column | None = None, image: Column | None = None) -> Column:
     none = F.lit(None)
     return F.struct(
@@ -109,7 +114,7 @@ def shopify(raw: DataFrame, slug: str, domain: str, store_name: str) -> DataFram
     rows = raw.where(F.col("handle") != "").withColumn("_names", names).withColumn("_usable", usable)
     # Variants are mapped as rows: option rules are long, and a row's columns keep the generated code small.
     mapped = rows.select("id", F.posexplode("_usable").alias("_at", "_v"), "_names").withColumn("_variant", one(F.col("_v"), F.col("_names")))
-    grouped = mapped.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("_at", "_variant"))).alias("_vs")).select("id", F.transform("_vs", lambda x: x["_variant"]).alias("variants"))
+    grouped = mapped.groupBy("id").agg(in_order(F.collect_list(F.struct("_at", "_variant"))).alias("_vs")).select("id", F.transform("_vs", lambda x: x["_variant"]).alias("variants"))
     type_ = clean(F.col("product_type"))
     tags = F.filter(F.transform(F.coalesce("tags", F.array().cast("array<string>")), clean), lambda t: t != "")
     kept = F.filter(F.coalesce("images", F.array().cast("array<struct<src:string,position:int,width:int,height:int>>")), lambda i: i["src"] != "")
@@ -150,7 +155,7 @@ def magento(raw: DataFrame, slug: str, domain: str, store_name: str) -> DataFram
     )
     options = split_options(F.coalesce(pairs, F.array().cast("array<struct<name:string,value:string>>")))
     made = variant(F.col("_id"), F.coalesce("_own", "_amount"), availability(F.replace(F.lower(v["product"]["stock_status"]), F.lit("_"), F.lit(""))), F.when(F.col("_own").isNotNull(), F.col("_own_listed")).otherwise(F.col("_listed")), F.col("_id"), options)
-    grouped = mapped.withColumn("_variant", made).groupBy("_sku").agg(F.sort_array(F.collect_list(F.struct("_at", "_variant"))).alias("_vs"))
+    grouped = mapped.withColumn("_variant", made).groupBy("_sku").agg(in_order(F.collect_list(F.struct("_at", "_variant"))).alias("_vs"))
     single = F.array(variant(F.col("_sku"), F.col("_amount"), availability(F.replace(F.lower("stock_status"), F.lit("_"), F.lit(""))), F.col("_listed"), F.col("_sku")))
     title = clean(F.col("name"))
     handle = F.coalesce(_blank(clean(F.col("url_key"))), slugify(title))
@@ -186,7 +191,7 @@ def vtex(raw: DataFrame, slug: str, domain: str, store_name: str) -> DataFrame:
     )
     o = F.col("_offer")
     made = variant(v["itemId"], F.col("_amount"), F.when(o["IsAvailable"], "in_stock").otherwise("out_of_stock"), number_to_cents(o["ListPrice"]), _blank(clean(v["ean"])), split_options(F.col("_pairs")), o["AvailableQuantity"].cast("int"), F.get(images_of(v), F.lit(0)))
-    grouped = mapped.withColumn("_variant", made).groupBy("productId").agg(F.sort_array(F.collect_list(F.struct("_at", "_variant"))).alias("_vs"))
+    grouped = mapped.withColumn("_variant", made).groupBy("productId").agg(in_order(F.collect_list(F.struct("_at", "_variant"))).alias("_vs"))
     trail = F.filter(F.split(F.regexp_replace(F.coalesce(F.get("categories", F.lit(0)), F.lit("")), "^/+|/+$", ""), "/"), lambda c: c != "")
     handle = F.coalesce(_blank(clean(F.col("linkText"))), F.col("productId"))
     ready = rows.join(grouped, "productId").select(
@@ -309,7 +314,7 @@ def tiendanube(pages: DataFrame, slug: str, store_name: str) -> DataFrame:
     image = F.when(v["image_url"].startswith("//"), F.concat(F.lit("https:"), v["image_url"])).otherwise(v["image_url"])
     mapped = rows.select("url", "p", "_l0", "_l1", "_l2", F.posexplode(p["variants"]).alias("_at", "_v")).where(v["id"].isNotNull() & amount.isNotNull())
     made = variant(v["id"], amount, F.when(v["available"], "in_stock").otherwise("out_of_stock"), number_to_cents(v["compare_at_price_number"]), _blank(v["sku"]), options, v["stock"], image)
-    grouped = mapped.withColumn("_variant", made).groupBy("url").agg(F.sort_array(F.collect_list(F.struct("_at", "_variant"))).alias("_vs"))
+    grouped = mapped.withColumn("_variant", made).groupBy("url").agg(in_order(F.collect_list(F.struct("_at", "_variant"))).alias("_vs"))
     inner = F.when(F.size(p["breadcrumb"]) > 2, F.slice(p["breadcrumb"], F.lit(2), F.size(p["breadcrumb"]) - 2)).otherwise(F.array().cast("array<string>"))
     ready = rows.join(grouped, "url").select(
         p["external_id"].alias("external_id"), "url", F.element_at(F.split(F.regexp_replace(F.expr("parse_url(url, 'PATH')"), "/+$", ""), "/"), -1).alias("handle"), clean(p["title"]).alias("title"),
@@ -331,17 +336,17 @@ def marketplace(pages: DataFrame, slug: str, store_name: str) -> DataFrame:
     d, text = F.col("d"), F.col("text")
     rows = extract(pages, "marketplace").withColumns({"j": F.from_json("data", "product string, breadcrumb array<string>"), "ident": from_url(F.col("url")), "text": visible_text(F.regexp_extract("html", r"(?is)<body\b.*", 0))})
     rows = rows.withColumn("d", F.from_json("j.product", schema)).where(F.col("ident").isNotNull() & d.isNotNull())
-    wholesale = parse_money(F.coalesce(_blank(d["offers.lowPrice"]), d["offers.price"]))
-    high = parse_money(d["offers.highPrice"])
+    wholesale = parse_money(F.coalesce(_blank(F.col("d.offers.lowPrice")), F.col("d.offers.price")))
+    high = parse_money(F.col("d.offers.highPrice"))
     rows = rows.withColumn("_cents", wholesale).where(F.col("_cents").isNotNull()).withColumn("_retail", F.coalesce(F.nullif(retail_cents(text), F.lit(0)), F.when((high > 0) & (high != F.col("_cents")), high)))
     title = clean(F.coalesce(_blank(d["name"]), F.col("ident.title_guess")))
-    state = availability(d["offers.availability"])
-    who = seller(F.coalesce(_blank(d["offers.seller.name"]), d["brand.name"]), d["offers.seller.address.streetAddress"], text)
+    state = availability(F.col("d.offers.availability"))
+    who = seller(F.coalesce(_blank(F.col("d.offers.seller.name")), F.col("d.brand.name")), F.col("d.offers.seller.address.streetAddress"), text)
     trade = labelled(text, TRADE)
     images = F.filter(F.coalesce(F.from_json(d["image"], "array<string>"), F.array(d["image"])), lambda u: u.startswith("http"))
     ready = rows.withColumn("_min", labelled(text, MINIMUM)).select(
         F.col("ident.external_id").alias("external_id"), "url", F.coalesce(_blank(F.col("ident.handle")), slugify(title)).alias("handle"), title.alias("title"), _blank(clean(d["description"])).alias("description"),
-        F.coalesce(d["brand.name"], who["name"]).alias("brand"), F.when(F.size("j.breadcrumb") > 0, F.col("j.breadcrumb")).when(trade.isNotNull(), F.array(trade)).otherwise(F.array().cast("array<string>")).alias("category_path"),
+        F.coalesce(F.col("d.brand.name"), who["name"]).alias("brand"), F.when(F.size("j.breadcrumb") > 0, F.col("j.breadcrumb")).when(trade.isNotNull(), F.array(trade)).otherwise(F.array().cast("array<string>")).alias("category_path"),
         F.array(variant(F.col("ident.external_id"), F.col("_cents"), state)).alias("variants"), numbered_images(images).alias("images"), state.alias("availability"), price(F.col("_cents")).alias("price_min"),
         price(F.coalesce("_retail", "_cents")).alias("price_max"), F.when(F.col("_retail").isNotNull(), price(F.col("_retail"))).alias("price_retail"), F.col("_min").alias("min_purchase"),
         least_purchase(F.col("_min"))["qty"].alias("min_qty"), least_purchase(F.col("_min"))["unit"].alias("min_unit"), who.alias("seller"), F.filter(F.array(labelled(text, SHIPPING)), lambda t: t != "").alias("tags"), "_cents", "_retail",
