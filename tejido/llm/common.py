@@ -43,11 +43,32 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Gives freed memory of a Python worker back to the system, where the C library can: workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id's decimal text, modulo divisor."""
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers get texts in batches of so many rows, which bounds their memory; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows or int(spark.conf.get(key, "10000")) <= 0:
+        spark.conf.set(key, str(rows))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text (null: empty), whatever further columns docs has."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, texts
+from .common import remainder, small_batches, texts
 from .textstats import repeated_words
 
 POSITIVES, UNLABELLED = 5_000, 10_000
@@ -162,12 +162,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, f
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(x), pa.float64())], ["doc_id", "score"])
 
     scored = texts(docs).mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (remainder(F.col("doc_id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.lit(model.prior).alias("prior"))
+    return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), folds) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.lit(model.prior).alias("prior"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are not rejected, with all their columns, scored where they stand: no join."""
     model = train(docs, labels)
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import small_batches, texts
 from .crf import LineCRF, line_features, seed_labels
 from .textstats import repeated_words
 
@@ -82,6 +82,7 @@ def apply_rules(docs: DataFrame, crf: LineCRF | None = None, content_share: floa
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns, judged where they stand: no join."""
     model = train(docs)
+    small_batches(docs.sparkSession)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

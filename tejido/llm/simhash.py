@@ -10,8 +10,8 @@ smallest doc_id. Where very many distinct fingerprints share a segment, the othe
 bits, one of its halves differs in one bit at most), so that no bucket gives all its pairs. Classes that link, directly
 or by others, form a component.
 
-Null, empty and blank texts: fingerprint zero, linked like any other. Repeated rows and ids give one result row each. An
-empty table gives no rows. Further columns are ignored.
+Null, empty and blank texts: fingerprint zero, linked like any other. Repeated rows and ids give one result row each. A text
+that only rows without an id have is a component of its own, with a null id. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -119,7 +119,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, distance: int = 3) -> DataFrame
     """doc_id, fp, component_id: the smallest doc_id that a document's links lead to."""
     marked = written(fingerprints(docs, k), "fingerprints")
     classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-classes")
-    roots = components(linked(classes, distance))
+    roots = components(linked(classes.where(F.col("id").isNotNull()), distance))
     named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -127,5 +127,5 @@ def near_duplicates(docs: DataFrame, k: int = 3, distance: int = 3) -> DataFrame
 def keep(docs: DataFrame, k: int = 3, distance: int = 3) -> DataFrame:
     """The row of each component's smallest doc_id, with all columns of docs; of several rows with that id one stays."""
     found = near_duplicates(docs, k, distance)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("_kept")).distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["_kept"]), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
