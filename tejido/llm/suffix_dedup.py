@@ -21,7 +21,7 @@ anchor with very many documents has its windows dealt by their own content, each
 bucket grows with a passage that many documents share.
 
 Null text: as empty. Texts shorter than `length` are kept whole. Rows with equal doc_id don't remove from each other, and
-each row gives one result. An empty table gives no rows. Further columns are ignored here (see `keep`).
+each row gives one result; a null doc_id counts as the largest. An empty table gives no rows. Further columns are ignored here (see `keep`).
 """
 
 from __future__ import annotations
@@ -32,23 +32,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import texts, written
+from .common import texts, trim, written
 
 LENGTH, GRAM = 50, 24
 #: A difference cover modulo its period (every difference occurs between two members), and odd multipliers.
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-SEGMENT = 4_000_000
+#: Bytes of text that are worked on at once.
+SEGMENT = 1_000_000
 #: Anchors per request batch, slices per sorted block and per batch, filter bytes at the driver, documents of a crowded anchor.
-REQUESTS, BLOCK, SLICES, FILTER_BYTES, CROWDED = 3_000_000, 60_000, 250_000, 64 << 20, 20_000
+REQUESTS, BLOCK, SLICES, FILTER_BYTES, CROWDED = 1_000_000, 30_000, 200_000, 64 << 20, 20_000
+#: Text bytes whose documents and spans are put together in one task.
+GATHER = 24 << 20
 ROW = "kind int, bucket int, uid long, doc_id long, data binary, extra string"
 NAMES = ["kind", "bucket", "uid", "doc_id", "data", "extra"]
-TEXT, SLICE, SPAN, PLAIN = 0, 1, 2, 3
+SPAN, SLICE, TEXT = 0, 1, 2
+LAST_ID = (1 << 63) - 1
 
 _power: list[np.ndarray] = []
 
@@ -81,6 +85,21 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (width - span)], out[width - span :]) if width > span else out
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span, to tell spans with one anchor hash apart."""
+    up, down = _powers(len(data) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
+    h = (sums[start + size] - sums[start]) * down[start]
+    h ^= h >> np.uint64(31)
+    return h * np.uint64(MIX) + size.astype(np.uint64)
+
+
+def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The spans end to end."""
+    ends = np.cumsum(size)
+    return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + size, size)]
+
+
 def slices(group: list[bytes], length: int = LENGTH, gram: int = GRAM):
     """Runs of windows with one anchor, over a few texts: (text number, first window, windows, anchor's place in the slice, anchor hash)."""
     pieces, base, number, at = [], [], [], 0
@@ -177,11 +196,10 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _encoded(b: pa.RecordBatch):
-    """(doc ids, texts, extras) in groups of some megabytes."""
+    """(doc ids, texts) in groups of about half a segment."""
     rows, size = [], 0
-    extras = b.column("extra").to_pylist() if "extra" in b.schema.names else [None] * b.num_rows
-    for i, t, x in zip(b.column("doc_id").to_pylist(), b.column("text"), extras):
-        rows.append((i, t.as_py().encode(), x))
+    for i, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
+        rows.append((LAST_ID if i is None else i, t.as_py().encode()))
         size += len(rows[-1][1])
         if size >= SEGMENT // 2:
             yield zip(*rows)
@@ -190,6 +208,19 @@ def _encoded(b: pa.RecordBatch):
         yield zip(*rows)
 
 
+def _home(uid: np.ndarray, parts: int) -> np.ndarray:
+    """Where a row's text and spans meet."""
+    return ((uid.astype(np.uint64) * np.uint64(BASE) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def _span_rows(uid: np.ndarray, a: np.ndarray, z: np.ndarray, parts: int) -> list[tuple]:
+    """Spans packed by the place where they meet their texts."""
+    home = _home(uid, parts)
+    order = np.lexsort((a, uid, home))
+    cuts = np.searchsorted(home[order], np.arange(parts + 1))
+    return [(SPAN, k, 0, 0, _packed(uid[o], a[o], z[o] - a[o])) for k in range(parts) if len(o := order[cuts[k] : cuts[k + 1]])]
+
+
 def _anchor_requests(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -206,7 +237,7 @@ def _anchor_requests(buckets: int):
             yield _batch([(0, k, 0, 0, _packed(h[o], low[o], high[o] - low[o], n[o])) for k in range(buckets) if len(o := order[cuts[k] : cuts[k + 1]])])
 
         for batch in batches:
-            for ids, group, _ in _encoded(batch):
+            for ids, group in _encoded(batch):
                 number, _, _, _, h = slices(group)
                 doc = np.array(ids, np.int64)[number]
                 # one entry for each anchor and document
@@ -219,6 +250,7 @@ def _anchor_requests(buckets: int):
                 if count >= REQUESTS:
                     yield from flush()
         yield from flush()
+        trim()
 
     return run
 
@@ -246,74 +278,91 @@ def _anchor_answers(crowded_from: int):
             for place in _bits(h, np.uint64(8 * size)):
                 bits[place] = True
             yield _batch([(0, k, int(n.sum()), size, np.packbits(bits, bitorder="little").tobytes()), (1, k, 0, 0, h[n >= crowded_from].tobytes())])
+        trim()
 
     return run
 
 
-def _slice_requests(known: Filter, buckets: int, with_texts: bool, only_range: bool, length: int = LENGTH):
-    """A document without a known anchor is done with (PLAIN) if no further range of anchors follows."""
-    from xxhash import xxh3_64_intdigest
-
+def _slice_requests(shared: Broadcast, buckets: int, parts: int, length: int = LENGTH):
+    """For each suffix bucket the slices of its anchors, each distinct slice once for the smallest document of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=3)
-        uid = (TaskContext.get().partitionId() << 33) - 1
-        # slice -> [smallest doc_id, [(uid, first window), ...], anchor's place, hash]
-        held: dict[bytes, list] = {}
-        spans: dict[int, list[tuple[int, int]]] = {}
-
-        def note(data: bytes, doc: int, at: tuple[int, int], place: int, h: int) -> None:
-            old = held.get(data)
-            if old is None:
-                held[data] = [doc, [at], place, h]
-            elif old[0] == doc:
-                old[1].append(at)
-            elif old[0] < doc:
-                spans.setdefault(at[0], []).append((at[1], at[1] + len(data)))
-            else:
-                for u, s in old[1]:
-                    spans.setdefault(u, []).append((s, s + len(data)))
-                old[0], old[1] = doc, [at]
+        known = shared.value
+        uid = TaskContext.get().partitionId() << 33
+        held: list[tuple] = []
+        count = 0
 
         def flush():
-            by_bucket: dict[int, list] = {}
-            for data, (doc, places, place, h) in held.items():
-                by_bucket.setdefault((h >> 20) % buckets, []).append((h, data, doc, places, place))
+            nonlocal held, count
+            if not held:
+                return
+            *columns, data = (np.concatenate(c) for c in zip(*held))
+            held, count = [], 0
+            h, same, doc, at, first, place, size = columns
+            start = np.cumsum(size) - size
+            order = np.lexsort((doc, same, h))
+            new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (same[order][1:] != same[order][:-1])])
+            lowest = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+            goes = doc[order] > lowest
+            if goes.any():  # a smaller document of this batch has the whole slice
+                o = order[goes]
+                yield _batch(_span_rows(at[o], first[o], first[o] + size[o], parts))
+            o = order[~goes]
+            bucket = ((h[o] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            o = o[np.argsort(bucket, kind="stable")]
+            cuts = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
             rows = []
-            for k, entries in by_bucket.items():
-                entries.sort(key=lambda e: e[0])
-                flat = [(h - (1 << 64) if h >> 63 else h, doc, u, s, place, len(data)) for h, data, doc, places, place in entries for u, s in places]
-                columns = _packed(*np.array(flat, np.int64).T)
-                text = compressor.compress(b"".join(data for _, data, _, places, _ in entries for _ in places))
-                rows.append((SLICE, k, 0, 0, struct.pack("<q", len(columns)) + columns + text))
-            rows += [(SPAN, 0, u, 0, np.array(x, np.int64).tobytes()) for u, x in spans.items()]
-            held.clear()
-            spans.clear()
-            if rows:
-                yield _batch(rows)
+            for k in range(buckets):
+                e = o[cuts[k] : cuts[k + 1]]
+                if len(e):
+                    head = _packed(h[e], doc[e], at[e], first[e], place[e], size[e])
+                    text = compressor.compress(gather(data, start[e], size[e]).tobytes())
+                    rows.append((SLICE, k, 0, 0, struct.pack("<q", len(head)) + head + text))
+            yield _batch(rows)
 
         for batch in batches:
-            for ids, group, extras in _encoded(batch):
+            for ids, group in _encoded(batch):
                 number, first, windows, place, h = slices(group, length)
                 hit = known.has(h)
                 number, first, windows, place, h = number[hit], first[hit], windows[hit], place[hit], h[hit]
                 crowded = np.isin(h, known.crowded) if len(known.crowded) else np.zeros(len(h), bool)
-                base = uid + 1
+                source = np.frombuffer(b"".join(group), np.uint8)
+                base = np.cumsum([0, *map(len, group[:-1])])
+                size = windows + length - 1
+                if crowded.any():  # each window on its own, under a hash of its content
+                    w = windows[crowded]
+                    offset = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+                    n1, f1, p1 = (np.repeat(c[crowded], w) for c in (number, first, place))
+                    alone = span_hashes(source, base[n1] + f1 + offset, np.full(len(n1), length))
+                    keep = ~crowded
+                    number, first, place = (np.concatenate(x) for x in ((number[keep], n1), (first[keep], f1 + offset), (place[keep], p1 - offset)))
+                    h, size = np.concatenate([h[keep], alone]), np.concatenate([size[keep], np.full(len(n1), length)])
+                if len(h):
+                    start = base[number] + first
+                    held.append((h, span_hashes(source, start, size), np.array(ids, np.int64)[number], uid + number, first, place, size, gather(source, start, size)))
+                    count += len(h)
                 uid += len(group)
-                touched = set(number.tolist())
-                if with_texts:
-                    yield _batch([(PLAIN if only_range and i not in touched else TEXT, 0, base + i, doc, compressor.compress(t), x) for i, (doc, t, x) in enumerate(zip(ids, group, extras))])
-                for i, s, w, p, x, c in zip(number.tolist(), first.tolist(), windows.tolist(), place.tolist(), h.tolist(), crowded.tolist()):
-                    text, doc = group[i], ids[i]
-                    if c:
-                        for o in range(w):
-                            data = text[s + o : s + o + length]
-                            note(data, doc, (base + i, s + o), p - o, xxh3_64_intdigest(data))
-                    else:
-                        note(text[s : s + w + length - 1], doc, (base + i, s), p, x)
-                if len(held) >= SLICES:
+                if count >= SLICES:
                     yield from flush()
         yield from flush()
+        trim()
+
+    return run
+
+
+def _texts(parts: int):
+    """Each row's text, compressed, under the same row numbers as its slices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor = zstandard.ZstdCompressor(level=3)
+        uid = TaskContext.get().partitionId() << 33
+        for b in batches:
+            numbers = np.arange(uid, uid + b.num_rows)
+            uid += b.num_rows
+            extras = b.column("extra").to_pylist() if "extra" in b.schema.names else [None] * b.num_rows
+            rows = zip(_home(numbers, parts).tolist(), numbers.tolist(), b.column("doc_id").to_pylist(), b.column("text"), extras)
+            yield _batch([(TEXT, k, u, i, compressor.compress(t.as_py().encode()), x) for k, u, i, t, x in rows])
 
     return run
 
@@ -365,66 +414,79 @@ def equal_windows(text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.nda
     return order, same
 
 
-def _sort_block(columns: list[np.ndarray], text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sort_block(columns: list[np.ndarray], source: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (uid, from, to) that the slices of one block lose."""
-    _, doc, uid, first, place, size = columns
-    source = np.frombuffer(text, np.uint8)
-    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+    h, doc, uid, first, place, size = columns
+    starts = np.cumsum(size) - size
+    # equal slices are laid out and sorted once, with their smallest document
+    same = span_hashes(source, starts, size)
+    order = np.lexsort((same, h))
+    new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (same[order][1:] != same[order][:-1])])
+    shape = np.empty(len(h), np.int64)
+    shape[order] = np.cumsum(new) - 1
+    one = order[new]
+    low = np.minimum.reduceat(doc[order], np.flatnonzero(new))
     # anchors at multiples of the period: a slice begins at -place modulo the period
-    room = -(-(size + PERIOD) // PERIOD) * PERIOD
-    begin = np.concatenate([[0], np.cumsum(room)[:-1]]) + (-place) % PERIOD
+    room = -(-(size[one] + PERIOD) // PERIOD) * PERIOD
+    begin = np.cumsum(room) - room + (-place[one]) % PERIOD
     laid = np.zeros(int(room.sum()) + 2 * length + PERIOD, np.uint8)
-    within = np.arange(len(source)) - np.repeat(starts, size)
-    laid[np.repeat(begin, size) + within] = source
-    windows = size - length + 1
-    row = np.repeat(np.arange(len(size)), windows)
-    offset = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)
-    order, same = equal_windows(laid, begin[row] + offset, length)
-    heads = np.flatnonzero(~same)
-    owner = doc[row][order]
-    lowest = np.repeat(np.minimum.reduceat(owner, heads), np.diff(np.concatenate([heads, [len(order)]])))
-    gone = np.zeros(len(row), bool)
-    gone[order] = owner > lowest
-    at = np.flatnonzero(gone)
+    within = np.arange(int(size[one].sum())) - np.repeat(np.cumsum(size[one]) - size[one], size[one])
+    laid[np.repeat(begin, size[one]) + within] = gather(source, starts[one], size[one])
+    windows = size[one] - length + 1
+    base = np.cumsum(windows) - windows
+    row = np.repeat(np.arange(len(one)), windows)
+    order, tie = equal_windows(laid, begin[row] + np.arange(len(row)) - base[row], length)
+    heads = np.flatnonzero(~tie)
+    lowest = np.empty(len(row), np.int64)
+    lowest[order] = np.repeat(np.minimum.reduceat(low[row][order], heads), np.diff(np.concatenate([heads, [len(order)]])))
+    # back to all slices: a window goes where its smallest document is smaller than the slice's own
+    count = windows[shape]
+    row = np.repeat(np.arange(len(h)), count)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    at = np.flatnonzero(lowest[base[shape[row]] + offset] < doc[row])
     if not len(at):
         return at, at, at
     cut = np.concatenate([[True], (np.diff(at) > 1) | (row[at][1:] != row[at][:-1])])
-    a, b = at[cut], at[np.concatenate([cut[1:], [True]])]
-    return uid[row[a]], first[row[a]] + offset[a], first[row[b]] + offset[b] + length
+    a, z = at[cut], at[np.concatenate([cut[1:], [True]])]
+    return uid[row[a]], first[row[a]] + offset[a], first[row[z]] + offset[z] + length
 
 
-def _sorted_buckets(length: int = LENGTH):
+def _sorted_buckets(parts: int, length: int = LENGTH):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decompressor = zstandard.ZstdDecompressor()
         held: dict[int, list] = {}
         for b in batches:
-            for k, blob in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist()):
-                held.setdefault(k, []).append(blob)
+            settled = []
+            for kind, k, blob in zip(b.column("kind").to_pylist(), b.column("bucket").to_pylist(), b.column("data").to_pylist()):
+                if kind == SPAN:
+                    settled.append((SPAN, k, 0, 0, blob))
+                else:
+                    held.setdefault(k, []).append(blob)
+            yield _batch(settled)
         for k in sorted(held):  # one bucket at a time
-            parts = []
+            gathered = []
             for blob in held.pop(k):
                 n = struct.unpack("<q", blob[:8])[0]
-                parts.append((_unpacked(blob[8 : 8 + n], 6), decompressor.decompress(blob[8 + n :])))
-            columns = [np.concatenate(c) for c in zip(*(p[0] for p in parts))]
-            text = b"".join(p[1] for p in parts)
-            parts.clear()
+                gathered.append((_unpacked(blob[8 : 8 + n], 6), np.frombuffer(decompressor.decompress(blob[8 + n :]), np.uint8)))
+            columns = [np.concatenate(c) for c in zip(*(p[0] for p in gathered))]
+            text = np.concatenate([p[1] for p in gathered])
+            gathered.clear()
             size = columns[5]
-            ends = np.cumsum(size)
+            starts = np.cumsum(size) - size
             order = np.argsort(columns[0], kind="stable")
             h = columns[0][order]
             edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
             at = 0
+            found: list = []
             while at < len(order):
                 # whole anchors up to the block's size; an anchor is never split
                 stop = edges[max(np.searchsorted(edges, at + BLOCK, "right") - 1, np.searchsorted(edges, at, "right"))]
                 o = order[at:stop]
-                data = b"".join(text[ends[i] - size[i] : ends[i]] for i in o.tolist())
-                u, a, z = _sort_block([c[o] for c in columns], data, length)
-                by = np.argsort(u, kind="stable")
-                u, spans = u[by], np.stack([a[by], z[by]], axis=1)
-                heads = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, int)
-                yield _batch([(SPAN, 0, int(u[s]), 0, np.ascontiguousarray(spans[s:e]).tobytes()) for s, e in zip(heads, [*heads[1:], len(u)])])
+                found.append(_sort_block([c[o] for c in columns], gather(text, starts[o], size[o]), length))
                 at = stop
+            u, a, z = (np.concatenate(c) for c in zip(*found))
+            yield _batch(_span_rows(u, a, z, parts))
+        trim()
 
     return run
 
@@ -449,37 +511,40 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary,
 
 
 def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (uid, kind): a text, then its spans."""
+    """Rows in order of kind: the spans of these texts, then the texts."""
     decompressor = zstandard.ZstdDecompressor()
-    now: list = []
-
-    def done():
-        doc, extra, data, spans = now
-        kept, removed, runs = cut_out(data, np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2))
-        return doc, len(data), removed, runs, kept, extra
+    held: list = []
+    rows: list = []
+    size = 0
+    by_uid = None
 
-    def out(rows):
+    def out():
         kinds = [pa.int64()] * 4 + [pa.binary(), pa.string()]
         columns = zip(*rows) if rows else [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "extra"])
+        b = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "extra"])
+        rows.clear()
+        return b
 
-    rows: list = []
-    held = 0
     for b in batches:
-        for kind, doc, data, extra in zip(*(b.column(c).to_pylist() for c in ("kind", "doc_id", "data", "extra"))):
+        for kind, uid, doc, data, extra in zip(*(b.column(c).to_pylist() for c in ("kind", "uid", "doc_id", "data", "extra"))):
             if kind == SPAN:
-                now[3].append(data)
+                held.append(_unpacked(data, 3))
                 continue
-            if now:
-                rows.append(done())
-                held += len(rows[-1][4])
-                if held > 16 << 20:
-                    yield out(rows)
-                    rows, held = [], 0
-            now = [doc, extra, decompressor.decompress(data), []]
-    if now:
-        rows.append(done())
-    yield out(rows)
+            if by_uid is None:
+                owner, a, n = (np.concatenate(c) for c in zip(*held)) if held else [np.zeros(0, np.int64)] * 3
+                held.clear()
+                order = np.argsort(owner, kind="stable")
+                by_uid, spans = owner[order], np.stack([a[order], a[order] + n[order]], axis=1)
+            lo, hi = np.searchsorted(by_uid, [uid, uid + 1])
+            text = decompressor.decompress(data)
+            kept, removed, runs = cut_out(text, spans[lo:hi])
+            rows.append((doc, len(text), removed, runs, kept, extra))
+            size += len(kept)
+            if size > 8 << 20:
+                yield out()
+                size = 0
+    yield out()
+    trim()
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -491,7 +556,14 @@ def keep(docs: DataFrame) -> DataFrame:
     kind = StructType(others)
     left = dedup(docs, F.to_json(F.struct(*(F.col(f"`{f.name}`") for f in others))) if others else None)
     back = F.from_json("extra", kind)
-    text = F.decode("kept", "UTF-8")
+    text = F.col("text")
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [x.decode("utf-8", "replace") for x in b.column("kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(words, pa.string()), b.column("extra")], ["doc_id", "text", "extra"])
+
+    left = left.select("doc_id", "kept", "extra").mapInArrow(decoded, "doc_id long, text string, extra string")
     columns = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text}
     for f in others:
         columns[f.name] = F.char_length(text).cast(f.dataType) if f.name == "n_chars" else back[f.name]
@@ -504,15 +576,14 @@ def dedup(docs: DataFrame, extra: Column | None = None) -> DataFrame:
     extra: a string that goes along with each row.
     """
     source = texts(docs)
-    carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), extra.alias("extra")) if extra is not None else source
+    carried = source if extra is None else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), extra.alias("extra"))
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     anchors = total // 13 + 1
-    buckets = max(12, -(-anchors // 2_000_000))
+    buckets, parts = max(12, -(-anchors // 500_000)), max(12, -(-total // GATHER))
     asked = source.mapInArrow(_anchor_requests(buckets), ROW).repartition(buckets, "bucket")
     answers = written(asked.mapInArrow(_anchor_answers(max(CROWDED, anchors // 10_000_000)), ROW), "anchor-filters")
     sizes = [(r["bucket"], r["uid"], r["doc_id"]) for r in answers.where("kind = 0").select("bucket", "uid", "doc_id").collect()]
-    expected = sum(n for _, n, _ in sizes)
-    sort_buckets = max(12, -(-expected // 300_000))
+    sort_buckets = max(12, -(-sum(n for _, n, _ in sizes) // 150_000))
     ranges, room = [[]], FILTER_BYTES
     for k, _, size in sorted(sizes):
         if room < size and ranges[-1]:
@@ -520,16 +591,14 @@ def dedup(docs: DataFrame, extra: Column | None = None) -> DataFrame:
             room = FILTER_BYTES
         ranges[-1].append(k)
         room -= size
-    rounds = []
-    for i, part in enumerate(ranges):
-        rows = answers.where(F.col("bucket").isin(part)).select("kind", "bucket", "data").collect() if part else []
+    spans = []
+    for part in filter(None, ranges):
+        rows = answers.where(F.col("bucket").isin(part)).select("kind", "bucket", "data").collect()
         known = Filter(buckets, {r["bucket"]: bytes(r["data"]) for r in rows if r["kind"] == 0}, np.sort(np.frombuffer(b"".join(bytes(r["data"]) for r in rows if r["kind"] == 1), np.uint64)))
-        rounds.append(written((source if i else carried).mapInArrow(_slice_requests(known, sort_buckets, i == 0, len(ranges) == 1), ROW), "suffix-slices"))
-    notes = rounds[0]
-    for more in rounds[1:]:
-        notes = notes.unionByName(more)
-    sorted_ = notes.where(F.col("kind") == SLICE).repartition(sort_buckets, "bucket").mapInArrow(_sorted_buckets(), ROW)
-    texts_and_spans = notes.where(F.col("kind").isin(TEXT, SPAN)).unionByName(sorted_).select("kind", "uid", "doc_id", "data", "extra")
-    touched = texts_and_spans.repartition(F.col("uid")).sortWithinPartitions("uid", "kind").mapInArrow(_results, RESULT)
-    plain = notes.where(F.col("kind") == PLAIN).select("kind", "uid", "doc_id", "data", "extra").mapInArrow(_results, RESULT)
-    return touched.unionByName(plain)
+        # Slices go to their bucket, and what a batch settled itself straight to the texts: one shuffle deals both.
+        dealt = source.mapInArrow(_slice_requests(docs.sparkSession.sparkContext.broadcast(known), sort_buckets, parts), ROW).repartition(sort_buckets, "kind", "bucket")
+        spans.append(dealt.mapInArrow(_sorted_buckets(parts), ROW))
+    rows = carried.mapInArrow(_texts(parts), ROW)
+    for more in spans:
+        rows = rows.unionByName(more)
+    return rows.repartition(parts, "bucket").sortWithinPartitions("kind").mapInArrow(_results, RESULT)
