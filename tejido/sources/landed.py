@@ -16,7 +16,9 @@ def jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame
 
 def jsonl_tolerant(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """Good rows and broken lines, by one schema with a column for the line that does not parse."""
-    rows = spark.read.schema(StructType(schema.fields).add("_broken", "string")).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
+    whole = StructType(list(schema.fields)).add("_broken", "string")
+    parsed = F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    rows = spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("r")).select("r.*")
     return rows.where(F.col("_broken").isNull()).drop("_broken"), rows.where(F.col("_broken").isNotNull()).select("_broken")
 
 
