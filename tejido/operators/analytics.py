@@ -15,10 +15,10 @@ def overview(products: DataFrame, variants: DataFrame, points: DataFrame, stores
         F.count_distinct(F.when(F.col("store_slug") != marketplace, F.col("brand"))).alias("brands"),
     )
     parts = [p, variants.agg(F.count("*").alias("variants")), points.agg(F.count("*").alias("price_points")), stores.agg(F.count("*").alias("stores"))]
-    out = parts[0]
-    for more in parts[1:]:  # single rows
-        out = out.join(F.broadcast(more))
-    return out
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    return rows.agg(*(F.max(c).alias(c) for c in rows.columns))
 
 
 def by_store(products: DataFrame, price: str = "price_min_cents") -> DataFrame:
