@@ -36,14 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, texts, written
+from .common import remainder, texts, trim, written
+from .suffix_dedup import span_hashes
 
 ORDER = 5
-SAMPLES, BURN_IN = 3, 3
-STRENGTH = 0.5
+SAMPLES, BURN_IN = 3, 2
+STRENGTH = 2.0
 ONE_BY_ONE = 32
-SLICE_ROWS, FREQUENT, TASK_GRAMS = 6_000_000, 1_000_000, 400_000
-CHUNK = 4_000_000
+SLICE_ROWS, FREQUENT, TASK_GRAMS, HELD = 6_000_000, 1_000_000, 400_000, 1_500_000
+CHUNK = 2_000_000
 WORD, GRAM = 0, 1
 SPACE, END = 0x20, 0x0A
 _u = np.uint64
@@ -71,22 +72,25 @@ class Words:
         self.hashes = word_hashes(coded.dictionary)
 
     def stream(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes as the model spells them, the text of each, and whether it is scored (line ends before a text are not)."""
+        """Bytes as the model spells them, which of them are scored (line ends before a text are not), and where each text's scored bytes start among those."""
         data, offsets = _bytes_of(self.flat)
         size = np.diff(offsets) + 1
         body = np.bincount(self.owner, weights=size, minlength=self.texts).astype(np.int64)
         total = ORDER + body + 1
         begin = np.cumsum(total) - total
         out = np.full(int(total.sum()), END, np.uint8)
-        before = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else np.zeros(0, np.int64)
+        before = np.cumsum(size) - size
         first = np.cumsum(body) - body
         at = before - first[self.owner] + begin[self.owner] + ORDER
-        where = np.repeat(at - offsets[:-1] + offsets[0] if len(at) else at, size - 1) + np.arange(len(data)) if len(data) else np.zeros(0, np.int64)
-        out[where] = data
+        if len(data):
+            where = np.repeat((at - offsets[:-1]).astype(np.int32), size - 1)
+            where += np.arange(len(data), dtype=np.int32)
+            out[where] = data
         out[at + size - 1] = SPACE
-        owner = np.repeat(np.arange(self.texts), total)
-        scored = np.arange(len(out)) - begin[owner] >= ORDER
-        return out, owner, scored
+        scored = np.ones(len(out), bool)
+        for j in range(ORDER):
+            scored[begin + j] = False
+        return out, scored, np.cumsum(body + 1) - (body + 1)
 
 
 def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,9 +104,8 @@ def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
-    from xxhash import xxh3_64_intdigest
-
-    return np.fromiter((xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words)).view(np.int64)
+    data, offsets = _bytes_of(words)
+    return span_hashes(data, offsets[:-1], np.diff(offsets)).view(np.int64)
 
 
 def end_hash() -> int:
@@ -150,17 +153,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (column,) in _chunks(batches, ["text"]):
         w = Words(column)
         held[WORD].append((np.append(w.hashes, end), np.append(np.bincount(w.number, minlength=len(w.hashes)), w.texts)))
-        stream, _, scored = w.stream()
+        stream, scored, _ = w.stream()
         values = pa.array(grams(stream, scored)).value_counts()
         held[GRAM].append((values.field(0).to_numpy().view(np.int64), values.field(1).to_numpy()))
-        if sum(len(k) for k, _ in held[GRAM]) > 3_000_000:
-            yield from flush()
+        if sum(len(k) for k, _ in held[GRAM]) > HELD:
+            for parts in held.values():
+                parts[:] = [_sums(*map(list, zip(*parts)))]
+            if len(held[GRAM][0][0]) > HELD // 2:
+                yield from flush()
     yield from flush()
+    trim()
 
 
-def discount(counts: np.ndarray) -> float:
+def discount(one: int, two: int) -> float:
     """From how many dishes have one and two customers."""
-    one, two = int((counts == 1).sum()), int((counts == 2).sum())
     return float(np.clip(one / (one + 2 * two), 0.1, 0.9)) if one and two else 0.5
 
 
@@ -260,31 +266,57 @@ def _family(batches: Iterator[pa.RecordBatch]) -> Family:
     return Family(codes[order], counts[order])
 
 
+def nearest_first(contexts: np.ndarray, length: int) -> np.ndarray:
+    """Context numbers with the nearest byte highest, so that a parent's number is a prefix of its children's."""
+    out = np.zeros(len(contexts), np.uint64)
+    for j in range(length):
+        out = out << _u(8) | (contexts >> _u(8 * j)) & _u(0xFF)
+    return out
+
+
 class Model:
-    """Sampled restaurants of one slice of contexts, as the scorer needs them."""
+    """Sampled restaurants of one slice of contexts, as the scorer needs them.
+
+    level1: [context byte, byte]. levels: per length the context numbers (nearest byte highest), their weights of the
+    parent by sample, the dishes' numbers (context, then byte) and their probabilities by sample.
+    """
 
     def __init__(self, level1: np.ndarray, levels: dict[int, tuple], part: int, parts: int):
         self.level1, self.levels, self.part, self.parts = level1, levels, part, parts
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """log10 of the averaged predictive probability of each string's last byte; 0 for contexts of other slices."""
-        mine = family_slice(codes, self.parts) == self.part
-        c = codes[mine]
-        p = self.level1.reshape(-1)[(c & _mask(2)).astype(np.int64)][:, None].repeat(SAMPLES, axis=1)
+        mine = np.flatnonzero(family_slice(codes, self.parts) == self.part)
+        byte, context = codes[mine] & _u(0xFF), nearest_first(codes[mine] >> _u(8), ORDER)
+        # in this order look-ups at every level move through their tables once
+        order = np.argsort(context)
+        mine, byte, context = mine[order], byte[order], context[order]
+        first = (context >> _u(8 * (ORDER - 1))).astype(np.int64)
+        p = np.repeat(self.level1.reshape(-1)[first * 256 + byte.astype(np.int64)][None, :], SAMPLES, axis=0)
         for k in range(2, ORDER + 1):
             contexts, weight, keys, seen = self.levels[k]
-            if len(keys):
-                own = c & _mask(k + 1)
-                u = own >> _u(8)
-                at = np.minimum(np.searchsorted(contexts, u), len(contexts) - 1)
-                p = np.where((contexts[at] == u)[:, None], weight[at] * p, p)
-                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                p = np.where((keys[at] == own)[:, None], seen[at], p)
+            if not len(keys):
+                continue
+            u = context >> _u(8 * (ORDER - k))
+            at = np.minimum(np.searchsorted(contexts, u), len(contexts) - 1)
+            there = np.flatnonzero(contexts[at] == u)
+            p[:, there] *= weight[:, at[there]]
+            own = u << _u(8) | byte
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            there = np.flatnonzero(keys[at] == own)
+            p[:, there] = seen[:, at[there]]
         out = np.zeros(len(codes))
-        out[mine] = np.log10(p.mean(axis=1))
+        out[mine] = np.log10(p.mean(axis=0))
         return out
 
 
+def level(contexts: np.ndarray, weight: np.ndarray, keys: np.ndarray, seen: np.ndarray, k: int) -> tuple:
+    """One level of a Model from numbers as `grams` makes them."""
+    c, d = nearest_first(contexts, k), nearest_first(keys >> _u(8), k) << _u(8) | keys & _u(0xFF)
+    by_c, by_d = np.argsort(c), np.argsort(d)
+    return c[by_c], np.ascontiguousarray(weight[:, by_c]), d[by_d], np.ascontiguousarray(seen[:, by_d])
+
+
 def family_slice(codes: np.ndarray, parts: int) -> np.ndarray:
     return ((((codes >> _u(8)) & _mask(2)) * _u(0x9E3779B1)) % _u(1 << 32) % _u(parts)).astype(np.int64)
 
@@ -294,12 +326,10 @@ def train(counts: DataFrame, n_grams: int) -> tuple[np.ndarray, DataFrame, int]:
     tasks, slices_ = max(12, -(-n_grams // TASK_GRAMS)), max(1, -(-3 * n_grams // SLICE_ROWS))
     family = F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFF)
     dealt = written(counts.where(F.col("kind") == GRAM).select("key", "n").repartition(tasks, family), "byte-strings")
-    ones = [r[0] for r in dealt.groupBy(F.when(F.col("n") < 3, F.col("n")).otherwise(3).alias("k")).count().orderBy("k").select(F.struct("k", "count")).collect()]
-    by = {r["k"]: r["count"] for r in ones}
-    d_top = by.get(1, 0) / (by.get(1, 0) + 2 * by[2]) if by.get(2) and by.get(1) else 0.5
-    d = {k: 0.5 for k in range(2, ORDER)} | {ORDER: float(np.clip(d_top, 0.1, 0.9))}
 
-    def level1_of(level1: np.ndarray | None, sweeps: int):
+    def level1_of(level1: np.ndarray | None, sweeps: int, d: dict[int, float]) -> tuple[np.ndarray, dict[int, float]]:
+        """Customers of level 1 after some sweeps, and discounts from how many dishes of each level have one and two customers."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f = _family(batches)
             rng = np.random.default_rng(1000 + TaskContext.get().partitionId())
@@ -307,16 +337,20 @@ def train(counts: DataFrame, n_grams: int) -> tuple[np.ndarray, DataFrame, int]:
                 f.sweep(rng, level1, d)
             c = np.bincount(f.below, f.t[2], 65536)
             at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(c[at].astype(np.int64))], ["key", "n"])
+            few = [(-2 * k - i, int((f.c[k] == 1 + i).sum())) for k in range(2, ORDER + 1) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), *(k for k, _ in few)]), pa.array([*c[at].astype(np.int64).tolist(), *(n for _, n in few)])], ["key", "n"])
 
         rows = dealt.repartition(tasks, family).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
         c = np.zeros(65536)
+        few = {r["key"]: r["n"] for r in rows if r["key"] < 0}
         for r in rows:
-            c[r["key"]] = r["n"]
-        return c
+            if r["key"] >= 0:
+                c[r["key"]] = r["n"]
+        return c, {k: discount(few.get(-2 * k, 0), few.get(-2 * k - 1, 0)) for k in range(2, ORDER + 1)}
 
-    first = Root(level1_of(None, 0))
-    root = Root(level1_of(first.probabilities().reshape(-1), BURN_IN))
+    c, d = level1_of(None, 0, {})
+    first = Root(c)
+    root = Root(level1_of(first.probabilities().reshape(-1), BURN_IN, d)[0])
     level1 = np.mean([(root.sweep(), root.probabilities())[1] for _ in range(SAMPLES)], axis=0)
     flat = level1.reshape(-1)
 
@@ -347,15 +381,11 @@ def load(rows: DataFrame, level1: np.ndarray, part: int, parts: int) -> Model:
     """One slice at the driver, as arrays; its rows are bounded by SLICE_ROWS in the mean over slices."""
     t = rows.where(F.col("part") == part).drop("part").toArrow()
     kind, key = t["kind"].to_numpy(), t["key"].to_numpy().view(np.uint64)
-    values = np.stack([t[f"p{s}"].to_numpy() for s in range(SAMPLES)], axis=1) if t.num_rows else np.zeros((0, SAMPLES), np.float32)
+    values = np.stack([t[f"p{s}"].to_numpy() for s in range(SAMPLES)]) if t.num_rows else np.zeros((SAMPLES, 0), np.float32)
     levels = {}
     for k in range(2, ORDER + 1):
-        sides = []
-        for is_context in (1, 0):
-            at = np.flatnonzero(kind == 2 * k + is_context)
-            at = at[np.argsort(key[at])]
-            sides += [key[at], values[at]]
-        levels[k] = tuple(sides)
+        c, d = (np.flatnonzero(kind == 2 * k + is_context) for is_context in (1, 0))
+        levels[k] = level(key[c], values[:, c], key[d], values[:, d], k)
     return Model(level1, levels, part, parts)
 
 
@@ -369,11 +399,11 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     n, v = (facts[WORD]["n"], facts[WORD]["v"]) if WORD in facts else (0, 0)
     n_grams = facts[GRAM]["v"] if GRAM in facts else 0
     level1, restaurants, parts = train(counts, n_grams)
-    bound = n // FREQUENT
-    common = counts.where((F.col("kind") == WORD) & (F.col("n") > bound)).select("key", "n").toArrow()
+    bound, end = n // FREQUENT, end_hash()
+    often = (F.col("n") > bound) | (F.col("key") == end)
+    common = counts.where((F.col("kind") == WORD) & often).select("key", "n").toArrow()
     order = np.argsort(common["key"].to_numpy())
     words = spark.sparkContext.broadcast((common["key"].to_numpy()[order], common["n"].to_numpy()[order].astype(float)))
-    end = end_hash()
 
     def scorer(model, first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,10 +412,10 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
             m = model.value
             for ids, column in _chunks(batches, ["doc_id", "text"]):
                 w = Words(column)
-                stream, owner, scored = w.stream()
+                stream, scored, starts = w.stream()
                 coded = pa.array(grams(stream, scored)).dictionary_encode()
                 logs = m.log10(coded.dictionary.to_numpy())[coded.indices.to_numpy()]
-                total = np.bincount(owner[scored], logs, w.texts)
+                total = np.add.reduceat(logs, starts)
                 uids = np.arange(uid + 1, uid + 1 + w.texts)
                 uid += w.texts
                 columns = {"uid": pa.array(uids), "score": pa.array(total)}
@@ -419,7 +449,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     if parts > 1:
         total = total.groupBy("uid").agg(F.sum("score").alias("score"))
         scored = scored.drop("score").join(total, "uid")
-    rest = counts.where((F.col("kind") == WORD) & (F.col("n") <= bound)).select("key", "n")
+    rest = counts.where((F.col("kind") == WORD) & ~often).select("key", "n")
     uses = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     found = uses.hint("merge").join(rest, "key").groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("more_known"))
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
