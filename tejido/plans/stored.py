@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
+from ..operators import onboarding as O
 from ..operators import storage as K
 from ..sources import platforms as P
 from ..streaming import price_stream as T
@@ -287,3 +288,63 @@ def map_marketplace(spark, sf_dir):
     return _digest(P.marketplace(_base(spark, sf_dir).select(url.alias("url"), html.alias("html")), "ava", "Mercado"))
 
 
+
+
+# --- onboarding
+
+
+@query(
+    f"""WITH {PRODUCT_SQL} SELECT store_slug, count(*) AS products, (2 * count(*))::BIGINT AS variants, (2 * count(*))::BIGINT AS with_color, sum(has_image::INT)::BIGINT AS images, count(category) AS with_category, count(description) AS with_description FROM product GROUP BY 1"""
+)
+def coverage_by_store(spark, sf_dir):
+    p = products(spark, sf_dir).withColumn("variants", F.transform("variants", lambda v: F.struct(v["color"].alias("color"), F.lit(None).cast("string").alias("size"))))
+    return O.coverage_by_store(p).drop("with_size")
+
+
+@query("SELECT count(*) AS sites, count(*) FILTER (WHERE page_id % 3 = 0) AS with_product, count(*) FILTER (WHERE page_id % 6 = 0) AS with_price, count(*) FILTER (WHERE page_id % 2 = 1) AS with_sitemap FROM pages")
+def capabilities(spark, sf_dir):
+    k = F.col("page_id")
+    return O.capabilities(table(spark, sf_dir, "pages").select(F.when(k % 3 == 0, "WebSite,Product").otherwise("WebSite").alias("types"), F.when(k % 2 == 0, k).alias("price"), (k % 2 == 1).alias("sitemap")))
+
+
+@query(
+    """WITH c AS (SELECT s_name AS brand, i AS position, s_suppkey || '-' || i AS domain, CASE WHEN (s_suppkey + i) % 4 = 0 THEN 'vtex' WHEN (s_suppkey + i) % 2 = 0 THEN 'unknown' END AS platform FROM supplier, range(2) t(i)),
+    a AS (SELECT brand, arg_min(domain, (CASE WHEN platform = 'vtex' THEN 0 ELSE 1 END, position)) FILTER (WHERE platform IS NOT NULL) AS domain, arg_min(platform, (CASE WHEN platform = 'vtex' THEN 0 ELSE 1 END, position)) FILTER (WHERE platform IS NOT NULL) AS platform FROM c GROUP BY 1)
+    SELECT brand, coalesce(domain, '') AS domain, coalesce(platform, '') AS platform, CASE platform WHEN 'vtex' THEN 'ok' WHEN 'unknown' THEN 'plataforma no cubierta' ELSE 'no resuelve' END AS state FROM a"""
+)
+def brand_resolution(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("brand"), "s_suppkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("position"))
+    k = F.col("s_suppkey") + F.col("position")
+    return O.resolve_brands(s.select("brand", "position", F.concat_ws("-", "s_suppkey", "position").alias("domain"), F.when(k % 4 == 0, "vtex").when(k % 2 == 0, "unknown").alias("platform")))
+
+
+@query(
+    """SELECT 'mall' || (s_suppkey % 3) AS mall, cast(s_suppkey AS VARCHAR) AS slug, s_name AS name, CASE WHEN s_nationkey % 4 = 0 THEN s_nationkey::VARCHAR ELSE 'Moda ' || s_nationkey END AS trade, s_nationkey % 4 <> 0 AS fashion FROM supplier"""
+)
+def mall_directory(spark, sf_dir):
+    """Suppliers as shops, nations as trades; every fourth trade has no name."""
+    mall = F.concat(F.lit("mall"), (F.col("s_suppkey") % 3).cast("string"))
+    shops = table(spark, sf_dir, "supplier").select(mall.alias("mall"), F.col("s_suppkey").cast("string").alias("slug"), F.col("s_name").alias("name"), F.array("s_nationkey", "s_nationkey").alias("term_ids"))
+    terms = table(spark, sf_dir, "nation").where("n_nationkey % 4 <> 0").select(F.explode(F.array(*(F.lit(f"mall{i}") for i in range(3)))).alias("mall"), F.col("n_nationkey").alias("id"), F.concat(F.lit("Moda "), F.col("n_nationkey").cast("string")).alias("name"))
+    return O.mall_directory(shops, terms)
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND length(trim(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 320))) >= 25 THEN trim(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 320)) END AS description FROM documents"""
+)
+def generated_descriptions(spark, sf_dir):
+    """Documents as generated texts; two thirds begin with a comment or a refusal."""
+    k = F.col("doc_id") % 3
+    raw = F.concat(F.when(k == 1, "La imagen muestra ").when(k == 2, "NO_ES_PRENDA ").otherwise(""), "text")
+    return table(spark, sf_dir, "documents").select("doc_id", O.cleaned_description(raw).alias("description"))
+
+
+@query(f"WITH {PRODUCT_SQL} SELECT product_uid, CASE category WHEN 'dresses' THEN title || ' (es un/a vestido)' WHEN 'jeans' THEN title || ' (es un/a jean)' ELSE title END AS anchor FROM product WHERE category IS NULL OR category IN ('dresses', 'jeans')")
+def description_anchor(spark, sf_dir):
+    p = products(spark, sf_dir).where("category IS NULL OR category IN ('dresses', 'jeans')")
+    return p.select("product_uid", O.anchor(F.col("title"), F.col("category")).alias("anchor"))
+
+
+@query()
+def sampled_coverage(spark, sf_dir):
+    return O.sampled_coverage(products(spark, sf_dir), 100, {"title": F.col("title") != "", "description": F.col("description").isNotNull()})
