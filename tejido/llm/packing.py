@@ -26,7 +26,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import texts, trim
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, text_ids binary"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -50,7 +50,7 @@ def powers(n: int) -> list[int]:
 
 
 class Packer:
-    """Bins of one worker. Pieces are (document, start, length); a document is any object with room for its bytes."""
+    """Bins of one worker. Pieces are (what they are of, start, length); an open bin holds only the bytes of its pieces."""
 
     def __init__(self, capacity: int, first_id: int):
         self.capacity, self.next_id = capacity, first_id
@@ -64,12 +64,12 @@ class Packer:
             yield doc, start, length, sid, at
             at += length
 
-    def add(self, doc, n: int) -> Iterator[tuple]:
-        start = 0
-        for length in cut(n, self.capacity):
+    def add(self, doc_id: int, ids: bytes) -> Iterator[tuple]:
+        start, total = 0, len(ids) // 4
+        for length in cut(total, self.capacity):
             k = self.capacity // length
             group = self.open.setdefault(k, [])
-            group.append((doc, start, length))
+            group.append(((doc_id, total, ids[4 * start : 4 * (start + length)], start), start, length))
             start += length
             if len(group) == k:
                 del self.open[k]
@@ -109,7 +109,7 @@ class LibraryIds:
     those with special strings or rarer scripts, take the library's whole path one by one.
     """
 
-    MOST = 1_200_000
+    MOST = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -225,9 +225,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
         rows: list[tuple] = []
 
         def put(placed) -> None:
-            for (doc_id, ids), start, length, sid, at in placed:
-                part = ids[4 * start : 4 * (start + length)]
-                rows.append((doc_id, start, length, zlib.crc32(part), len(ids) // 4, sid, at, part if with_ids else None))
+            for (doc_id, total, part, begins), start, length, sid, at in placed:
+                part = part[4 * (start - begins) : 4 * (start - begins + length)]
+                rows.append((doc_id, start, length, zlib.crc32(part), total, sid, at, part if with_ids else None))
 
         def out():
             columns = zip(*rows) if rows else [[]] * len(NAMES)
@@ -240,10 +240,10 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
             names = iter(b.column("doc_id").to_pylist())
             for group in chunks(b.column("text").to_pylist()):
                 for ids in encoder.of(group):
-                    ids += end
-                    put(packer.add((next(names), ids), len(ids) // 4))
+                    put(packer.add(next(names), ids + end))
             yield out()
         put(packer.finish())
         yield out()
+        trim()
 
     return texts(docs).mapInArrow(run, SCHEMA)

@@ -510,41 +510,45 @@ def cut_out(data: bytes, spans: np.ndarray) -> tuple[bytes, int, int]:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, extra string"
 
 
-def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _results(as_text: bool):
     """Rows in order of kind: the spans of these texts, then the texts."""
-    decompressor = zstandard.ZstdDecompressor()
-    held: list = []
-    rows: list = []
-    size = 0
-    by_uid = None
-
-    def out():
-        kinds = [pa.int64()] * 4 + [pa.binary(), pa.string()]
-        columns = zip(*rows) if rows else [[]] * 6
-        b = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "extra"])
-        rows.clear()
-        return b
-
-    for b in batches:
-        for kind, uid, doc, data, extra in zip(*(b.column(c).to_pylist() for c in ("kind", "uid", "doc_id", "data", "extra"))):
-            if kind == SPAN:
-                held.append(_unpacked(data, 3))
-                continue
-            if by_uid is None:
-                owner, a, n = (np.concatenate(c) for c in zip(*held)) if held else [np.zeros(0, np.int64)] * 3
-                held.clear()
-                order = np.argsort(owner, kind="stable")
-                by_uid, spans = owner[order], np.stack([a[order], a[order] + n[order]], axis=1)
-            lo, hi = np.searchsorted(by_uid, [uid, uid + 1])
-            text = decompressor.decompress(data)
-            kept, removed, runs = cut_out(text, spans[lo:hi])
-            rows.append((doc, len(text), removed, runs, kept, extra))
-            size += len(kept)
-            if size > 8 << 20:
-                yield out()
-                size = 0
-    yield out()
-    trim()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decompressor = zstandard.ZstdDecompressor()
+        held: list = []
+        rows: list = []
+        size = 0
+        by_uid = None
+
+        def out():
+            kinds = [pa.int64()] * 4 + [pa.string() if as_text else pa.binary(), pa.string()]
+            columns = zip(*rows) if rows else [[]] * 6
+            b = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "text" if as_text else "kept", "extra"])
+            rows.clear()
+            return b
+
+        for b in batches:
+            for kind, uid, doc, data, extra in zip(*(b.column(c).to_pylist() for c in ("kind", "uid", "doc_id", "data", "extra"))):
+                if kind == SPAN:
+                    held.append(_unpacked(data, 3))
+                    continue
+                if by_uid is None:
+                    owner, a, n = (np.concatenate(c) for c in zip(*held)) if held else [np.zeros(0, np.int64)] * 3
+                    held.clear()
+                    order = np.argsort(owner, kind="stable")
+                    by_uid, spans = owner[order], np.stack([a[order], a[order] + n[order]], axis=1)
+                lo, hi = np.searchsorted(by_uid, [uid, uid + 1])
+                text = decompressor.decompress(data)
+                kept, removed, runs = cut_out(text, spans[lo:hi])
+                rows.append((doc, len(text), removed, runs, kept.decode("utf-8", "replace") if as_text else kept, extra))
+                size += len(kept)
+                if size > 8 << 20:
+                    yield out()
+                    size = 0
+        yield out()
+        trim()
+
+    return run
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -554,26 +558,19 @@ def keep(docs: DataFrame) -> DataFrame:
     """
     others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
     kind = StructType(others)
-    left = dedup(docs, F.to_json(F.struct(*(F.col(f"`{f.name}`") for f in others))) if others else None)
+    left = dedup(docs, F.to_json(F.struct(*(F.col(f"`{f.name}`") for f in others))) if others else None, as_text=True)
     back = F.from_json("extra", kind)
     text = F.col("text")
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = [x.decode("utf-8", "replace") for x in b.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(words, pa.string()), b.column("extra")], ["doc_id", "text", "extra"])
-
-    left = left.select("doc_id", "kept", "extra").mapInArrow(decoded, "doc_id long, text string, extra string")
     columns = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text}
     for f in others:
         columns[f.name] = F.char_length(text).cast(f.dataType) if f.name == "n_chars" else back[f.name]
     return left.select(*(columns[n].alias(n) for n in docs.columns))
 
 
-def dedup(docs: DataFrame, extra: Column | None = None) -> DataFrame:
+def dedup(docs: DataFrame, extra: Column | None = None, as_text: bool = False) -> DataFrame:
     """RESULT: one row per row of docs; `kept` holds the remaining bytes. docs should be a table: it is read three times.
 
-    extra: a string that goes along with each row.
+    extra: a string that goes along with each row. as_text: `text` instead of `kept`, with U+FFFD for half characters.
     """
     source = texts(docs)
     carried = source if extra is None else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), extra.alias("extra"))
@@ -601,4 +598,4 @@ def dedup(docs: DataFrame, extra: Column | None = None) -> DataFrame:
     rows = carried.mapInArrow(_texts(parts), ROW)
     for more in spans:
         rows = rows.unionByName(more)
-    return rows.repartition(parts, "bucket").sortWithinPartitions("kind").mapInArrow(_results, RESULT)
+    return rows.repartition(parts, "bucket").sortWithinPartitions("kind").mapInArrow(_results(as_text), RESULT.replace("kept binary", "text string") if as_text else RESULT)
