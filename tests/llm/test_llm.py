@@ -434,6 +434,16 @@ def test_rare_words_are_joined(spark, monkeypatch, docs):
     assert all(a == joined[i][0] and b == pytest.approx(joined[i][1]) for i, (a, b) in whole.items())
 
 
+def test_model_slices_add_up(spark, monkeypatch, docs):
+    one = {r["doc_id"]: r["score"] for r in hpylm.score(docs).collect()}
+    loads = []
+    load = hpylm.load
+    monkeypatch.setattr(hpylm, "SLICE_ROWS", 150_000)
+    monkeypatch.setattr(hpylm, "load", lambda *a: (loads.append(a[2]), load(*a))[1])
+    several = {r["doc_id"]: r["score"] for r in hpylm.score(docs).collect()}
+    assert len(loads) > 1 and all(s == pytest.approx(several[i]) for i, s in one.items())
+
+
 def test_predictive_probabilities_sum_to_one(spark):
     text = b"abracadabra abracadabra " * 20
     stream = np.frombuffer(b"\n" * hpylm.ORDER + text + b"\n", np.uint8)
