@@ -81,7 +81,7 @@ class LineCRF:
         return out[::-1]
 
 
-FEATURES = ["one", "symbols", "many symbols", "upper", "exclaims", "digits", "no letters", "short", "long", "ends a sentence", "lower", "seen before"]
+FEATURES = ["one", "symbols", "many symbols", "upper", "exclaims", "digits", "no letters", "short", "long", "ends a sentence", "lower", "seen before", "bars"]
 SYMBOLS = b"#*$%&|<>"
 _classes = np.zeros(256, np.uint8)
 for _k, _chars in enumerate((b" \t\n\x0b\x0c\r", SYMBOLS, b"!", b"0123456789", bytes(range(65, 91)), bytes([*range(97, 123), *range(128, 256)])), 1):
@@ -100,15 +100,17 @@ def line_features(lines: list[bytes], seen_before: list[bool]) -> np.ndarray:
     full = np.maximum(lengths - space, 1)
     letters = upper + lower
     words = np.fromiter((len(x.split()) for x in lines), np.int64, len(lines))
+    bars = np.fromiter((x.count(b"|") + x.count(b"\xc2\xb7") + x.count(b"\xc2\xbb") for x in lines), np.int64, len(lines))  # what menus are parted by
     closed = np.fromiter((x.rstrip()[-1:] in b".?:;" for x in lines), bool, len(lines))
     return np.stack(
         [np.ones(len(lines)), symbol >= 0.03 * full, symbol >= 0.15 * full, (upper >= 0.5 * np.maximum(letters, 1)) & (letters >= 4), exclaim >= 0.05 * full, digit >= 0.3 * full, letters == 0,
-         words < 4, words >= 8, closed, lower >= 0.75 * full, np.array(seen_before, bool)], axis=1,
+         words < 4, words >= 8, closed, lower >= 0.75 * full, np.array(seen_before, bool),
+         (bars >= 2) & (bars >= 0.15 * words)], axis=1,
     ).astype(float)
 
 
 def seed_labels(features: np.ndarray) -> np.ndarray:
-    """Weak labels to train from: lines of signs, shouting, numbers, or a line that was there before are boilerplate."""
+    """Weak labels to train from: lines of signs, shouting, numbers, menus, or a line that was there before are boilerplate."""
     f = {name: features[:, i] > 0 for i, name in enumerate(FEATURES)}
-    bad = f["many symbols"] | f["upper"] | f["exclaims"] | f["digits"] | f["no letters"] | f["seen before"] | (f["symbols"] & ~f["lower"])
+    bad = f["many symbols"] | f["upper"] | f["exclaims"] | f["digits"] | f["no letters"] | f["seen before"] | f["bars"] | (f["symbols"] & ~f["lower"])
     return np.where(bad, BOILERPLATE, CONTENT)
