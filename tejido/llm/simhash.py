@@ -124,6 +124,17 @@ def near_duplicates(docs: DataFrame, k: int = 3, distance: int = 3) -> DataFrame
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number of each row's own once they are written."""
+    return docs.withColumn("_row", F.monotonically_increasing_id())
+
+
+def first_rows(rows: DataFrame, named: DataFrame, columns: list[str]) -> DataFrame:
+    """Of each component the row of the smallest doc_id, nulls last; named: (_row, doc_id, component)."""
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    return rows.join(first.select("first._row"), "_row", "left_semi").select(columns)
+
+
 def keep(docs: DataFrame, k: int = 3, distance: int = 3) -> DataFrame:
     """The row of each component's smallest doc_id, with all columns of docs; of several rows with that id one stays."""
     found = near_duplicates(docs, k, distance)

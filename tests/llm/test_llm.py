@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tejido.llm import bpe, counting, crf, encoding, hpylm, neighbours, packing, quality_pu, quality_rules, sharding, simhash, suffix_dedup
+from tejido.llm import bpe, counting, crf, encoding, hpylm, near_copies, neighbours, packing, quality_pu, quality_rules, sharding, simhash, suffix_dedup
 from tejido.llm.common import written
 from tejido.llm.components import components
 
@@ -298,6 +298,52 @@ def test_near_duplicates(spark, awkward):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def brute_copies(rows):
+    """The ids that stay: five-word shingles, every pair of similarity 0.8 or more linked; ids are distinct."""
+    sets = []
+    for _, x in rows:
+        words = (x or "").encode().lower().split()
+        sets.append({b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    of = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if of[i] != of[j] and (5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                of = [of[j] if o == of[i] else o for o in of]
+    least = {}
+    for (i, _), o in zip(rows, of):
+        least[o] = min(i, least.get(o, i))
+    return counted(least.values())
+
+
+def edited(seed=9):
+    """Groups of texts with some words changed, chains among them, and one line that many have."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randrange(5000)}"
+    out = []
+    for g in range(25):
+        text = [word() for _ in range(r.choice([3, 5, 12, 60, 64, 300]))]
+        for _ in range(r.randrange(1, 14)):
+            out.append(" ".join(text + (["all", "rights", "of", "this", "page", "are", "reserved"] if g % 2 else [])))
+            for _ in range(r.randrange(0, 3)):
+                text[r.randrange(len(text))] = word()
+    r.shuffle(out)
+    return list(enumerate(out))
+
+
+def test_pipeline_links_every_pair_as_similar_as_eight_tenths(spark, docs, texts):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(64)]
+    pair = [(2, " ".join(words)), (56, " ".join([*words[:30], "other", *words[31:]]))]
+    assert (brute_fingerprint(pair[0][1]) ^ brute_fingerprint(pair[1][1])).bit_count() > 3
+    for rows in (pair, edited(), [r for r in {i: (i, x) for i, x in AWKWARD if i is not None}.values()], []):
+        source = frame(spark, rows)
+        kept = corpus_pipeline.near_copies(spark, source, SF)
+        assert kept.columns == source.columns
+        assert counted(r["doc_id"] for r in kept.collect()) == brute_copies(rows)
+    assert counted(r["doc_id"] for r in near_copies.keep(docs).collect()) == brute_copies(texts)
+
+
 # --- neighbours
 
 
