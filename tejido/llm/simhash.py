@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import texts, written
+from .common import small_batches, texts, written
 from .components import components
 
 SEED = 42
@@ -136,7 +137,17 @@ def first_rows(rows: DataFrame, named: DataFrame, columns: list[str]) -> DataFra
 
 
 def keep(docs: DataFrame, k: int = 3, distance: int = 3) -> DataFrame:
-    """The row of each component's smallest doc_id, with all columns of docs; of several rows with that id one stays."""
-    found = near_duplicates(docs, k, distance)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("_kept")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_kept"]), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """The row of each component's smallest doc_id, with all columns of docs; texts without an id: one row of each fingerprint."""
+    small_batches(docs.sparkSession)
+    rows = numbered(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([majority(shingle_hashes(t or "", k)) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64())], [*b.schema.names, "_fp"])
+
+    marked = written(rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_fp", T.LongType())])), "simhash-marked")
+    # Fingerprints are the nodes here: one id can have several.
+    classes = written(marked.where(F.col("doc_id").isNotNull()).select(F.col("_fp").alias("fp")).distinct().withColumn("id", F.col("fp")), "simhash-classes")
+    found = marked.select("_row", "doc_id", F.col("_fp").alias("node")).join(components(linked(classes, distance)), "node", "left")
+    return first_rows(marked, found.withColumn("component", F.coalesce("component", "node")), docs.columns)

@@ -298,6 +298,14 @@ def test_near_duplicates(spark, awkward):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("keep", [simhash.keep, near_copies.keep])
+def test_null_and_repeated_ids_lose_no_text(spark, keep):
+    said = [" ".join(f"{name}{i}" for i in range(40)) for name in "abcdefghijkl"]
+    rows = [*((None, x) for x in said[:10]), (None, said[0]), (7, said[10]), (7, said[11]), (8, said[11])]
+    got = counted((r["doc_id"], r["text"]) for r in keep(frame(spark, rows)).collect())
+    assert got == counted([*((None, x) for x in said[:10]), (7, said[10]), (7, said[11])])
+
+
 def brute_copies(rows):
     """The ids that stay: five-word shingles, every pair of similarity 0.8 or more linked; ids are distinct."""
     sets = []
