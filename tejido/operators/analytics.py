@@ -78,21 +78,28 @@ def keep_first(rows: DataFrame, key: str, position: str) -> DataFrame:
 
 
 def keep_first_of_two_keys(rows: DataFrame, group: str, position: str, first: str, second: str) -> DataFrame:
-    """In order of position, a row stays unless a row that stayed has either key; per group, since each choice needs those before."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = pdf.sort_values(position)
-        met_a, met_b, flags = set(), set(), []
-        for a, b in zip(order[first], order[second]):
-            stays = bool(a) and bool(b) and a not in met_a and b not in met_b
-            if stays:
-                met_a.add(a)
-                met_b.add(b)
-            flags.append(stays)
-        return order[flags]
-
-    return rows.groupBy(group).applyInPandas(fold, rows.schema)
+    """In order of position, a row stays unless a row that stayed has either key; rows without one of the keys go.
+
+    Each choice needs those before it, so a group is a sequence by nature. Spark sorts it and it comes in batches: a task
+    holds the keys that stayed in one group, not its rows.
+    """
+    import pyarrow as pa
+
+    def fold(batches):
+        now, met_a, met_b = None, set(), set()
+        for b in batches:
+            flags = []
+            for g, x, y in zip(*(b.column(c).to_pylist() for c in (group, first, second))):
+                if g != now:
+                    now, met_a, met_b = g, set(), set()
+                stays = bool(x) and bool(y) and x not in met_a and y not in met_b
+                if stays:
+                    met_a.add(x)
+                    met_b.add(y)
+                flags.append(stays)
+            yield b.filter(pa.array(flags, pa.bool_()))
+
+    return rows.repartition(group).sortWithinPartitions(group, position).mapInArrow(fold, rows.schema)
 
 
 def apparel(products: DataFrame) -> DataFrame:

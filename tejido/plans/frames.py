@@ -103,3 +103,16 @@ def trigram_sql(x: str) -> str:
 def similarity_sql(x: str, y: str) -> str:
     a, b = trigram_sql(x), trigram_sql(y)
     return f"(len(list_intersect({a}, {b})) * 1.0 / len(list_distinct(list_concat({a}, {b}))))"
+
+
+def shared_folder(spark) -> str:
+    """Where driver and executors both see files (spark.checkpoint.dir); unset, as in local tests, a temporary folder stands in."""
+    import tempfile
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import color, marketplace, money, options, questions, shaping, size, taxonomy, text
+from ..functions import vocabulary as V
 from ..operators import analytics as A
 from ..sources import landed
 from .frames import COLORS, PRODUCT_SQL, at, products, sql_at, table
@@ -58,14 +59,14 @@ _SIZE_SQL = "CASE WHEN {n} BETWEEN 32 AND 60 THEN 'ar_numeric' WHEN {n} BETWEEN
 
 
 @query(
-    f"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN cast(p_size AS VARCHAR) WHEN 1 THEN 'ONE SIZE' WHEN 2 THEN 'XL' ELSE p_size || 'x50' END AS normalized, "
-    f"CASE p_partkey % 4 WHEN 0 THEN {_SIZE_SQL.format(n='p_size')} WHEN 1 THEN 'one_size' WHEN 2 THEN 'alpha' ELSE 'dimension' END AS system FROM part WHERE p_size >= 10"
+    f"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN cast(p_size AS VARCHAR) WHEN 1 THEN 'ONE SIZE' WHEN 2 THEN 'XL' ELSE CASE WHEN p_size >= 10 THEN p_size || 'x50' END END AS normalized, "
+    f"CASE p_partkey % 4 WHEN 0 THEN {_SIZE_SQL.format(n='p_size')} WHEN 1 THEN 'one_size' WHEN 2 THEN 'alpha' ELSE CASE WHEN p_size >= 10 THEN 'dimension' ELSE 'unknown' END END AS system FROM part"
 )
 def size_normalize(spark, sf_dir):
     k, n = F.col("p_partkey") % 4, F.col("p_size").cast("string")
     raw = F.when(k == 0, F.concat(F.lit("Talle "), n)).when(k == 1, "Talle único").when(k == 2, "XG").otherwise(F.concat(n, F.lit(" X 50")))
     s = F.col("s")
-    return table(spark, sf_dir, "part").where("p_size >= 10").withColumn("s", size.normalize_size(raw)).select("p_partkey", s["normalized"].alias("normalized"), s["system"].alias("system"))
+    return table(spark, sf_dir, "part").withColumn("s", size.normalize_size(raw)).select("p_partkey", s["normalized"].alias("normalized"), s["system"].alias("system"))
 
 
 @query("SELECT p_partkey, p_size BETWEEN 1 AND 60 AND p_size <> 19 AS size_like, p_partkey % 3 = 0 AS odd FROM part")
@@ -95,17 +96,26 @@ def category_rules(spark, sf_dir):
     return products(spark, sf_dir).select("product_uid", taxonomy.classify_category(F.col("title"), F.array("p_type")).alias("category"))
 
 
+_CRUMBS = ("Hombres", "Niño y bebé", "MUJER", "Camisas de Xiamen")
+
+
 @query(
-    f"WITH {PRODUCT_SQL} SELECT product_uid, CASE key % 4 WHEN 0 THEN 'men' WHEN 1 THEN 'kids' WHEN 2 THEN 'women' ELSE CASE WHEN category IN ('dresses', 'skirts', 'lingerie') THEN 'women' ELSE 'unknown' END END AS gender FROM product"
+    f"WITH {PRODUCT_SQL}, s AS (SELECT product_uid, category, lower(strip_accents(p_name || ' ' || {sql_at(_CRUMBS, 'key')})) AS source FROM product) "
+    f"SELECT product_uid, coalesce({_rules_sql(taxonomy.GENDERS, 'source')}, CASE WHEN category IN ('dresses', 'skirts', 'lingerie') THEN 'women' END, 'unknown') AS gender FROM s"
 )
 def gender_rules(spark, sf_dir):
-    crumb = at(("Hombres", "Niño y bebé", "MUJER", "Camisas de Xiamen"), F.col("key"))
+    crumb = at(_CRUMBS, F.col("key"))
     return products(spark, sf_dir).select("product_uid", taxonomy.classify_gender(F.col("p_name"), F.array(crumb), category=F.col("category")).alias("gender"))
 
 
-@query("SELECT p_partkey, p_partkey % 3 <> 2 AS campaign FROM part")
+_SECTIONS = ("Hot-Sale verano", "Otoño 24", "Vestidos")
+
+
+@query(f"SELECT doc_id, regexp_matches(lower(strip_accents(coalesce(text, '') || ' ' || {sql_at(_SECTIONS, 'doc_id')})), '{'|'.join(taxonomy.CAMPAIGNS)}') AS campaign FROM documents")
 def collection_hints(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", taxonomy.is_collection(at(("Hot-Sale verano", "Otoño 24", "Vestidos"), F.col("p_partkey"))).alias("campaign"))
+    """Whole documents as section names, with a section after each."""
+    named = F.concat_ws(" ", F.coalesce("text", F.lit("")), at(_SECTIONS, F.col("doc_id")))
+    return table(spark, sf_dir, "documents").select("doc_id", taxonomy.is_collection(named).alias("campaign"))
 
 
 @query(
@@ -122,33 +132,62 @@ def option_split(spark, sf_dir):
 
 
 _QUESTIONS = (
-    "pollera de jean con bolsillos hasta 20 lucas", "campera bordó talle M para hombre", "vestidos entre 10.000 y 30000 con tajo", "¿y en negro?", "algo de morley desde $5.000 por mayor", "zapatillas para niños menos de 15 mil", "gracias",
+    "pollera de jean con bolsillos hasta 20 lucas", "campera bordó talle M para hombre", "vestidos entre 10.000 y 30000 con tajo", "¿y en negro?", "algo de morley desde $5.000 por mayor", "zapatillas para niños no más de 15 mil", "gracias",
 )
-_PARSED = {
-    "category": ("skirts", "outerwear", "dresses", None, None, "shoes", None), "color": (None, "red", None, "black", None, None, None), "size": (None, "M", None, None, None, None, None),
-    "tela": ("denim", None, None, None, "morley", None, None), "detalle": (None, None, "tajo", None, None, None, None), "genero": (None, "men", None, None, None, "kids", None), "canal": (None, None, None, None, "mayorista", None, None),
-    "max_cents": (2000000, None, 3000000, None, None, 1500000, None), "min_cents": (None, None, 1000000, None, 500000, None, None),
-}
 
 
-def _picked(name: str, key: str) -> str:
-    values = ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::BIGINT" for v in _PARSED[name])
-    return f"([{values}])[1 + {key} % {len(_QUESTIONS)}]"
+def _asked(spark, sf_dir):
+    """Each turn's own text with a question after it."""
+    question = at(_QUESTIONS, F.col("conv_id") + F.col("turn"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit(". "), question).alias("text"))
 
 
-def _asked(spark, sf_dir):
-    key = F.col("conv_id") + F.col("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", at(_QUESTIONS, key).alias("text"))
+_HEAD, _TAIL = r"(?:^|[^\p{L}\p{M}\p{N}_])", r"(?:[^\p{L}\p{M}\p{N}_]|$)"
+
+
+def _word_sql(tokens, plural: bool = False, open_end: bool = False) -> str:
+    return f"regexp_matches(low, '{_HEAD}(?:{'|'.join(tokens)}){'s?' if plural else ''}{'' if open_end else _TAIL}')"
+
+
+def _first_sql(choices: dict[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN {hit} THEN '{name}'" for name, hit in choices.items()) + " END"
+
+
+def _cents_sql(text: str, pattern: str, number: int, unit: int | None = None) -> str:
+    part = lambda i: f"nullif(regexp_extract({text}, '{pattern.replace('(?iu)', '')}', {i}), '')"
+    n = f"try_cast(replace(replace({part(number)}, '.', ''), ',', '.') AS DOUBLE)"
+    times = f" * CASE WHEN {part(unit)} IN ('lucas', 'mil', 'k') THEN 1000 ELSE 1 END" if unit else ""
+    return f"cast(trunc({n}{times} * 100) AS BIGINT)"
+
+
+def _own_sql() -> str:
+    """The filters of each turn, worked out of its text by regular expressions without look-behind."""
+    both = f"regexp_matches(low, '{V.BETWEEN.replace('(?iu)', '')}')"
+    bounded = lambda p: f"'{p.replace('(?iuU)', '').replace(chr(92) + 'b', _HEAD, 1).removesuffix(chr(92) + 'b') + _TAIL}'"
+    garments = {c: w for c, ws in V.CATEGORY_WORDS.items() if (w := [x for x in ws if x not in V.FABRIC_AND_CATEGORY])}
+    plain = "replace(low, 'no más de', '#')"
+    fields = {
+        "canal": f"CASE WHEN {' OR '.join(f"contains(low, '{w}')" for w in V.WHOLESALE_WORDS)} THEN 'mayorista' END",
+        "genero": _first_sql({g: f"regexp_matches(low, {bounded(p)})" for g, p in V.GENDER_PATTERNS.items()}),
+        "tela": _first_sql({k: _word_sql(ws, open_end=True) for k, ws in V.AXES["tela"].items()}),
+        "detalle": _first_sql({k: _word_sql(ws, open_end=True) for k, ws in V.AXES["detalle"].items()}),
+        "max_cents": f"CASE WHEN {both} THEN {_cents_sql('low', V.BETWEEN, 2)} ELSE {_cents_sql('low', V.UPTO, 1, 2)} END",
+        "min_cents": f"CASE WHEN {both} THEN {_cents_sql('low', V.BETWEEN, 1)} ELSE {_cents_sql(plain, V.FROM, 1, 2)} END",
+        "category": f"coalesce({_first_sql({c: _word_sql(ws, True) for c, ws in garments.items()})}, {_first_sql({c: _word_sql(ws, True) for c, ws in V.CATEGORY_WORDS.items()})})",
+        "color": _first_sql({c: _word_sql(ws, True) for c, ws in V.COLOR_WORDS.items()}),
+        "size": f"upper(nullif(regexp_extract(low, {bounded(V.SIZE)}, 1), ''))",
+    }
+    asked = f"lower(coalesce(text, '') || '. ' || {sql_at(_QUESTIONS, '(conv_id + turn)')})"
+    return f"low AS (SELECT conv_id, turn, {asked} AS low FROM conversations), own AS (SELECT conv_id, turn, {', '.join(f'{x} AS {f}' for f, x in fields.items())} FROM low)"
 
 
-@query("SELECT conv_id, turn, " + ", ".join(f"{_picked(f, '(conv_id + turn)')} AS {f}" for f in questions.FIELDS) + " FROM conversations")
+@query(f"WITH {_own_sql()} SELECT conv_id, turn, {', '.join(questions.FIELDS)} FROM own")
 def parse_query_filters(spark, sf_dir):
     return questions.parse_questions(_asked(spark, sf_dir)).select("conv_id", "turn", *questions.FIELDS)
 
 
 @query(
-    "WITH own AS (SELECT conv_id, turn, " + ", ".join(f"{_picked(f, '(conv_id + turn)')} AS {f}" for f in questions.FIELDS) + " FROM conversations) SELECT conv_id, turn, "
-    + ", ".join(f"last_value({f} IGNORE NULLS) OVER w AS {f}" if f in questions.INHERITED else f for f in questions.FIELDS)
+    f"WITH {_own_sql()} SELECT conv_id, turn, " + ", ".join(f"last_value({f} IGNORE NULLS) OVER w AS {f}" if f in questions.INHERITED else f for f in questions.FIELDS)
     + " FROM own WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)"
 )
 def thread_inheritance(spark, sf_dir):
@@ -156,17 +195,18 @@ def thread_inheritance(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT conv_id, turn, trim(left(text, 20 + 7 * turn::INT)) AS text FROM conversations WHERE role = 'user'),
-    h AS (SELECT conv_id, turn, text, list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS before FROM t),
-    m AS (SELECT *, list_max(list_transform(before, lambda p: length(p))) AS longest FROM h)
-    SELECT conv_id, turn, CASE WHEN before IS NULL OR len(before) = 0 THEN text ELSE array_to_string(before, ' | ') || repeat(' | ' || text, greatest(2, least(3, ceil(longest / length(text))::INT))) END AS asked FROM m"""
+    """WITH t AS (SELECT conv_id, turn, trim(coalesce(text, '')) AS text FROM conversations WHERE role = 'user'),
+    h AS (SELECT conv_id, turn, text, list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS history FROM t),
+    b AS (SELECT *, list_filter(coalesce(history, []), lambda p: p <> '') AS before FROM h),
+    m AS (SELECT *, list_max(list_transform(before, lambda p: length(p))) AS longest FROM b)
+    SELECT conv_id, turn, CASE WHEN len(before) = 0 THEN text WHEN text = '' THEN array_to_string(before, ' | ')
+    ELSE array_to_string(before, ' | ') || repeat(' | ' || text, greatest(2, least(3, ceil(longest / length(text))::INT))) END AS asked FROM m"""
 )
 def query_text(spark, sf_dir):
     from pyspark.sql import Window
 
-    turn = F.trim(F.substring("text", F.lit(1), F.lit(20) + 7 * F.col("turn").cast("int")))
     back = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-3, -1)
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", turn.alias("text"))
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     return rows.withColumn("before", F.collect_list("text").over(back)).select("conv_id", "turn", questions.query_text(F.col("text"), F.col("before")).alias("asked"))
 
 

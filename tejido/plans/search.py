@@ -148,10 +148,10 @@ def gender_channel_price(spark, sf_dir):
 
 @query(
     """SELECT l_orderkey, l_linenumber, p_name, s_name, l_extendedprice FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
-    WHERE p_size = 40 AND l_returnflag <> 'R' ORDER BY l_extendedprice, l_orderkey, l_linenumber LIMIT 100"""
+    WHERE p_size = 40 AND l_returnflag <> 'R' ORDER BY l_extendedprice, l_orderkey, l_linenumber"""
 )
 def variant_price_join(spark, sf_dir):
     part = table(spark, sf_dir, "part").where("p_size = 40").select("p_partkey", "p_name")
     line = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     joined = line.join(part, F.col("p_partkey") == F.col("l_partkey")).join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.col("s_suppkey") == F.col("l_suppkey"))
-    return joined.orderBy("l_extendedprice", "l_orderkey", "l_linenumber").limit(100).select("l_orderkey", "l_linenumber", "p_name", "s_name", "l_extendedprice")
+    return joined.orderBy("l_extendedprice", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "p_name", "s_name", "l_extendedprice")

@@ -12,7 +12,7 @@ from ..operators import onboarding as O
 from ..operators import storage as K
 from ..sources import platforms as P
 from ..streaming import price_stream as T
-from .frames import COLORS, GARMENTS, NOW, POINT_SQL, PRODUCT_SQL, STORE_SQL, at, points, products, sql_at, stores, table
+from .frames import COLORS, GARMENTS, NOW, POINT_SQL, PRODUCT_SQL, STORE_SQL, at, points, products, shared_folder, sql_at, stores, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -127,13 +127,26 @@ def pending_urls(spark, sf_dir):
 
 
 def _through_stream(spark: SparkSession, sf_dir: str, build, mode: str) -> DataFrame:
-    """Runs a stream over the events table's file to its end and reads the sink."""
-    name = f"stream_{uuid.uuid4().hex}"
+    """Runs a stream over the events table's file to its end; Parquet parts and the stream's progress go to the shared folder.
+
+    Complete results are written once for each micro-batch, under its number, so a batch that is run again replaces its own rows.
+    """
+    at = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{sf_dir}/[e]vents.parquet")
-    run = build(events).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    out = build(events)
+    sink = out.writeStream.option("checkpointLocation", f"{at}/progress").outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        sink.format("parquet").option("path", f"{at}/rows").start().awaitTermination()
+        return spark.read.schema(out.schema).parquet(f"{at}/rows")
+    last = [0]
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
+        last[0] = number
+
+    sink.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/rows/batch={last[0]}")
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -148,13 +161,33 @@ def stream_dedup_append(spark, sf_dir):
     return _through_stream(spark, sf_dir, lambda e: T.once(e.unionByName(e), ["event_id"]), "append").select("event_id", "user_id")
 
 
-@query()
+_HOST_EVENTS = "e AS (SELECT cast(user_id % 20 AS VARCHAR) AS host, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS i, CASE WHEN event_type = 'error' THEN 503 ELSE 200 END AS status, value / 100 AS latency FROM events)"
+
+
+@query(
+    f"""WITH RECURSIVE {_HOST_EVENTS},
+    s AS (SELECT DISTINCT host, 0::BIGINT AS i, 4 AS concurrency, 4 AS peak, 0 AS streak, [NULL::DOUBLE][2:] AS recent, NULL::DOUBLE AS best, 0::BIGINT AS ok, 0::BIGINT AS stressed FROM e
+    UNION ALL SELECT host, i, CASE WHEN bad THEN greatest(1, concurrency // 2) WHEN up THEN concurrency + 1 ELSE concurrency END, CASE WHEN up THEN greatest(peak, concurrency + 1) ELSE peak END,
+        CASE WHEN bad OR due THEN 0 ELSE streak END, recent, best, ok, stressed FROM (
+        SELECT *, due AND NOT (best > 0 AND list_sort(recent)[1 + len(recent) // 2] > best * 2.5) AS up FROM (
+            SELECT *, NOT bad AND streak >= 40 AND concurrency < 32 AS due FROM (
+                SELECT s.host, e.i, e.status = 503 AS bad, s.concurrency, s.peak, s.streak + 1 AS streak, CASE WHEN e.status = 503 THEN s.recent ELSE list_append(s.recent, e.latency)[-40:] END AS recent,
+                    CASE WHEN e.status = 503 THEN s.best ELSE least(coalesce(s.best, e.latency), e.latency) END AS best, s.ok + (e.status = 200)::BIGINT AS ok, s.stressed + (e.status = 503)::BIGINT AS stressed
+                FROM s JOIN e ON e.host = s.host AND e.i = s.i + 1))))
+    SELECT host, arg_max(concurrency, i) AS concurrency, max(peak) AS peak, max(ok) AS ok, max(stressed) AS stressed, 0::BIGINT AS failed FROM s GROUP BY host"""
+)
 def rate_controller(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("host"), "ts", F.when(F.col("event_type") == "error", 503).otherwise(200).alias("status"), (F.col("value") / 100).alias("latency"))
-    return T.rate_controller(e)
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("host"), "ts", "event_id", F.when(F.col("event_type") == "error", 503).otherwise(200).alias("status"), (F.col("value") / 100).alias("latency"))
+    return T.rate_controller(e, tie="event_id")
 
 
-@query()
+@query(
+    """WITH RECURSIVE p AS (SELECT p_partkey % 10 AS store, p_partkey, p_name AS model, cast(p_partkey % 77 AS VARCHAR) AS id, row_number() OVER (PARTITION BY p_partkey % 10 ORDER BY p_partkey) AS i FROM part),
+    s AS (SELECT DISTINCT store, 0::BIGINT AS i, NULL::BIGINT AS p_partkey, NULL::VARCHAR AS model, NULL::VARCHAR AS id, false AS stays, ['']::VARCHAR[] AS models, ['']::VARCHAR[] AS ids FROM p
+    UNION ALL SELECT store, i, p_partkey, model, id, stays, CASE WHEN stays THEN list_append(models, model) ELSE models END, CASE WHEN stays THEN list_append(ids, id) ELSE ids END FROM (
+        SELECT s.store, p.i, p.p_partkey, p.model, p.id, s.models, s.ids, NOT list_contains(s.models, p.model) AND NOT list_contains(s.ids, p.id) AS stays FROM s JOIN p ON p.store = s.store AND p.i = s.i + 1))
+    SELECT store, p_partkey, model, id FROM s WHERE stays"""
+)
 def two_key_dedup(spark, sf_dir):
     """The first row of each model and of each id, in order, within a store."""
     p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 10).alias("store"), "p_partkey", F.col("p_name").alias("model"), (F.col("p_partkey") % 77).cast("string").alias("id"))
@@ -339,10 +372,12 @@ def generated_descriptions(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", O.cleaned_description(raw).alias("description"))
 
 
-@query(f"WITH {PRODUCT_SQL} SELECT product_uid, CASE category WHEN 'dresses' THEN title || ' (es un/a vestido)' WHEN 'jeans' THEN title || ' (es un/a jean)' ELSE title END AS anchor FROM product WHERE category IS NULL OR category IN ('dresses', 'jeans')")
+_ANCHORS = " ".join(f"WHEN '{c}' THEN title || ' (es un/a {name})'" for c, name in O.CATEGORY_NAMES.items())
+
+
+@query(f"WITH {PRODUCT_SQL} SELECT product_uid, CASE category {_ANCHORS} ELSE title END AS anchor FROM product")
 def description_anchor(spark, sf_dir):
-    p = products(spark, sf_dir).where("category IS NULL OR category IN ('dresses', 'jeans')")
-    return p.select("product_uid", O.anchor(F.col("title"), F.col("category")).alias("anchor"))
+    return products(spark, sf_dir).select("product_uid", O.anchor(F.col("title"), F.col("category")).alias("anchor"))
 
 
 @query()

@@ -70,18 +70,30 @@ def control(state: dict, status: int, latency: float, retry_after: float | None
     return s
 
 
-def rate_controller(answers: DataFrame, host: str = "host", order: str = "ts", status: str = "status", latency: str = "latency") -> DataFrame:
-    """The controller's state per host after all its answers in order; answers of one host are a sequence by nature."""
+def rate_controller(answers: DataFrame, host: str = "host", order: str = "ts", status: str = "status", latency: str = "latency", tie: str | None = None) -> DataFrame:
+    """The controller's state per host after all its answers, in order of `order` and `tie`.
+
+    Answers of one host are a sequence by nature. They are sorted by Spark and come to the task in batches, so that what a
+    task holds is the state of one host and one batch, however many answers a host has.
+    """
     import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s: dict = {}
-        for code, took in zip(pdf.sort_values([order, "_tie"])[status], pdf.sort_values([order, "_tie"])[latency]):
-            s = control(s, int(code), float(took))
-        return pd.DataFrame([{"host": str(pdf["_host"].iloc[0]), "concurrency": s["concurrency"], "peak": s["peak"], "ok": s["ok"], "stressed": s["stressed"], "failed": s["failed"]}])
+    def run(batches):
+        now, s = None, {}
+        done = lambda: pd.DataFrame([{"host": now, "concurrency": s["concurrency"], "peak": s["peak"], "ok": s["ok"], "stressed": s["stressed"], "failed": s["failed"]}])
+        for pdf in batches:
+            for name, code, took in zip(pdf["_host"], pdf["_status"], pdf["_latency"]):
+                if name != now:
+                    if s:
+                        yield done()
+                    now, s = name, {}
+                s = control(s, int(code), float(took))
+        if s:
+            yield done()
 
-    rows = answers.select(F.col(host).cast("string").alias("_host"), F.col(order), F.col(status).cast("int").alias(status), F.col(latency).cast("double").alias(latency), F.xxhash64(*answers.columns).alias("_tie"))
-    return rows.groupBy("_host").applyInPandas(run, "host string, concurrency int, peak int, ok long, stressed long, failed long")
+    tied = F.col(tie) if tie else F.xxhash64(*answers.columns)
+    rows = answers.select(F.col(host).cast("string").alias("_host"), F.col(order).alias("_order"), tied.alias("_tie"), F.col(status).cast("int").alias("_status"), F.col(latency).cast("double").alias("_latency"))
+    return rows.repartition("_host").sortWithinPartitions("_host", "_order", "_tie").mapInPandas(run, "host string, concurrency int, peak int, ok long, stressed long, failed long")
 
 
 def rate_controller_stream(answers: DataFrame, host: str = "host", status: str = "status", latency: str = "latency") -> DataFrame:
