@@ -6,13 +6,14 @@ next longer prefix is the only vocabulary token t ending there that may stand be
 no merge across their seam would have come earlier than the merges that built them.
 
 `Merges` answers that seam question. `Trie` propagates last tokens depth first over a trie of distinct words, so that
-shared prefixes are worked out once. `PrefixCounts` keeps the token count of every prefix of one text.
+shared prefixes are worked out once. `Counter` keeps the token count of every prefix of every word, `Table` those of one text.
 """
 
 from __future__ import annotations
 
 import gc
 import json
+from array import array
 from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate
@@ -208,13 +209,12 @@ class Memo:
         for text in texts:
             parts = self.merges.parts(text)
             out.append(SEGMENT.findall(text) if len(parts) == 1 and parts[0][1] is None else [x for p, i in parts for x in ([i] if i is not None else SEGMENT.findall(p))])
-        if len(self.segments) > MEMO:
+        if len(self.segments) > MEMO or len(self.words) > MEMO // 2:
             self.segments.clear()
-        if len(self.words) > MEMO // 2:
             self.words.clear()
         new = {s for segs in out for s in segs if s not in self.segments and isinstance(s, str)}
         cut = {s: WORD.findall(s) for s in new}
-        self.learn({w for ws in cut.values() for w in ws} - self.words.keys())
+        self.learn(({w for ws in cut.values() for w in ws} | self.besides(new)) - self.words.keys())
         for s, ws in cut.items():
             self.segments[s] = self.finished([self.words[w] for w in ws])
         for i in self.merges.special.values():
@@ -222,6 +222,11 @@ class Memo:
         return out
 
 
+    def besides(self, segments: set[str]) -> set[str]:
+        """What is learned beside the words of new segments."""
+        return set()
+
+
 class Encoder(Memo):
     """Ids of whole texts; new distinct words go through a trie."""
 
@@ -262,107 +267,151 @@ class RoundTrip(Encoder):
 
 
 class Counter(Memo):
-    """Token counts of whole texts by the prefix recurrence; sorted new words keep the states of the prefix they share."""
+    """Token counts of every prefix of every word by the recurrence; sorted new words keep the states of the prefix they share.
+
+    words: per word the counts of its prefixes, by code points. segments: per segment its tokens.
+    """
+
+    RUN = regex.compile(f"[{WHITE}]+")
 
-    def finished(self, parts: list[int]) -> int:
-        return sum(parts)
+    def finished(self, parts: list) -> int:
+        return sum(t[-1] for t in parts)
 
     @staticmethod
-    def of_special(i: int) -> int:
-        return 1
+    def of_special(i: int) -> list[int]:
+        return [0, 1]
+
+    def besides(self, segments: set[str]) -> set[str]:
+        """Runs of white space: a prefix that ends in one has it as one word."""
+        return {m.group() for s in segments if (m := self.RUN.match(s))}
 
     def learn(self, words: set[str]) -> None:
         length, totals = self.merges.length, [0]
         for word, last, shared in Trie(self.merges, (w.encode() for w in words)).walk():
             del totals[shared + 1 :]
             extend(length, last, totals)
-            self.words[word.decode()] = totals[-1]
+            text = word.decode()
+            self.words[text] = _kept(totals if len(text) == len(word) else [t for t, b in zip(totals, [*word, 0]) if b & 0xC0 != 0x80])
 
     def tables(self, texts):
         """One Table per text, in order."""
         for group in chunks(texts):
-            for segs in self.cut(group):
-                yield Table(self.merges, segs, list(map(self.segments.__getitem__, segs)))
+            for text, segs in zip(group, self.cut(group)):
+                yield Table(self, text, segs, list(map(self.segments.__getitem__, segs)))
+
+    def ensure(self, segment: str) -> None:
+        """Learns what the memo has not, or no longer."""
+        new = {*WORD.findall(segment), *self.besides({segment})} - self.words.keys()
+        if new:
+            self.learn(new)
+
+    def prefixes_of(self, segment: str) -> list[int]:
+        """Tokens of every prefix of a segment, put together from those of its words; nothing is encoded."""
+        run = self.RUN.match(segment)
+        n = run.end() if run else 0
+        self.ensure(segment)
+        out = list(self.words[run.group()]) if n else [0]
+        before = at = 0
+        for w in WORD.findall(segment):
+            counts = self.words[w]
+            end = at + len(w)
+            if end > n:
+                first = max(n - at, 0) + 1
+                out += [before + c for c in counts[first:]]
+                if w in FORMS:  # a form cut short is an apostrophe and a letter
+                    out[at + 2] = before + 2
+            at = end
+            before += counts[-1]
+        return out
 
 
-class Table:
-    """A text's segments with the tokens of each; prefix sums are made when first asked for."""
+#: Apostrophe forms of more than one letter.
+FORMS = ("'re", "'ve", "'ll")
 
-    def __init__(self, merges: Merges, segments: list, tokens: list[int]):
-        self.merges, self.segments, self.tokens, self.total = merges, segments, tokens, sum(tokens)
 
-    def sums(self) -> tuple[list[int], list[int]]:
-        lengths = (len(s) if isinstance(s, str) else len(self.merges.table[s]) for s in self.segments)
-        return [0, *accumulate(lengths)], [0, *accumulate(self.tokens)]
+def _kept(totals: list[int]):
+    """A list of counts in few bytes."""
+    return bytes(totals) if totals[-1] < 200 and max(totals) < 256 else array("I", totals)
 
 
-def extend(length: dict[int, int], last: list[int | None], totals: list[int]) -> None:
-    """Carries the recurrence count(d) = count(d - length of the last token) + 1 on to the whole word."""
-    for d in range(len(totals), len(last)):
-        totals.append(totals[d - length[last[d]]] + 1)
-
-
-class PrefixCounts:
+class Table:
     """The exact token count of every prefix of a text (in code points), found once by dynamic programming.
 
-    count(i) is the number of tokens of text[:i]; fit(budget) the longest prefix of at most so many tokens. Within a word
-    the counts come from the last-token states. A cut can change how the characters just before it fall into words (an
-    apostrophe form cut short, a space that then ends a run of white space), so the words from the last safe bound on are
-    cut again for that prefix; everything before keeps its stored count.
+    count(i) is the number of tokens of text[:i]; fit(budget) the longest prefix of at most so many tokens. Both read stored
+    counts: nothing is encoded again. A segment starts after a non-space or a special string, which no word crosses, so a
+    prefix has the tokens of the segments before and those of a prefix of one segment. Within it, a cut changes words in
+    three ways only: white space before the cut is one word (its run is stored as a word of its own), an apostrophe form cut
+    short is two tokens, and a special string cut short is plain text after the segment before it (stored with the table).
     """
 
-    def __init__(self, merges: Merges, text: str, table: Table | None = None):
-        self.merges, self.text = merges, text
-        table = table or next(iter(Counter(merges).tables([text])), Table(merges, [], []))
-        self.segments = table.segments
-        #: where each segment starts, in code points; tokens before it
-        self.starts, self.totals = table.sums()
+    def __init__(self, counter: Counter, text: str, segments: list, tokens: list[int]):
+        self.counter, self.text, self.segments, self.tokens, self.total = counter, text, segments, tokens, sum(tokens)
+        self.cut_specials: dict[int, list[int]] = {}
+        self.starts = self.totals = None
 
     def __len__(self) -> int:
-        return self.totals[-1]
+        return self.total
+
+    def prepare(self) -> Table:
+        """Where each segment starts and the tokens before it; the counts of special strings that are cut short."""
+        if self.starts is not None:
+            return self
+        words = self.counter.merges.table
+        lengths = (len(s) if isinstance(s, str) else len(words[s]) for s in self.segments)
+        self.starts, self.totals = [0, *accumulate(lengths)], [0, *accumulate(self.tokens)]
+        for k, s in enumerate(self.segments):
+            if isinstance(s, str):
+                continue
+            tail = self.segments[k - 1] if k and isinstance(self.segments[k - 1], str) else ""
+            joined = tail + words[s].decode()[:-1]
+            counts = self.counter.prefixes_of(joined)
+            before = self.tokens[k - 1] if tail else 0
+            self.cut_specials[k] = [0, *(c - before for c in counts[len(tail) + 1 :]), 1]
+        return self
+
+    def within(self, k: int) -> list[int]:
+        """Tokens that each prefix of segment k adds."""
+        return self.counter.prefixes_of(self.segments[k]) if isinstance(self.segments[k], str) else self.cut_specials[k]
 
     def count(self, i: int) -> int:
+        self.prepare()
         i = min(i, len(self.text))
         if i <= 0:
             return 0
         k = bisect_right(self.starts, i - 1) - 1
         if self.starts[k + 1] == i:
             return self.totals[k + 1]
-        # A segment starts after a non-space or a special string, which no word crosses, so only its own words change.
-        return self.totals[k] + sum(count_segment(self.merges, s) for s in SEGMENT.findall(self.text[self.starts[k] : i]))
+        return self.totals[k] + self.within(k)[i - self.starts[k]]
 
     def fit(self, budget: int) -> int:
-        """The longest prefix within the budget that ends in the segment where the budget runs out (or at its start)."""
+        """The longest prefix of the text within the budget."""
+        self.prepare()
         if self.totals[-1] <= budget:
             return len(self.text)
+        # Each segment and each of its prefixes has a token, but a special string that is cut may join what is before it.
         k = bisect_right(self.totals, budget) - 1
-        best = self.starts[k]
-        if isinstance(self.segments[k], str):
-            word_at = best
-            for word in WORD.findall(self.segments[k]):  # whole words first, then the last-token states of one word
-                if self.count(word_at + len(word)) > budget:
-                    break
-                word_at = best = word_at + len(word)
-            left = budget - self.totals[k] - sum(count_segment(self.merges, s) for s in SEGMENT.findall(self.text[self.starts[k] : word_at]))
-            data = word.encode()
-            within = prefix_totals(self.merges, data)
-            ends = (d for d in range(len(data), 0, -1) if within[d] <= left and (d == len(data) or data[d] & 0xC0 != 0x80))
-            for d in ends:
-                i = word_at + len(data[:d].decode())
-                if self.count(i) <= budget:
-                    return i
-        return best
+        if k + 1 in self.cut_specials and k + 1 < len(self.segments):
+            k += 1
+        while k >= 0:
+            counts = self.within(k)
+            left = budget - self.totals[k]
+            best = next((j for j in range(len(counts) - 1, 0, -1) if counts[j] <= left), 0)
+            if best or left >= 0:
+                return self.starts[k] + best
+            k -= 1
+        return 0
 
 
-def count_segment(merges: Merges, segment: str) -> int:
-    return sum(prefix_totals(merges, w.encode())[-1] for w in WORD.findall(segment))
+def extend(length: dict[int, int], last: list[int | None], totals: list[int]) -> None:
+    """Carries the recurrence count(d) = count(d - length of the last token) + 1 on to the whole word."""
+    for d in range(len(totals), len(last)):
+        totals.append(totals[d - length[last[d]]] + 1)
 
 
-def prefix_totals(merges: Merges, word: bytes) -> list[int]:
-    """tokens of word[:d] for every d."""
-    totals = [0]
-    extend(merges.length, merges.prefixes(word), totals)
-    return totals
+def prefix_counts(merges: Merges, text: str) -> Table:
+    """The table of one text."""
+    counter = Counter(merges)
+    return next(iter(counter.tables([text])), Table(counter, "", [], [])).prepare()
 
 
 _loaded: dict = {}
@@ -371,6 +420,6 @@ _loaded: dict = {}
 def in_worker(kind, path: str):
     """One object of a kind for each vocabulary in a worker process, so that later tasks find its memo filled."""
     if (kind, path) not in _loaded:
-        gc.disable()  # the memos hold millions of small objects without cycles, which the collector would walk again and again
         _loaded[kind, path] = Merges(path) if kind is Merges else kind(in_worker(Merges, path))
+        gc.freeze()  # the vocabulary's objects stay; the collector need not walk them again and again
     return _loaded[kind, path]

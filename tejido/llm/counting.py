@@ -1,7 +1,7 @@
 """Exact token counts by prefix dynamic programming (see bpe.py).
 
 For every prefix of a word the count is the count of the prefix before its last token, plus one; a text's count is the
-sum over its words. `PrefixCounts` keeps the table of one text, so that truncation and budget questions need no second
+sum over its words. `Table` answers truncation and budget questions of one text from the stored counts, without a second
 encoding; here the budget's answer is given per document: how many characters fit into `limit` tokens.
 
 Null text: as the empty text (0 tokens). Repeated rows and ids give one result each; an empty table gives no rows.
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import Counter, PrefixCounts, in_worker
+from .bpe import Counter, in_worker
 from .common import texts
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long"
@@ -30,7 +30,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
             counts, fits = [], []
             for text, table in zip(texts, counter.tables(texts)):
                 counts.append(table.total)
-                fits.append(len(text) if table.total <= limit else PrefixCounts(counter.merges, text, table).fit(limit))
+                fits.append(len(text) if table.total <= limit else table.fit(limit))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_()), pa.array(fits, pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -75,14 +76,29 @@ def test_trie_encoding_is_the_librarys(texts):
     assert all(m.decode(ids) == decode(ids, skip_special_tokens=False) for ids in want)
 
 
-def test_prefix_counts_are_those_of_every_prefix():
+def test_prefix_counts_are_those_of_every_prefix(monkeypatch):
     m, t = bpe.Merges(P.path("byte_bpe_50k.json")), library("byte_bpe_50k.json")
-    for text in noise(60, 2):
-        table = bpe.PrefixCounts(m, text)
+    forms = ["it's we're they'll 're 'v 'l I've  'll", "a  \n\n b   ", "end <|endoftext|><|startoftext|>  <|endoftext|>!<|endoftext|>", "don''re '", " \u00a0\u2003x"]
+    for text in noise(60, 2) + forms:
+        table = bpe.prefix_counts(m, text)
         want = [len(t.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
-        assert [table.count(i) for i in range(len(text) + 1)] == want
-        best = table.fit(5)
-        assert want[best] <= 5
+        with monkeypatch.context() as x:
+            x.setattr(bpe.Merges, "step", None)  # nothing is encoded once the table is made
+            assert [table.count(i) for i in range(len(text) + 1)] == want, text
+            for budget in (0, 1, 5, 9):
+                assert table.fit(budget) == max(i for i, n in enumerate(want) if n <= budget)
+
+
+def test_budget_questions_about_a_text_without_spaces(monkeypatch):
+    r = random.Random(3)
+    text = "".join(r.choice("abcdefgh") for _ in range(60_000))
+    table = bpe.prefix_counts(bpe.Merges(P.path("byte_bpe_50k.json")), text)
+    monkeypatch.setattr(bpe.Merges, "step", None)
+    began = time.perf_counter()
+    best = table.fit(4096)
+    assert time.perf_counter() - began < 0.1
+    t = library("byte_bpe_50k.json")
+    assert len(t.encode(text[:best], add_special_tokens=False).ids) <= 4096 < len(t.encode(text[: best + 1], add_special_tokens=False).ids)
 
 
 def test_round_trip_query(spark, awkward):
