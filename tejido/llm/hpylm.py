@@ -1,459 +1,478 @@
-"""Language-model scores by a hierarchical Pitman-Yor model over the bytes of words.
-
-A text's tokens are its words (A-Z lowered, split at ASCII white space) and one end. The model spells them: a word as its
-bytes and a space, the end as a line end, each byte given the `ORDER` bytes before it, which reach into earlier words. So
-every word, known or not, has a probability, and a token's is the product of its bytes'.
-
-Each context is a restaurant whose dishes are next bytes. A context's parent is the context without its farthest byte, and
-all contexts that end alike share it; the root's base is uniform over bytes. Customers of the longest contexts are the
-corpus; a table opened in a restaurant is a customer of its parent. Seating is sampled by blocked Gibbs sweeps: the
-customers of one dish in one restaurant are taken out together and seated again one by one, each at a new table with
-probability proportional to (strength + discount * tables) * parent's probability, else at an old one; levels follow from the
-longest contexts to the root, each against the parent probabilities of the sweep before. Beyond `ONE_BY_ONE` customers of
-a dish, new tables are drawn for runs of a twentieth of the seated customers at a time. After a burn-in, the predictive
-probabilities of several sweeps are averaged, and a text's score is the sum of their log10.
-
-Scale. The corpus is reduced to counts of byte strings by map-side and shuffled sums. Restaurants are dealt to tasks by
-their last two context bytes, so a task has whole families and samples them on its own; only the root and its children
-(at most 65,536 dishes) are shared and sampled at the driver. For scoring, the sampled restaurants go to the executors in
-slices of bounded size (`SLICE_ROWS`): one pass over the texts for each slice, and their sums are added.
-
-Base scores use word counts over all training tokens. Words whose count exceeds N / FREQUENT number fewer than FREQUENT
-and are broadcast; the others' counts are joined to the texts that use them. Words are told apart by 64-bit hashes.
-
-Null and blank texts: one token, the end. Repeated rows and ids: one result for each row. Without training rows N and V
-are 0 and all probabilities are uniform. An empty table gives no rows. Further columns are ignored.
+"""Language-model scores by a hierarchical Pitman-Yor model over words.
+
+A text's tokens are its words (A-Z lowered, split at ASCII white space) and one end, which is also the context of the
+first word. The word before is a token's context. Each context is a restaurant whose dishes are next words; all contexts
+share one parent, the restaurant of words without context, whose base is uniform over the training vocabulary and one
+unknown word. The customers of the contexts are the training corpus; a table opened there is a customer of the parent.
+
+Seating is sampled by Gibbs sweeps: the customers of one dish in one restaurant are taken out together and seated again
+one after the other, each at a new table in proportion to (strength + discount * tables) * parent's probability, else at
+an old one. How long it takes until the next new table is drawn exactly (`seat`), so that many customers cost no more than
+their tables. `burn_in` sweeps are let go; after each of the `samples` next ones the predictive probabilities are worked
+out, a token's probability is their mean, and a text's score is the sum of the logarithms to base 10.
+
+Scale. Texts are cut into chunks of about CHUNK bytes, which are written once as word numbers; every later step refers to
+those rows, so no step depends on how a table is split into tasks. Rows are batches: what a chunk asks of a bucket is one
+compressed row, and the bucket answers in the order it was asked.
+
+1. `tokenise`: chunks as numbers of their own distinct words, and these words by bucket of their hash.
+2. `vocabulary`: a bucket tells its words apart by their bytes, counts them and answers with numbers and counts.
+3. `ask`: a chunk's distinct pairs of words go to buckets of contexts. A context with more than a bucket's share of all
+   tokens is split over as many buckets as it has shares, by its dishes.
+4. `sample`: a bucket holds whole contexts (or a share of a frequent one, whose tables it takes for that share of all). It
+   sweeps both levels, with a copy of the parent of its own; then its answers, and the tables of each word, go back.
+5. `parent`: the tables of all buckets together are the parent's customers, and it is sampled anew, by bucket of words.
+6. `log10_of`: chunks get their pairs' and words' numbers back and sum up. Nothing but totals comes to the driver, and the
+   tables of split contexts, which are fewer than twice as many as the buckets.
+
+So contexts in different buckets follow each other through the parent only at the end (approximate distributed sampling);
+with `samples=0` nothing is drawn, each dish has one table, and the result doesn't depend on buckets at all.
+
+Null and blank texts: one token, the end. Repeated rows and ids: one result for each row; rows without an id are training
+rows. Without training rows N and V are 0 and all probabilities are 1. An empty table gives no rows. Further columns are
+ignored. A text longer than a chunk is worked on in pieces.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remainder, texts, trim, written
-from .suffix_dedup import span_hashes
-
-ORDER = 5
-SAMPLES, BURN_IN = 3, 2
-STRENGTH = 2.0
-ONE_BY_ONE = 32
-SLICE_ROWS, FREQUENT, TASK_GRAMS, HELD = 6_000_000, 1_000_000, 400_000, 1_500_000
-CHUNK = 2_000_000
-WORD, GRAM = 0, 1
-SPACE, END = 0x20, 0x0A
-_u = np.uint64
-
-
-def _mask(n: int) -> np.uint64:
-    return _u((1 << 8 * n) - 1)
-
-
-class Words:
-    """A chunk of texts as words: dense word numbers in text order, the distinct words, and tokens of each text."""
-
-    def __init__(self, column: pa.Array):
-        lowered = pc.ascii_lower(column)
-        split = pc.ascii_split_whitespace(lowered)
-        lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = pc.list_flatten(split)
-        filled = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-        owner = np.repeat(np.arange(len(lengths)), lengths)[filled]
-        self.flat = flat.filter(pa.array(filled, pa.bool_()))
-        coded = self.flat.dictionary_encode()
-        self.number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.owner, self.texts = owner, len(lengths)
-        self.per_text = np.bincount(owner, minlength=self.texts)
-        self.hashes = word_hashes(coded.dictionary)
-
-    def stream(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes as the model spells them, which of them are scored (line ends before a text are not), and where each text's scored bytes start among those."""
-        data, offsets = _bytes_of(self.flat)
-        size = np.diff(offsets) + 1
-        body = np.bincount(self.owner, weights=size, minlength=self.texts).astype(np.int64)
-        total = ORDER + body + 1
-        begin = np.cumsum(total) - total
-        out = np.full(int(total.sum()), END, np.uint8)
-        before = np.cumsum(size) - size
-        first = np.cumsum(body) - body
-        at = before - first[self.owner] + begin[self.owner] + ORDER
-        if len(data):
-            where = np.repeat((at - offsets[:-1]).astype(np.int32), size - 1)
-            where += np.arange(len(data), dtype=np.int32)
-            out[where] = data
-        out[at + size - 1] = SPACE
-        scored = np.ones(len(out), bool)
-        for j in range(ORDER):
-            scored[begin + j] = False
-        return out, scored, np.cumsum(body + 1) - (body + 1)
-
-
-def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string array end to end, and where each string starts."""
-    strings = pa.concat_arrays([strings.cast(pa.binary())])
-    if not len(strings):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
-    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    return data, offsets - offsets[0]
-
-
-def word_hashes(words: pa.Array) -> np.ndarray:
-    data, offsets = _bytes_of(words)
-    return span_hashes(data, offsets[:-1], np.diff(offsets)).view(np.int64)
-
-
-def end_hash() -> int:
-    """The end token's number: no word holds a line end."""
-    return int(word_hashes(pa.array(["\n"]))[0])
-
-
-def grams(stream: np.ndarray, scored: np.ndarray) -> np.ndarray:
-    """For each scored byte the number of it and the ORDER bytes before it, the nearest ones lowest."""
-    code = np.zeros(len(stream), np.uint64)
-    for j in range(ORDER + 1):
-        code[j:] |= stream[: len(stream) - j].astype(np.uint64) << _u(8 * j)
-    return code[scored]
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], columns: list[str]):
-    """Batches cut so that their texts have about CHUNK bytes."""
+from .packed import pack, unpack
+
+SAMPLES, BURN_IN = 3, 3
+#: (strength, discount) of the parent and of the contexts.
+PARENT, CONTEXT = (1.0, 0.5), (1.0, 0.8)
+#: Bytes of text of a chunk; of all texts for each bucket of words and of contexts.
+CHUNK, WORDS_BYTES, CONTEXT_BYTES = 12 << 20, 48 << 20, 12 << 20
+END, UNKNOWN = b"\n", 1
+SPACE = re.compile(rb"[ \t-\r]")
+_decompress = lambda data: zstandard.ZstdDecompressor().decompress(data)
+
+
+# --- texts to chunks
+
+
+def pieces(data: bytes, chunk: int) -> Iterator[tuple[bytes, bool, bool]]:
+    """(piece, whether its first word is only there as context, whether it ends the text): cut at white space every `chunk` bytes."""
+    at, before = 0, b""
+    while len(data) - at > chunk and (m := SPACE.search(data, at + chunk)):
+        yield before + data[at : m.start()], bool(before), False
+        words = data[at : m.start()].rstrip(b" \t\n\x0b\x0c\r")
+        if words:
+            before = words[max(words.rfind(c) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")) + 1 :] + b" "
+        at = m.start()
+    yield before + data[at:], bool(before), True
+
+
+def groups(batches: Iterator[pa.RecordBatch], uid: int, chunk: int) -> Iterator[tuple]:
+    """(texts, row numbers, ids, held out, skips, ends) of about `chunk` bytes."""
+    rows, size = [], 0
+    for b in batches:
+        for i, h, t in zip(b.column("doc_id").to_pylist(), b.column("held").to_pylist(), b.column("text")):
+            data = t.as_buffer().to_pybytes()
+            for piece, skip, end in [(data, False, True)] if len(data) <= chunk else pieces(data, chunk):
+                rows.append((piece, uid, i, h, skip, end))
+                size += len(piece)
+                if size >= chunk:
+                    yield tuple(zip(*rows))
+                    rows, size = [], 0
+            uid += 1
+    if rows:
+        yield tuple(zip(*rows))
+
+
+def words_of(data: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words of each text, all words in order as numbers from 1 on (the more frequent first), and what they are; 0 is the end."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(data, pa.binary()).cast(pa.large_string())))
+    lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.list_flatten(split)
+    filled = pc.greater(pc.binary_length(flat), 0)
+    owner = np.repeat(np.arange(len(lengths)), lengths)[filled.to_numpy(zero_copy_only=False)]
+    coded = flat.filter(filled).dictionary_encode()
+    number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(-np.bincount(number, minlength=len(coded.dictionary)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(1, len(order) + 1)
+    names = coded.dictionary.take(pa.array(order)).cast(pa.large_binary()).to_pylist()
+    return np.bincount(owner, minlength=len(lengths)), rank[number], [END, *names]
+
+
+def tokenise(buckets: int, bytes_: int):
+    """A row for each chunk, and one for each of its word buckets."""
+    from xxhash import xxh3_64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 33
+        names = [x.split()[0] for x in CHUNKS.split(", ")]
+        for chunk, (data, uids, ids, held, skips, ends) in enumerate(groups(batches, first, bytes_), first):
+            per_text, number, words = words_of(data)
+            ends = np.array(ends, np.int64)
+            sizes = per_text + ends
+            stream = np.zeros(int(sizes.sum()), np.int64)
+            start = np.cumsum(sizes) - sizes
+            before = np.cumsum(per_text) - per_text
+            stream[np.repeat(start - before, per_text) + np.arange(len(number))] = number
+            home = np.fromiter((xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
+            counted = np.repeat(~np.array(held, bool), sizes)
+            counted[start[(np.array(skips, bool)) & (sizes > 0)]] = False
+            n = np.bincount(stream[counted], minlength=len(words))
+            rows = [(chunk, pack(stream, sizes, np.array(skips, np.int64), home), list(uids), list(ids), list(held), None, None, None)]
+            order = np.argsort(home, kind="stable")
+            cuts = np.searchsorted(home[order], np.arange(buckets + 1))
+            for k in range(buckets):
+                if len(o := order[cuts[k] : cuts[k + 1]]):
+                    joined = b" ".join(words[j] for j in o.tolist())
+                    rows.append((chunk, None, None, None, None, k, zstandard.compress(joined, 3), pack(n[o])))
+            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names)
+        trim()
+
+    return run
+
+
+CHUNKS = "chunk long, doc binary, uids array<long>, ids array<long>, held array<boolean>, bucket int, words binary, counts binary"
+#: One row shape for all that is sent: kind says what it is, chunk who asked, bucket who answers, a and b carry totals.
+ROW = "kind int, chunk long, bucket int, data binary, a long, b long"
+ANSWER, FACT, ASKED, SAMPLED, TABLES, SPLIT, OWN = 0, 1, 2, 3, 4, 5, 6
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    columns = zip(*rows) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], [x.split()[0] for x in ROW.split(", ")])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of one bucket after the other; they come in order of buckets."""
+    now, held = None, []
+    for b in batches:
+        for k, *row in zip(*(b.column(c).to_pylist() for c in ("bucket", *columns))):
+            if k != now and held:
+                yield now, held
+                held = []
+            now = k
+            held.append(tuple(row))
+    if held:
+        yield now, held
+
+
+def vocabulary(buckets: int):
+    """Answers (numbers, training counts) for the words that each chunk asked about; totals of the training vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, asked in _by_bucket(batches, "chunk", "words", "counts"):
+            counts, words = [], []
+            for _, joined, n in asked:
+                counts.append(unpack(n)[0])
+                words.append(pc.list_flatten(pc.split_pattern(pa.array([_decompress(joined)], pa.large_binary()), " ")))
+            coded = pa.chunked_array(words).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            c = np.bincount(coded, np.concatenate(counts)).astype(np.int64)
+            number = np.where(c > 0, 2 + k + np.arange(len(c)) * buckets, UNKNOWN)
+            at = 0
+            for (chunk, *_), n in zip(asked, counts):
+                own = coded[at : at + len(n)]
+                at += len(n)
+                yield _rows([(ANSWER, chunk, k, pack(number[own], c[own]), None, None)])
+            yield _rows([(FACT, None, k, None, int((c > 0).sum()), int(c.sum()))])
+        trim()
+
+    return run
+
+
+# --- pairs of words
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    h = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64)
+
+
+class Chunk:
+    """A chunk's tokens with the numbers and counts of its words, and its distinct pairs (context, word) by bucket."""
+
+    def __init__(self, doc: bytes, held: list[bool], answers: dict[int, bytes], n: int, buckets: int):
+        self.stream, self.sizes, skips, home = unpack(doc)
+        self.home_order = np.argsort(home, kind="stable")
+        self.word, self.count = (self.by_word(x) for x in map(np.concatenate, zip(*(unpack(answers[k]) for k in sorted(answers)))))
+        start = np.cumsum(self.sizes) - self.sizes
+        self.scored = np.ones(len(self.stream), bool)
+        self.scored[start[(skips > 0) & (self.sizes > 0)]] = False
+        # all unknown words are one
+        one = np.arange(len(self.word))
+        unknown = np.flatnonzero(self.word == UNKNOWN)
+        one[unknown] = unknown[:1].repeat(len(unknown))
+        current = one[self.stream]
+        before = np.concatenate([[0], current[:-1]])
+        before[start[self.sizes > 0]] = 0
+        values, pair = np.unique(before * len(one) + current, return_inverse=True)
+        left, right = values // len(one), values % len(one)
+        v, w = self.word[left], self.word[right]
+        shares = np.maximum(1, np.ceil(self.count[left] / max(n, 1) * buckets)).astype(np.int64)
+        bucket = (mix(v) + mix(w) % shares) % buckets
+        order = np.lexsort((w, v, bucket))
+        self.left, self.right, self.v, self.w, self.shares = left[order], right[order], v[order], w[order], shares[order]
+        self.cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.pair = place[pair]
+        counted = self.scored & np.repeat(~np.array(held, bool), self.sizes)
+        self.n = np.bincount(self.pair[counted], minlength=len(order))
+
+    def by_word(self, x: np.ndarray) -> np.ndarray:
+        """Answers in the order of the buckets, by the chunk's word numbers."""
+        out = np.empty_like(x)
+        out[self.home_order] = x
+        return out
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Values of tokens, added up by text."""
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        return np.bincount(owner, np.where(self.scored, values, 0), len(self.sizes))
+
+
+def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
+    """Per chunk its rows as {kind: {bucket: data}}, with the chunk's own columns under OWN; rows come in order of chunk and kind."""
+    now, held = None, {}
     for b in batches:
-        ends = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)) // CHUNK
-        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), b.num_rows]
-        for a, z in zip(cuts, cuts[1:]):
-            if z > a:
-                yield [pa.concat_arrays([b.column(c).slice(a, z - a)]) for c in columns]
-
-
-def _sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k)
-    k = k[order]
-    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
-    return k[at], np.add.reduceat(c[order], at) if len(k) else c
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list] = {WORD: [], GRAM: []}
-    end = end_hash()
-
-    def flush():
-        for kind, parts in held.items():
-            if parts:
-                k, c = _sums(*map(list, zip(*parts)))
-                parts.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(c)], ["kind", "key", "n"])
-
-    for (column,) in _chunks(batches, ["text"]):
-        w = Words(column)
-        held[WORD].append((np.append(w.hashes, end), np.append(np.bincount(w.number, minlength=len(w.hashes)), w.texts)))
-        stream, scored, _ = w.stream()
-        values = pa.array(grams(stream, scored)).value_counts()
-        held[GRAM].append((values.field(0).to_numpy().view(np.int64), values.field(1).to_numpy()))
-        if sum(len(k) for k, _ in held[GRAM]) > HELD:
-            for parts in held.values():
-                parts[:] = [_sums(*map(list, zip(*parts)))]
-            if len(held[GRAM][0][0]) > HELD // 2:
-                yield from flush()
-    yield from flush()
-    trim()
-
-
-def discount(one: int, two: int) -> float:
-    """From how many dishes have one and two customers."""
-    return float(np.clip(one / (one + 2 * two), 0.1, 0.9)) if one and two else 0.5
-
-
-def seat(rng: np.random.Generator, c: np.ndarray, d: float, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
-    """Tables of each dish when its c customers are seated anew; tables: all tables of the restaurant but the dish's own."""
+        names = b.schema.names
+        own = [b.column(c) for c in ("uids", "ids", "held")] if "uids" in names else None
+        for i, (kind, chunk, bucket, data) in enumerate(zip(*(b.column(c).to_pylist() for c in ("kind", "chunk", "bucket", "data")))):
+            if chunk != now and held:
+                yield now, held
+                held = {}
+            now = chunk
+            if kind == OWN:
+                held[OWN] = (data, *(c[i].as_py() for c in own))
+            else:
+                held.setdefault(kind, {})[bucket] = data
+    if held:
+        yield now, held
+
+
+def ask(n: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, rows in _by_chunk(batches):
+            doc, _, _, held = rows[OWN]
+            c = Chunk(doc, held, rows[ANSWER], n, buckets)
+            out = []
+            for k in range(buckets):
+                a, z = c.cuts[k], c.cuts[k + 1]
+                if z > a:
+                    out.append((ASKED, chunk, k, pack(np.diff(c.v[a:z], prepend=0), c.w[a:z], c.n[a:z], c.shares[a:z]), None, None))
+            yield _rows(out)
+        trim()
+
+    return run
+
+
+def seat(rng: np.random.Generator, c: np.ndarray, level: tuple[float, float], tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Tables of each dish when its c customers are seated anew; tables: all tables of the restaurant but the dish's own.
+
+    With t tables of the dish and n customers seated, the next one opens a table with probability a / (a + n - discount * t),
+    a = (strength + discount * (tables + t)) * parent. While t stays, these are the chances of a Polya urn, so the number of
+    customers up to the next new table is geometric with a chance drawn from Beta(a, n - discount * t): exact, however many.
+    """
+    strength, d = level
     t = np.minimum(c, 1).astype(float)
-    n = t.copy()
     live = np.flatnonzero(c > 1)
+    n = np.ones(len(live))
     while len(live):
-        step = np.where(n[live] < ONE_BY_ONE, 1, np.maximum(1, n[live] // 20))
-        step = np.minimum(step, c[live] - n[live])
-        new = (STRENGTH + d * (tables[live] + t[live])) * parent[live]
-        old = n[live] - d * t[live]
-        p = new / (new + old)
-        one = step == 1
-        drawn = np.empty(len(live))
-        drawn[one] = rng.random(int(one.sum())) < p[one]
-        if not one.all():
-            drawn[~one] = rng.binomial(step[~one].astype(np.int64), p[~one])
-        t[live] += drawn
-        n[live] += step
-        live = live[n[live] < c[live]]
+        a = np.maximum((strength + d * (tables[live] + t[live])) * parent[live], 1e-300)
+        chance = rng.beta(a, n - d * t[live])
+        # a geometric draw by inversion, as a float: it may be longer than any whole number
+        step = np.floor(np.log(np.maximum(rng.random(len(live)), 1e-300)) / np.log1p(-np.minimum(np.maximum(chance, 1e-300), 1 - 1e-16))) + 1
+        n = n + step
+        on = n <= c[live]
+        live, n = live[on], n[on]
+        t[live] += 1
+        more = n < c[live]
+        live, n = live[more], n[more]
     return t
 
 
-class Family:
-    """The restaurants of levels 2..ORDER over some last-two-byte contexts, with level 1 given."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        self.keys, self.parent, self.context, self.contexts = {ORDER: codes}, {}, {}, {}
-        for k in range(ORDER, 1, -1):
-            self.contexts[k], self.context[k] = np.unique(self.keys[k] >> _u(8), return_inverse=True)
-            up = self.keys[k] & _mask(k)
-            if k > 2:
-                self.keys[k - 1], self.parent[k] = np.unique(up, return_inverse=True)
+def sample(v_size: int, samples: int, burn_in: int, buckets: int):
+    """Seats of a bucket's contexts: answers for each chunk, tables by word, tables of split contexts."""
+    times = max(samples, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, asked in _by_bucket(batches, "chunk", "data"):
+            parts = [unpack(data) for _, data in asked]
+            sizes = [len(p[0]) for p in parts]
+            v, w, n, shares = (np.concatenate([f(p[i]) for p in parts]) for i, f in ((0, np.cumsum), (1, np.asarray), (2, np.asarray), (3, np.asarray)))
+            parts.clear()
+            order = np.lexsort((w, v))
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(v[order]) != 0) | (np.diff(w[order]) != 0)]))
+            pair = np.empty(len(order), np.int64)
+            pair[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
+            c = np.add.reduceat(n[order], new)
+            v, w, shares = v[order][new], w[order][new], shares[order][new]
+            first = np.concatenate([[True], np.diff(v) != 0])
+            context = np.cumsum(first) - 1
+            share = shares[first]
+            words, dish = np.unique(w, return_inverse=True)
+            rng = np.random.default_rng([17, k])
+            base = 1 / (v_size + 1)
+            t = np.minimum(c, 1).astype(float)
+            customers = np.bincount(dish, t, len(words))
+            own = np.minimum(customers, 1)
+            kept = [t] if not samples else []
+            for i in range(burn_in + samples if samples else 0):
+                below = (customers - PARENT[1] * own + (PARENT[0] + PARENT[1] * own.sum()) * base) / (PARENT[0] + customers.sum())
+                tables = np.bincount(context, t)
+                t = seat(rng, c, CONTEXT, (tables * share)[context] - t, below[dish])
+                customers = np.bincount(dish, t, len(words))
+                own = seat(rng, customers, PARENT, own.sum() - own, np.full(len(words), base))
+                if i >= burn_in:
+                    kept.append(t)
+            seats = np.stack(kept).astype(np.int64)
+            tables = np.stack([np.bincount(context, s).astype(np.int64) for s in seats])
+            at = 0
+            for (chunk, _), size in zip(asked, sizes):
+                p = pair[at : at + size]
+                at += size
+                mine = context[p]
+                mine = mine[np.concatenate([[True], np.diff(mine) != 0])]
+                yield _rows([(SAMPLED, chunk, k, pack(c[p], *seats[:, p], *tables[:, mine]), None, None)])
+            rows = []
+            home = (words - 2) % buckets
+            sums = np.stack([np.bincount(dish, s, len(words)).astype(np.int64) for s in seats])
+            order = np.argsort(home, kind="stable")
+            cuts = np.searchsorted(home[order], np.arange(buckets + 1))
+            for b in range(buckets):
+                o = order[cuts[b] : cuts[b + 1]]
+                o = o[sums[:, o].any(axis=0)]
+                if len(o):
+                    rows.append((TABLES, None, b, pack(words[o], *sums[:, o]), None, None))
+            rows += [(FACT, None, s, None, int(sums[s].sum()), None) for s in range(times)]
+            rows += [(SPLIT, int(v[first][j]), None, pack(tables[:, j]), None, None) for j in np.flatnonzero(share > 1).tolist()]
+            yield _rows(rows)
+        trim()
+
+    return run
+
+
+def parent(v_size: int, samples: int, burn_in: int):
+    """Customers and tables of each word in the parent, for the words that each chunk asked about; tables in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = max(samples, 1)
+        for k, rows in _by_bucket(batches, "kind", "chunk", "data"):
+            seats = [unpack(data) for kind, _, data in rows if kind == TABLES]
+            if seats:
+                words, at = np.unique(np.concatenate([s[0] for s in seats]), return_inverse=True)
+                customers = np.stack([np.bincount(at, np.concatenate([s[1 + i] for s in seats])) for i in range(times)])
             else:
-                self.below = up.astype(np.int64)  # (context byte, byte) of level 1
-        self.c = {ORDER: counts.astype(float)}
-        self.t = {}
-        for k in range(ORDER, 1, -1):
-            self.t[k] = np.minimum(self.c[k], 1)
-            if k > 2:
-                self.c[k - 1] = np.bincount(self.parent[k], self.t[k], len(self.keys[k - 1]))
-
-    def predictive(self, level1: np.ndarray, d: dict[int, float]):
-        """Per level: probability of each dish, and of an unseen one the weight of the parent's."""
-        p, weight, below = {}, {}, level1[self.below]
-        for k in range(2, ORDER + 1):
-            if k > 2:
-                below = p[k - 1][self.parent[k]]
-            size = len(self.contexts[k])
-            customers = np.bincount(self.context[k], self.c[k], size)
-            tables = np.bincount(self.context[k], self.t[k], size)
-            weight[k] = (STRENGTH + d[k] * tables) / (STRENGTH + customers)
-            p[k] = (self.c[k] - d[k] * self.t[k]) / (STRENGTH + customers)[self.context[k]] + weight[k][self.context[k]] * below
-        return p, weight
-
-    def sweep(self, rng: np.random.Generator, level1: np.ndarray, d: dict[int, float]) -> None:
-        p, _ = self.predictive(level1, d)
-        for k in range(ORDER, 1, -1):
-            tables = np.bincount(self.context[k], self.t[k], len(self.contexts[k]))[self.context[k]] - self.t[k]
-            self.t[k] = seat(rng, self.c[k], d[k], tables, p[k - 1][self.parent[k]] if k > 2 else level1[self.below])
-            if k > 2:
-                self.c[k - 1] = np.bincount(self.parent[k], self.t[k], len(self.keys[k - 1]))
-
-
-class Root:
-    """Level 1 and the root: 256 restaurants over bytes and their parent, small enough for the driver."""
-
-    def __init__(self, level1: np.ndarray, d: float = 0.5, seed: int = 11):
-        self.c, self.d, self.rng = level1.reshape(256, 256).astype(float), d, np.random.default_rng(seed)
-        self.t = np.minimum(self.c, 1)
-        for _ in range(BURN_IN):
-            self.sweep()
-
-    def root(self) -> np.ndarray:
-        c = self.t.sum(axis=0)
-        t0 = np.minimum(c, 1)
-        return (c - self.d * t0 + (STRENGTH + self.d * t0.sum()) / 256) / (STRENGTH + c.sum())
-
-    def probabilities(self) -> np.ndarray:
-        """[context byte, byte]"""
-        customers, tables = self.c.sum(axis=1, keepdims=True), self.t.sum(axis=1, keepdims=True)
-        return (self.c - self.d * self.t + (STRENGTH + self.d * tables) * self.root()) / (STRENGTH + customers)
-
-    def sweep(self) -> None:
-        tables = (self.t.sum(axis=1, keepdims=True) - self.t).reshape(-1)
-        base = np.broadcast_to(self.root(), self.c.shape).reshape(-1)
-        self.t = seat(self.rng, self.c.reshape(-1), self.d, tables, base).reshape(256, 256)
-
-
-def _family(batches: Iterator[pa.RecordBatch]) -> Family:
-    parts = [(b.column("key").to_numpy().view(np.uint64), b.column("n").to_numpy()) for b in batches]
-    codes = np.concatenate([k for k, _ in parts] or [np.zeros(0, np.uint64)])
-    counts = np.concatenate([n for _, n in parts] or [np.zeros(0, np.int64)])
-    order = np.argsort(codes)
-    return Family(codes[order], counts[order])
-
-
-def nearest_first(contexts: np.ndarray, length: int) -> np.ndarray:
-    """Context numbers with the nearest byte highest, so that a parent's number is a prefix of its children's."""
-    out = np.zeros(len(contexts), np.uint64)
-    for j in range(length):
-        out = out << _u(8) | (contexts >> _u(8 * j)) & _u(0xFF)
-    return out
-
-
-class Model:
-    """Sampled restaurants of one slice of contexts, as the scorer needs them.
-
-    level1: [context byte, byte]. levels: per length the context numbers (nearest byte highest), their weights of the
-    parent by sample, the dishes' numbers (context, then byte) and their probabilities by sample.
+                words, customers = np.zeros(0, np.int64), np.zeros((times, 0))
+            base = np.full(len(words), 1 / (v_size + 1))
+            rng = np.random.default_rng([23, k])
+            tables = np.minimum(customers, 1)
+            if samples:
+                for i in range(times):
+                    for _ in range(burn_in + 1):
+                        # every word of the vocabulary has a table at least, those of other buckets one each
+                        tables[i] = seat(rng, customers[i], PARENT, v_size - len(words) + tables[i].sum() - tables[i], base)
+            out = [(FACT, None, i, None, int(tables[i].sum()), None) for i in range(times)]
+            for kind, chunk, data in rows:
+                if kind == ANSWER:
+                    asked = unpack(data)[0]
+                    at = np.minimum(np.searchsorted(words, asked), max(len(words) - 1, 0))
+                    there = words[at] == asked if len(words) else np.zeros(len(asked), bool)
+                    both = [np.where(there, x[i][at], 0).astype(np.int64) if len(words) else np.zeros(len(asked), np.int64) for i in range(times) for x in (customers, tables)]
+                    out.append((ANSWER, chunk, k, pack(*both), None, None))
+            yield _rows(out)
+        trim()
+
+    return run
+
+
+SCORES = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def log10_of(n: int, v_size: int, buckets: int, times: int, customers: list[int], tables: list[int], split: tuple[np.ndarray, np.ndarray]):
+    """Sums for each text of a chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_chunk(batches):
+            doc, uids, ids, held = rows[OWN]
+            c = Chunk(doc, held, rows[ANSWER], n, buckets)
+            of_words = [c.by_word(x) for x in map(np.concatenate, zip(*(unpack(rows[ASKED][k]) for k in sorted(rows[ASKED]))))]
+            context = np.cumsum(np.concatenate([[0], np.diff(c.v) != 0])) if len(c.v) else c.v
+            parts = {k: unpack(rows[SAMPLED][k]) for k in sorted(rows[SAMPLED])}
+            there, *seats = (np.concatenate([p[i] for p in parts.values()]) for i in range(1 + times))
+            hot = np.flatnonzero(c.shares > 1)
+            total = np.zeros(len(c.v))
+            for i in range(times):
+                of_context = []
+                for k, p in parts.items():
+                    a, z = c.cuts[k], c.cuts[k + 1]
+                    of_context.append(p[1 + times + i][context[a:z] - context[a]])
+                in_context = np.concatenate(of_context)
+                in_context[hot] = split[1][i, np.searchsorted(split[0], c.v[hot])]
+                k, t = of_words[2 * i], of_words[2 * i + 1]
+                word = (k - PARENT[1] * t + (PARENT[0] + PARENT[1] * tables[i]) / (v_size + 1)) / (PARENT[0] + customers[i])
+                total += (there - CONTEXT[1] * seats[i] + (CONTEXT[0] + CONTEXT[1] * in_context) * word[c.right]) / (CONTEXT[0] + c.count[c.left])
+            known = (c.count > 0)[c.stream]
+            base = np.log10((c.count + 1) / (n + v_size + 1))[c.stream]
+            columns = [
+                pa.array(uids), pa.array(ids, pa.int64()), pa.array(held), pa.array(c.sums(np.ones(len(c.stream))).astype(np.int64)), pa.array(c.sums(known).astype(np.int64)),
+                pa.array(c.sums(base)), pa.array(c.sums(np.log10(total / times)[c.pair])),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORES.split(", ")])
+        trim()
+
+    return run
+
+
+def score(docs: DataFrame, folds: int = 7, held: int = 2, samples: int = SAMPLES, burn_in: int = BURN_IN, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, vocabulary, base_score, score, perplexity.
+
+    samples=0: each dish has one table, without sampling.
     """
-
-    def __init__(self, level1: np.ndarray, levels: dict[int, tuple], part: int, parts: int):
-        self.level1, self.levels, self.part, self.parts = level1, levels, part, parts
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 of the averaged predictive probability of each string's last byte; 0 for contexts of other slices."""
-        mine = np.flatnonzero(family_slice(codes, self.parts) == self.part)
-        byte, context = codes[mine] & _u(0xFF), nearest_first(codes[mine] >> _u(8), ORDER)
-        # in this order look-ups at every level move through their tables once
-        order = np.argsort(context)
-        mine, byte, context = mine[order], byte[order], context[order]
-        first = (context >> _u(8 * (ORDER - 1))).astype(np.int64)
-        p = np.repeat(self.level1.reshape(-1)[first * 256 + byte.astype(np.int64)][None, :], SAMPLES, axis=0)
-        for k in range(2, ORDER + 1):
-            contexts, weight, keys, seen = self.levels[k]
-            if not len(keys):
-                continue
-            u = context >> _u(8 * (ORDER - k))
-            at = np.minimum(np.searchsorted(contexts, u), len(contexts) - 1)
-            there = np.flatnonzero(contexts[at] == u)
-            p[:, there] *= weight[:, at[there]]
-            own = u << _u(8) | byte
-            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-            there = np.flatnonzero(keys[at] == own)
-            p[:, there] = seen[:, at[there]]
-        out = np.zeros(len(codes))
-        out[mine] = np.log10(p.mean(axis=0))
-        return out
-
-
-def level(contexts: np.ndarray, weight: np.ndarray, keys: np.ndarray, seen: np.ndarray, k: int) -> tuple:
-    """One level of a Model from numbers as `grams` makes them."""
-    c, d = nearest_first(contexts, k), nearest_first(keys >> _u(8), k) << _u(8) | keys & _u(0xFF)
-    by_c, by_d = np.argsort(c), np.argsort(d)
-    return c[by_c], np.ascontiguousarray(weight[:, by_c]), d[by_d], np.ascontiguousarray(seen[:, by_d])
-
-
-def family_slice(codes: np.ndarray, parts: int) -> np.ndarray:
-    return ((((codes >> _u(8)) & _mask(2)) * _u(0x9E3779B1)) % _u(1 << 32) % _u(parts)).astype(np.int64)
-
-
-def train(counts: DataFrame, n_grams: int) -> tuple[np.ndarray, DataFrame, int]:
-    """Level-1 probabilities, all sampled rows (level, key, context?, probabilities by sample), and the number of slices."""
-    tasks, slices_ = max(12, -(-n_grams // TASK_GRAMS)), max(1, -(-3 * n_grams // SLICE_ROWS))
-    family = F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFF)
-    dealt = written(counts.where(F.col("kind") == GRAM).select("key", "n").repartition(tasks, family), "byte-strings")
-
-    def level1_of(level1: np.ndarray | None, sweeps: int, d: dict[int, float]) -> tuple[np.ndarray, dict[int, float]]:
-        """Customers of level 1 after some sweeps, and discounts from how many dishes of each level have one and two customers."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            f = _family(batches)
-            rng = np.random.default_rng(1000 + TaskContext.get().partitionId())
-            for _ in range(sweeps):
-                f.sweep(rng, level1, d)
-            c = np.bincount(f.below, f.t[2], 65536)
-            at = np.flatnonzero(c)
-            few = [(-2 * k - i, int((f.c[k] == 1 + i).sum())) for k in range(2, ORDER + 1) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), *(k for k, _ in few)]), pa.array([*c[at].astype(np.int64).tolist(), *(n for _, n in few)])], ["key", "n"])
-
-        rows = dealt.repartition(tasks, family).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
-        c = np.zeros(65536)
-        few = {r["key"]: r["n"] for r in rows if r["key"] < 0}
-        for r in rows:
-            if r["key"] >= 0:
-                c[r["key"]] = r["n"]
-        return c, {k: discount(few.get(-2 * k, 0), few.get(-2 * k - 1, 0)) for k in range(2, ORDER + 1)}
-
-    c, d = level1_of(None, 0, {})
-    first = Root(c)
-    root = Root(level1_of(first.probabilities().reshape(-1), BURN_IN, d)[0])
-    level1 = np.mean([(root.sweep(), root.probabilities())[1] for _ in range(SAMPLES)], axis=0)
-    flat = level1.reshape(-1)
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = _family(batches)
-        rng = np.random.default_rng(2000 + TaskContext.get().partitionId())
-        for _ in range(BURN_IN):
-            f.sweep(rng, flat, d)
-        kept = []
-        for _ in range(SAMPLES):
-            f.sweep(rng, flat, d)
-            kept.append(f.predictive(flat, d))
-        for k in range(2, ORDER + 1):
-            for is_context, keys in ((True, f.contexts[k]), (False, f.keys[k])):
-                values = np.stack([x[is_context][k] for x in ((p, w) for p, w in kept)]).astype(np.float32)
-                part = family_slice(keys << _u(8) if is_context else keys, slices_)
-                kinds = np.full(len(keys), 2 * k + is_context, np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kinds), pa.array(part.astype(np.int32)), pa.array(keys.view(np.int64)), *(pa.array(v) for v in values)],
-                    ["kind", "part", "key", *(f"p{s}" for s in range(SAMPLES))],
-                )
-
-    schema = "kind int, part int, key long, " + ", ".join(f"p{s} float" for s in range(SAMPLES))
-    return flat, written(dealt.repartition(tasks, family).mapInArrow(sample, schema), "restaurants"), slices_
-
-
-def load(rows: DataFrame, level1: np.ndarray, part: int, parts: int) -> Model:
-    """One slice at the driver, as arrays; its rows are bounded by SLICE_ROWS in the mean over slices."""
-    t = rows.where(F.col("part") == part).drop("part").toArrow()
-    kind, key = t["kind"].to_numpy(), t["key"].to_numpy().view(np.uint64)
-    values = np.stack([t[f"p{s}"].to_numpy() for s in range(SAMPLES)]) if t.num_rows else np.zeros((SAMPLES, 0), np.float32)
-    levels = {}
-    for k in range(2, ORDER + 1):
-        c, d = (np.flatnonzero(kind == 2 * k + is_context) for is_context in (1, 0))
-        levels[k] = level(key[c], values[:, c], key[d], values[:, d], k)
-    return Model(level1, levels, part, parts)
-
-
-def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, vocabulary, base_score, score, perplexity."""
-    spark = docs.sparkSession
-    rows = texts(docs)
-    training = rows.where(F.coalesce(remainder(F.col("doc_id"), folds) != held, F.lit(True)))
-    counts = written(training.select("text").mapInArrow(_count, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
-    facts = {r["kind"]: r for r in counts.groupBy("kind").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()}
-    n, v = (facts[WORD]["n"], facts[WORD]["v"]) if WORD in facts else (0, 0)
-    n_grams = facts[GRAM]["v"] if GRAM in facts else 0
-    level1, restaurants, parts = train(counts, n_grams)
-    bound, end = n // FREQUENT, end_hash()
-    often = (F.col("n") > bound) | (F.col("key") == end)
-    common = counts.where((F.col("kind") == WORD) & often).select("key", "n").toArrow()
-    order = np.argsort(common["key"].to_numpy())
-    words = spark.sparkContext.broadcast((common["key"].to_numpy()[order], common["n"].to_numpy()[order].astype(float)))
-
-    def scorer(model, first: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            uid = (TaskContext.get().partitionId() << 33) - 1
-            keys, known = words.value
-            m = model.value
-            for ids, column in _chunks(batches, ["doc_id", "text"]):
-                w = Words(column)
-                stream, scored, starts = w.stream()
-                coded = pa.array(grams(stream, scored)).dictionary_encode()
-                logs = m.log10(coded.dictionary.to_numpy())[coded.indices.to_numpy()]
-                total = np.add.reduceat(logs, starts)
-                uids = np.arange(uid + 1, uid + 1 + w.texts)
-                uid += w.texts
-                columns = {"uid": pa.array(uids), "score": pa.array(total)}
-                if first:
-                    hashes = np.append(w.hashes, end)
-                    at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
-                    hit = keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
-                    c = np.where(hit, known[at], 0.0) if len(keys) else np.zeros(len(hashes))
-                    part, there = np.log10(c + 1), hit.astype(float)
-                    base = np.bincount(w.owner, part[w.number], w.texts) + part[-1]
-                    n_known = np.bincount(w.owner, there[w.number], w.texts) + there[-1]
-                    rare = ~hit[w.number]
-                    pairs = np.sort(w.owner[rare] * len(hashes) + w.number[rare])
-                    values, times = np.unique(pairs, return_counts=True)
-                    text_of, word_of = values // len(hashes), values % len(hashes)
-                    offsets = np.searchsorted(text_of, np.arange(w.texts + 1)).astype(np.int32)
-                    columns |= {
-                        "doc_id": ids, "n_tokens": pa.array(w.per_text + 1), "base": pa.array(base), "known": pa.array(n_known.astype(np.int64)),
-                        "rare": pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[word_of])), "times": pa.ListArray.from_arrays(pa.array(offsets), pa.array(times.astype(np.int64))),
-                    }
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-        return run
-
-    model = spark.sparkContext.broadcast(load(restaurants, level1, 0, parts))
-    scored = written(rows.mapInArrow(scorer(model, True), "uid long, score double, doc_id long, n_tokens long, base double, known long, rare array<long>, times array<long>"), "lm-scored")
-    total = scored.select("uid", "score")
-    for part in range(1, parts):
-        more = spark.sparkContext.broadcast(load(restaurants, level1, part, parts))
-        total = total.unionByName(written(rows.mapInArrow(scorer(more, False), "uid long, score double"), "lm-scored"))
-    if parts > 1:
-        total = total.groupBy("uid").agg(F.sum("score").alias("score"))
-        scored = scored.drop("score").join(total, "uid")
-    rest = counts.where((F.col("kind") == WORD) & ~often).select("key", "n")
-    uses = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    found = uses.hint("merge").join(rest, "key").groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("more_known"))
-    base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
-    return scored.drop("rare", "times").join(found, "uid", "left").select(
-        "doc_id", F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), F.lit(v).cast("long").alias("vocabulary"), base.alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+    spark, times = docs.sparkSession, max(samples, 1)
+    source = texts(docs).withColumn("held", F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(False)))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    word_buckets, buckets, chunks_ = max(12, size // WORDS_BYTES), max(12, size // CONTEXT_BYTES), max(12, size // chunk)
+    chunks = written(source.select("doc_id", "held", "text").mapInArrow(tokenise(word_buckets, chunk), CHUNKS), "lm-chunks")
+    own = chunks.where("doc is not null").select(F.lit(OWN).alias("kind"), "chunk", F.lit(None).cast("int").alias("bucket"), F.col("doc").alias("data"), "uids", "ids", "held")
+    asked = chunks.where("words is not null").select("bucket", "chunk", "words", "counts").repartition(word_buckets, "bucket").sortWithinPartitions("bucket")
+    known = written(asked.mapInArrow(vocabulary(word_buckets), ROW), "lm-vocabulary")
+    v_size, n = (x or 0 for x in known.where(F.col("kind") == FACT).agg(F.sum("a"), F.sum("b")).first())
+    answers = known.where(F.col("kind") == ANSWER)
+
+    def dealt(*others: DataFrame) -> DataFrame:
+        rows = own
+        for o in others:
+            rows = rows.unionByName(o.select("kind", "chunk", "bucket", "data"), allowMissingColumns=True)
+        return rows.repartition(chunks_, "chunk").sortWithinPartitions("chunk", "kind", "bucket")
+
+    pairs = dealt(answers).mapInArrow(ask(n, buckets), ROW).select("bucket", "chunk", "data").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    sampled = written(pairs.mapInArrow(sample(v_size, samples, burn_in, word_buckets), ROW), "lm-sampled")
+    of = lambda rows, kind: {r["bucket"]: r["a"] for r in rows.where(F.col("kind") == kind).groupBy("bucket").agg(F.sum("a").alias("a")).collect()}
+    customers = of(sampled, FACT)
+    parts = [(r["chunk"], unpack(r["data"])[0]) for r in sampled.where(F.col("kind") == SPLIT).select("chunk", "data").collect()]
+    contexts, at = np.unique(np.array([v for v, _ in parts], np.int64), return_inverse=True)
+    split = (contexts, np.zeros((times, len(contexts)), np.int64))
+    for j, (_, t) in zip(at.tolist(), parts):
+        split[1][:, j] += t
+    words = sampled.where(F.col("kind") == TABLES).unionByName(answers).select("bucket", "kind", "chunk", "data")
+    shared = written(words.repartition(word_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(parent(v_size, samples, burn_in), ROW), "lm-parent")
+    tables = of(shared, FACT)
+    upper = shared.where(F.col("kind") == ANSWER).withColumn("kind", F.lit(ASKED))
+    seen = lambda x: [x.get(i, 0) for i in range(times)]
+    scored = dealt(answers, upper, sampled.where(F.col("kind") == SAMPLED)).mapInArrow(log10_of(n, v_size, buckets, times, seen(customers), seen(tables), split), SCORES)
+    whole = scored.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
+    return whole.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.lit(v_size).cast("long").alias("vocabulary"), "base_score", "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )

@@ -497,60 +497,101 @@ def test_language_model_base(spark, docs, texts, awkward, which):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
 
 
-def test_rare_words_are_joined(spark, monkeypatch, docs):
-    whole = {r["doc_id"]: (r["n_known"], r["base_score"]) for r in hpylm.score(docs).collect()}
-    monkeypatch.setattr(hpylm, "FREQUENT", 50)
-    joined = {r["doc_id"]: (r["n_known"], r["base_score"]) for r in hpylm.score(docs).collect()}
-    assert all(a == joined[i][0] and b == pytest.approx(joined[i][1]) for i, (a, b) in whole.items())
-
-
-def test_model_slices_add_up(spark, monkeypatch, docs):
-    one = {r["doc_id"]: r["score"] for r in hpylm.score(docs).collect()}
-    loads = []
-    load = hpylm.load
-    monkeypatch.setattr(hpylm, "SLICE_ROWS", 150_000)
-    monkeypatch.setattr(hpylm, "load", lambda *a: (loads.append(a[2]), load(*a))[1])
-    several = {r["doc_id"]: r["score"] for r in hpylm.score(docs).collect()}
-    assert len(loads) > 1 and all(s == pytest.approx(several[i]) for i, s in one.items())
-
-
-def test_predictive_probabilities_sum_to_one(spark):
-    text = b"abracadabra abracadabra " * 20
-    stream = np.frombuffer(b"\n" * hpylm.ORDER + text + b"\n", np.uint8)
-    scored = np.arange(len(stream)) >= hpylm.ORDER
-    codes, counts = np.unique(hpylm.grams(stream, scored), return_counts=True)
-    family = hpylm.Family(codes, counts)
-    root = hpylm.Root(np.bincount(family.below, family.t[2], 65536))
-    level1 = root.probabilities()
-    assert np.allclose(level1.sum(axis=1), 1)
-    d = {k: 0.5 for k in range(2, hpylm.ORDER + 1)}
-    rng = np.random.default_rng(0)
-    for _ in range(3):
-        family.sweep(rng, level1.reshape(-1), d)
-    for k in range(2, hpylm.ORDER + 1):
-        assert (family.t[k] >= 1).all() and (family.t[k] <= family.c[k]).all()
-    levels = {}
-    p, weight = family.predictive(level1.reshape(-1), d)
-    for k in range(2, hpylm.ORDER + 1):
-        levels[k] = hpylm.level(family.contexts[k], np.repeat(weight[k][None], hpylm.SAMPLES, 0), family.keys[k], np.repeat(p[k][None], hpylm.SAMPLES, 0), k)
-    model = hpylm.Model(level1, levels, 0, 1)
-    for context in (b"bracad"[:5], b"zzzzz", b"zzabr"):
-        code = sum(c << 8 * (i + 1) for i, c in enumerate(reversed(context)))
-        assert sum(10 ** model.log10(np.arange(256, dtype=np.uint64) | np.uint64(code))) == pytest.approx(1)
+def brute_model(rows, samples=0, burn_in=0, seed=1):
+    """Mean log10 per text by a plain sampler: customers of one dish seated anew one by one, both levels in turn."""
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = lambda x: [*(x or "").encode().lower().split(), b"\n"]
+    words, pairs = collections.Counter(), collections.Counter()
+    for i, x in rows:
+        if not held(i):
+            words.update(tokens(x))
+            pairs.update(zip([b"\n", *tokens(x)], tokens(x)))
+    (s1, d1), (s2, d2), v = hpylm.PARENT, hpylm.CONTEXT, len(words)
+    rng = random.Random(seed)
+    t = dict.fromkeys(pairs, 1)
+    k, tables = collections.Counter(w for _, w in pairs), collections.Counter(a for a, _ in pairs)
+    own = dict.fromkeys(k, 1)
+
+    def lower(w):
+        return (k[w] - d1 * own.get(w, 0) + (s1 + d1 * sum(own.values())) / (v + 1)) / (s1 + sum(k.values()))
+
+    def again(c, level, others, p):
+        n = seats = 1
+        while n < c:
+            new = (level[0] + level[1] * (others + seats)) * p
+            seats += rng.random() < new / (new + n - level[1] * seats)
+            n += 1
+        return seats
+
+    kept = collections.defaultdict(list)
+    for sweep in range(burn_in + samples or 1):
+        if samples:
+            for a, w in pairs:
+                fresh = again(pairs[a, w], hpylm.CONTEXT, tables[a] - t[a, w], lower(w))
+                tables[a] += fresh - t[a, w]
+                k[w] += fresh - t[a, w]
+                t[a, w] = fresh
+            for w in k:
+                own[w] = again(k[w], hpylm.PARENT, sum(own.values()) - own[w], 1 / (v + 1))
+        if sweep >= burn_in:
+            low = {w: lower(w) for w in {w for _, x in rows for w in tokens(x)}}
+            for j, (_, x) in enumerate(rows):
+                kept[j].append([(pairs[a, w] - d2 * t.get((a, w), 0) + (s2 + d2 * tables[a]) * low[w]) / (s2 + words[a]) for a, w in zip([b"\n", *tokens(x)], tokens(x))])
+    return [sum(map(math.log10, np.mean(kept[j], axis=0))) for j in range(len(rows))]
+
+
+@pytest.mark.parametrize("which", ["plain", "awkward"])
+def test_scores_without_sampling_are_exact(spark, docs, texts, awkward, which):
+    """Whatever the chunks, also those of pieces of a text, and however the table is split into tasks."""
+    source, rows = {"plain": (docs, texts), "awkward": (awkward, AWKWARD)}[which]
+    want = sorted(brute_model(rows))
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for chunk, size in ((1 << 20, split), (1000, "64k")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        assert np.allclose(sorted(r["score"] for r in hpylm.score(source, samples=0, chunk=chunk).collect()), want, rtol=1e-9)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+
+
+def test_sampled_scores_are_near_a_plain_sampler(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(f"w{int(r.paretovariate(0.7)) % 60}" for _ in range(50))) for i in range(80)]
+    want = brute_model(rows, samples=10, burn_in=10)
+    got = {x["doc_id"]: x["score"] for x in hpylm.score(frame(spark, rows), samples=6).collect()}
+    assert all(got[i] == pytest.approx(w, rel=0.03) for (i, _), w in zip(rows, want))
+    assert sum(got.values()) == pytest.approx(sum(want), rel=0.01)
+
+
+def test_held_out_texts_are_scored_better_than_the_base(spark):
+    rows = hpylm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
+    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows) + 0.3 * sum(r["n_tokens"] for r in rows)
+
+
+def test_pieces_of_a_text_join_up():
+    r = random.Random(2)
+    for _ in range(50):
+        data = "".join(r.choice("ab \n\t") for _ in range(r.randrange(0, 300))).encode()
+        words = []
+        for piece, skip, end in hpylm.pieces(data, 20):
+            own = piece.split()
+            assert not skip or own[0] == words[-1]
+            words += own[skip:]
+        assert words == data.split() and end
 
 
 def test_seating_follows_the_restaurant(spark):
-    """Mean tables of c customers of one dish against the exact recurrence."""
-    rng, c, d, parent = np.random.default_rng(1), 30, 0.6, 0.3
-    drawn = hpylm.seat(rng, np.full(20_000, c), d, np.zeros(20_000), np.full(20_000, parent)).mean()
+    """Tables of c customers of one dish against the exact recurrence: mean and spread."""
+    rng, c, d, strength, parent = np.random.default_rng(1), 300, 0.6, 2.0, 0.3
+    drawn = hpylm.seat(rng, np.full(20_000, c), (strength, d), np.zeros(20_000), np.full(20_000, parent))
     p = np.zeros(c + 2)
     p[1] = 1
     for n in range(1, c):
         t = np.minimum(np.arange(c + 2), n)
-        new = (hpylm.STRENGTH + d * t) * parent
+        new = (strength + d * t) * parent
         q = new / (new + n - d * t)
         p = p * (1 - q) + np.concatenate([[0], (p * q)[:-1]])
-    assert drawn == pytest.approx((p * np.arange(c + 2)).sum(), rel=0.02)
+    mean = (p * np.arange(c + 2)).sum()
+    assert drawn.mean() == pytest.approx(mean, rel=0.02)
+    assert drawn.std() == pytest.approx(math.sqrt((p * (np.arange(c + 2) - mean) ** 2).sum()), rel=0.05)
 
 
 # --- pipeline
