@@ -16,9 +16,14 @@ judged on the input and never cross documents. The suffixes that matter are thos
 3. The smallest doc_id of each class of equal windows decides which windows go; runs of those become byte spans, which
    are gathered for each document and cut out of its text.
 
-Within a worker's batch equal slices are sent once, for their smallest document; the others are settled on the spot. An
-anchor with very many documents has its windows dealt by their own content, each equal window once for each batch, so no
-bucket grows with a passage that many documents share.
+Within a worker's batch equal slices are sent once, for their smallest document; the others are settled on the spot. Equal
+slices of one document at even distances, as a run of one character or a repeated line gives them, are one slice with a
+count. An anchor with very many slices has its windows dealt by their own content, each equal window once for each batch,
+so no bucket grows with a passage that many documents share. Hashes only bring slices together: what is taken for equal is
+compared byte by byte. Long texts are worked on in pieces of SEGMENT bytes, whatever their length.
+
+Rows are numbered once, in a table that is written with their compressed texts; all passes read that table, so numbers do
+not depend on how a scan is split.
 
 Null text: as empty. Texts shorter than `length` are kept whole. Rows with equal doc_id don't remove from each other, and
 each row gives one result; a null doc_id counts as the largest. An empty table gives no rows. Further columns are ignored here (see `keep`).
@@ -32,25 +37,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
-from .common import texts, trim, written
+from .common import small_batches, trim, written
 
 LENGTH, GRAM = 50, 24
 #: A difference cover modulo its period (every difference occurs between two members), and odd multipliers.
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Bytes of text that are worked on at once.
-SEGMENT = 1_000_000
-#: Anchors per request batch, slices per sorted block and per batch, filter bytes at the driver, documents of a crowded anchor.
+SEGMENT = 500_000
+#: Anchors per request batch, slices per sorted block and per batch, filter bytes at the driver, slices of a crowded anchor.
 REQUESTS, BLOCK, SLICES, FILTER_BYTES, CROWDED = 1_000_000, 30_000, 200_000, 64 << 20, 20_000
 #: Text bytes whose documents and spans are put together in one task.
 GATHER = 24 << 20
-ROW = "kind int, bucket int, uid long, doc_id long, data binary, extra string"
-NAMES = ["kind", "bucket", "uid", "doc_id", "data", "extra"]
+ROW = "kind int, bucket int, uid long, doc_id long, data binary"
+NAMES = ["kind", "bucket", "uid", "doc_id", "data"]
 SPAN, SLICE, TEXT = 0, 1, 2
 LAST_ID = (1 << 63) - 1
 
@@ -100,6 +105,16 @@ def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + size, size)]
 
 
+def differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans from a and from b on, of equal sizes above zero, differ; some bytes at a time."""
+    out = np.zeros(len(a), bool)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(np.cumsum(size), np.arange(SEGMENT, int(size.sum()), SEGMENT)), [len(a)]])) if len(a) else []
+    for i, j in zip(cuts, cuts[1:]):
+        unlike = gather(data, a[i:j], size[i:j]) != gather(data, b[i:j], size[i:j])
+        out[i:j] = np.logical_or.reduceat(unlike, np.cumsum(size[i:j]) - size[i:j])
+    return out
+
+
 def slices(group: list[bytes], length: int = LENGTH, gram: int = GRAM):
     """Runs of windows with one anchor, over a few texts: (text number, first window, windows, anchor's place in the slice, anchor hash)."""
     pieces, base, number, at = [], [], [], 0
@@ -146,8 +161,8 @@ def _unpacked(blob: bytes, columns: int, kind=np.int64) -> list[np.ndarray]:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*(r if len(r) == 6 else (*r, None) for r in rows)) if rows else [[]] * 6
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+    columns = zip(*rows) if rows else [[]] * 5
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], NAMES)
 
 
@@ -195,33 +210,62 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _encoded(b: pa.RecordBatch):
-    """(doc ids, texts) in groups of about half a segment."""
+def _pieces(b: pa.RecordBatch, length: int):
+    """(row numbers, doc ids, places in their texts, bytes) of texts or pieces of them, about a segment together."""
+    unpack = zstandard.ZstdDecompressor().decompress
     rows, size = [], 0
-    for i, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
-        rows.append((LAST_ID if i is None else i, t.as_py().encode()))
-        size += len(rows[-1][1])
-        if size >= SEGMENT // 2:
-            yield zip(*rows)
-            rows, size = [], 0
+    for uid, i, data in zip(*(b.column(c).to_pylist() for c in ("uid", "doc_id", "data"))):
+        text = unpack(data) if data is not None else b""
+        for at in range(0, max(len(text) - length + 1, 1), SEGMENT):
+            rows.append((uid, LAST_ID if i is None else i, at, text[at : at + SEGMENT + length - 1]))
+            size += len(rows[-1][3])
+            if size >= SEGMENT // 2:
+                yield zip(*rows)
+                rows, size = [], 0
     if rows:
         yield zip(*rows)
 
 
-def _home(uid: np.ndarray, parts: int) -> np.ndarray:
-    """Where a row's text and spans meet."""
-    return ((uid.astype(np.uint64) * np.uint64(BASE) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-
-
 def _span_rows(uid: np.ndarray, a: np.ndarray, z: np.ndarray, parts: int) -> list[tuple]:
     """Spans packed by the place where they meet their texts."""
-    home = _home(uid, parts)
+    home = uid % parts
     order = np.lexsort((a, uid, home))
     cuts = np.searchsorted(home[order], np.arange(parts + 1))
     return [(SPAN, k, 0, 0, _packed(uid[o], a[o], z[o] - a[o])) for k in range(parts) if len(o := order[cuts[k] : cuts[k + 1]])]
 
 
-def _anchor_requests(buckets: int):
+def _spread(uid: np.ndarray, a: np.ndarray, z: np.ndarray, count: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of slices that stand `count` times in their text, `step` bytes apart: one span where they touch."""
+    touch = step <= z - a
+    z = np.where(touch, z + (count - 1) * step, z)
+    times = np.where(touch, 1, count)
+    shift = (np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)) * np.repeat(step, times)
+    return np.repeat(uid, times), np.repeat(a, times) + shift, np.repeat(z, times) + shift
+
+
+def _runs(data: np.ndarray, start: np.ndarray, size: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal slices with equal keys at even distances: the first of each such run, how many they are and how far apart."""
+    order = np.lexsort((start, *keys))
+    if not len(order):
+        return order, order, order
+    o, before = order[1:], order[:-1]
+    same = np.ones(len(o), bool)
+    for k in keys:
+        same &= k[o] == k[before]
+    at = np.flatnonzero(same)
+    same[at[differ(data, start[before[at]], start[o[at]], size[o[at]])]] = False
+    gap = np.where(same, start[o] - start[before], 0)
+    new = np.concatenate([[True], ~same])
+    new[2:] |= same[1:] & same[:-1] & (gap[1:] != gap[:-1])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(order)))
+    step = np.zeros(len(first), np.int64)
+    more = np.flatnonzero(count > 1)
+    step[more] = start[order[first[more] + 1]] - start[order[first[more]]]
+    return order[first], count, step
+
+
+def _anchor_requests(buckets: int, length: int = LENGTH):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
 
@@ -237,16 +281,15 @@ def _anchor_requests(buckets: int):
             yield _batch([(0, k, 0, 0, _packed(h[o], low[o], high[o] - low[o], n[o])) for k in range(buckets) if len(o := order[cuts[k] : cuts[k + 1]])])
 
         for batch in batches:
-            for ids, group in _encoded(batch):
-                number, _, _, _, h = slices(group)
+            for _, ids, _, group in _pieces(batch, length):
+                number, _, _, _, h = slices(list(group), length)
                 doc = np.array(ids, np.int64)[number]
-                # one entry for each anchor and document
+                # one entry for each anchor and document, with its slices
                 order = np.lexsort((doc, h))
                 h, doc = h[order], doc[order]
-                new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, bool)
-                h, doc = h[new], doc[new]
-                held.append(_reduce(h, doc, doc, np.ones(len(h), np.int64)))
-                count += len(h)
+                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.zeros(0, np.int64)
+                held.append(_reduce(h[new], doc[new], doc[new], np.diff(np.append(new, len(h)))))
+                count += len(new)
                 if count >= REQUESTS:
                     yield from flush()
         yield from flush()
@@ -289,7 +332,6 @@ def _slice_requests(shared: Broadcast, buckets: int, parts: int, length: int = L
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=3)
         known = shared.value
-        uid = TaskContext.get().partitionId() << 33
         held: list[tuple] = []
         count = 0
 
@@ -299,15 +341,17 @@ def _slice_requests(shared: Broadcast, buckets: int, parts: int, length: int = L
                 return
             *columns, data = (np.concatenate(c) for c in zip(*held))
             held, count = [], 0
-            h, same, doc, at, first, place, size = columns
+            h, same, doc, uid, first, place, size, times, step = columns
             start = np.cumsum(size) - size
             order = np.lexsort((doc, same, h))
-            new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (same[order][1:] != same[order][:-1])])
-            lowest = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-            goes = doc[order] > lowest
+            new = np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(same[order]) != 0)])
+            lowest = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+            goes = (doc[order] > doc[lowest]) & (size[order] == size[lowest])
+            at = np.flatnonzero(goes)
+            goes[at[differ(data, start[lowest[at]], start[order[at]], size[order[at]])]] = False
             if goes.any():  # a smaller document of this batch has the whole slice
                 o = order[goes]
-                yield _batch(_span_rows(at[o], first[o], first[o] + size[o], parts))
+                yield _batch(_span_rows(*_spread(uid[o], first[o], first[o] + size[o], times[o], step[o]), parts))
             o = order[~goes]
             bucket = ((h[o] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
             o = o[np.argsort(bucket, kind="stable")]
@@ -316,13 +360,14 @@ def _slice_requests(shared: Broadcast, buckets: int, parts: int, length: int = L
             for k in range(buckets):
                 e = o[cuts[k] : cuts[k + 1]]
                 if len(e):
-                    head = _packed(h[e], doc[e], at[e], first[e], place[e], size[e])
+                    head = _packed(h[e], doc[e], uid[e], first[e], place[e], size[e], times[e], step[e])
                     text = compressor.compress(gather(data, start[e], size[e]).tobytes())
                     rows.append((SLICE, k, 0, 0, struct.pack("<q", len(head)) + head + text))
             yield _batch(rows)
 
         for batch in batches:
-            for ids, group in _encoded(batch):
+            for uids, ids, places, group in _pieces(batch, length):
+                group = list(group)
                 number, first, windows, place, h = slices(group, length)
                 hit = known.has(h)
                 number, first, windows, place, h = number[hit], first[hit], windows[hit], place[hit], h[hit]
@@ -340,9 +385,12 @@ def _slice_requests(shared: Broadcast, buckets: int, parts: int, length: int = L
                     h, size = np.concatenate([h[keep], alone]), np.concatenate([size[keep], np.full(len(n1), length)])
                 if len(h):
                     start = base[number] + first
-                    held.append((h, span_hashes(source, start, size), np.array(ids, np.int64)[number], uid + number, first, place, size, gather(source, start, size)))
-                    count += len(h)
-                uid += len(group)
+                    same = span_hashes(source, start, size)
+                    o, times, step = _runs(source, start, size, size, same, h, number)
+                    n = number[o]
+                    at = np.array(places, np.int64)[n] + first[o]
+                    held.append((h[o], same[o], np.array(ids, np.int64)[n], np.array(uids, np.int64)[n], at, place[o], size[o], times, step, gather(source, start[o], size[o])))
+                    count += len(o)
                 if count >= SLICES:
                     yield from flush()
         yield from flush()
@@ -351,22 +399,6 @@ def _slice_requests(shared: Broadcast, buckets: int, parts: int, length: int = L
     return run
 
 
-def _texts(parts: int):
-    """Each row's text, compressed, under the same row numbers as its slices."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressor = zstandard.ZstdCompressor(level=3)
-        uid = TaskContext.get().partitionId() << 33
-        for b in batches:
-            numbers = np.arange(uid, uid + b.num_rows)
-            uid += b.num_rows
-            extras = b.column("extra").to_pylist() if "extra" in b.schema.names else [None] * b.num_rows
-            rows = zip(_home(numbers, parts).tolist(), numbers.tolist(), b.column("doc_id").to_pylist(), b.column("text"), extras)
-            yield _batch([(TEXT, k, u, i, compressor.compress(t.as_py().encode()), x) for k, u, i, t, x in rows])
-
-    return run
-
-
 def _words(text: np.ndarray, at: np.ndarray, count: int) -> list[np.ndarray]:
     """The bytes from each place on, `count` bytes, as big-endian 64-bit words (the last one cut)."""
     out = []
@@ -416,12 +448,14 @@ def equal_windows(text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.nda
 
 def _sort_block(columns: list[np.ndarray], source: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (uid, from, to) that the slices of one block lose."""
-    h, doc, uid, first, place, size = columns
+    h, doc, uid, first, place, size, times, step = columns
     starts = np.cumsum(size) - size
     # equal slices are laid out and sorted once, with their smallest document
-    same = span_hashes(source, starts, size)
-    order = np.lexsort((same, h))
-    new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (same[order][1:] != same[order][:-1])])
+    order = np.lexsort((size, span_hashes(source, starts, size), h))
+    o, before = order[1:], order[:-1]
+    new = np.concatenate([[True], (h[o] != h[before]) | (size[o] != size[before])])
+    at = np.flatnonzero(~new)
+    new[at[differ(source, starts[order[at - 1]], starts[order[at]], size[order[at]])]] = True
     shape = np.empty(len(h), np.int64)
     shape[order] = np.cumsum(new) - 1
     one = order[new]
@@ -448,7 +482,7 @@ def _sort_block(columns: list[np.ndarray], source: np.ndarray, length: int) -> t
         return at, at, at
     cut = np.concatenate([[True], (np.diff(at) > 1) | (row[at][1:] != row[at][:-1])])
     a, z = at[cut], at[np.concatenate([cut[1:], [True]])]
-    return uid[row[a]], first[row[a]] + offset[a], first[row[z]] + offset[z] + length
+    return _spread(uid[row[a]], first[row[a]] + offset[a], first[row[z]] + offset[z] + length, times[row[a]], step[row[a]])
 
 
 def _sorted_buckets(parts: int, length: int = LENGTH):
@@ -467,7 +501,7 @@ def _sorted_buckets(parts: int, length: int = LENGTH):
             gathered = []
             for blob in held.pop(k):
                 n = struct.unpack("<q", blob[:8])[0]
-                gathered.append((_unpacked(blob[8 : 8 + n], 6), np.frombuffer(decompressor.decompress(blob[8 + n :]), np.uint8)))
+                gathered.append((_unpacked(blob[8 : 8 + n], 8), np.frombuffer(decompressor.decompress(blob[8 + n :]), np.uint8)))
             columns = [np.concatenate(c) for c in zip(*(p[0] for p in gathered))]
             text = np.concatenate([p[1] for p in gathered])
             gathered.clear()
@@ -507,28 +541,33 @@ def cut_out(data: bytes, spans: np.ndarray) -> tuple[bytes, int, int]:
     return b"".join(kept), int((ends - starts).sum()), len(starts)
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, extra string"
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    compress = zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        data = [None if not t.is_valid else compress(t.as_buffer().to_pybytes()) for t in b.column("text")]
+        sizes = pa.array([0 if not t.is_valid else t.as_buffer().size for t in b.column("text")], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), sizes, pa.array(data, pa.binary()), b.column("extra")], ["uid", "doc_id", "size", "data", "extra"])
 
 
 def _results(as_text: bool):
     """Rows in order of kind: the spans of these texts, then the texts."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "text" if as_text else "kept"]
+    kinds = [pa.int64()] * 4 + [pa.string() if as_text else pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decompressor = zstandard.ZstdDecompressor()
         held: list = []
-        rows: list = []
-        size = 0
         by_uid = None
 
-        def out():
-            kinds = [pa.int64()] * 4 + [pa.string() if as_text else pa.binary(), pa.string()]
-            columns = zip(*rows) if rows else [[]] * 6
-            b = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "text" if as_text else "kept", "extra"])
-            rows.clear()
-            return b
+        def out(b, rows, places):
+            columns = zip(*rows) if rows else [[]] * 5
+            return pa.RecordBatch.from_arrays([*(pa.array(list(c), k) for c, k in zip(columns, kinds)), b.column("extra").take(pa.array(places, pa.int64()))], [*names, "extra"])
 
         for b in batches:
-            for kind, uid, doc, data, extra in zip(*(b.column(c).to_pylist() for c in ("kind", "uid", "doc_id", "data", "extra"))):
+            rows: list = []
+            places: list = []
+            size = 0
+            for i, (kind, uid, doc, data) in enumerate(zip(*(b.column(c).to_pylist() for c in ("kind", "uid", "doc_id", "data")))):
                 if kind == SPAN:
                     held.append(_unpacked(data, 3))
                     continue
@@ -538,46 +577,51 @@ def _results(as_text: bool):
                     order = np.argsort(owner, kind="stable")
                     by_uid, spans = owner[order], np.stack([a[order], a[order] + n[order]], axis=1)
                 lo, hi = np.searchsorted(by_uid, [uid, uid + 1])
-                text = decompressor.decompress(data)
+                text = decompressor.decompress(data) if data is not None else b""
                 kept, removed, runs = cut_out(text, spans[lo:hi])
-                rows.append((doc, len(text), removed, runs, kept.decode("utf-8", "replace") if as_text else kept, extra))
+                rows.append((doc, len(text), removed, runs, kept if not as_text else None if data is None else kept.decode("utf-8", "replace")))
+                places.append(i)
                 size += len(kept)
                 if size > 8 << 20:
-                    yield out()
-                    size = 0
-        yield out()
+                    yield out(b, rows, places)
+                    rows, places, size = [], [], 0
+            yield out(b, rows, places)
         trim()
 
     return run
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """docs with the texts that are left (half a character that a cut leaves becomes U+FFFD); all rows and columns stay.
+    """docs with the texts that are left (half a character that a cut leaves becomes U+FFFD); all rows and columns stay, null texts too.
 
     n_chars, where it is there, follows the text.
     """
     others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
-    kind = StructType(others)
-    left = dedup(docs, F.to_json(F.struct(*(F.col(f"`{f.name}`") for f in others))) if others else None, as_text=True)
-    back = F.from_json("extra", kind)
-    text = F.col("text")
-    columns = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text}
+    left = _found(docs, [f.name for f in others], as_text=True)
+    columns = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("text")}
     for f in others:
-        columns[f.name] = F.char_length(text).cast(f.dataType) if f.name == "n_chars" else back[f.name]
+        columns[f.name] = F.coalesce(F.char_length("text").cast(f.dataType), F.col("extra")[f.name]) if f.name == "n_chars" else F.col("extra")[f.name]
     return left.select(*(columns[n].alias(n) for n in docs.columns))
 
 
-def dedup(docs: DataFrame, extra: Column | None = None, as_text: bool = False) -> DataFrame:
-    """RESULT: one row per row of docs; `kept` holds the remaining bytes. docs should be a table: it is read three times.
+def dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept: one row per row of docs; `kept` holds the remaining bytes."""
+    return _found(docs, [], as_text=False).drop("extra")
 
-    extra: a string that goes along with each row. as_text: `text` instead of `kept`, with U+FFFD for half characters.
-    """
-    source = texts(docs)
-    carried = source if extra is None else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), extra.alias("extra"))
-    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+def _found(docs: DataFrame, others: list[str], as_text: bool) -> DataFrame:
+    """One row per row of docs, with its other columns as `extra`, as they are."""
+    small_batches(docs.sparkSession)
+    extra = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(None).cast("int")
+    numbered = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text", extra.alias("extra"))
+    kind = T.StructField("extra", numbered.schema["extra"].dataType)
+    long = lambda *names: [T.StructField(n, T.LongType()) for n in names]
+    source = written(numbered.mapInArrow(_compressed, T.StructType([*long("uid", "doc_id", "size"), T.StructField("data", T.BinaryType()), kind])), "passages")
+    total = source.agg(F.sum("size")).first()[0] or 0
     anchors = total // 13 + 1
     buckets, parts = max(12, -(-anchors // 500_000)), max(12, -(-total // GATHER))
-    asked = source.mapInArrow(_anchor_requests(buckets), ROW).repartition(buckets, "bucket")
+    texts = source.select("uid", "doc_id", "data")
+    asked = texts.mapInArrow(_anchor_requests(buckets), ROW).repartition(buckets, "bucket")
     answers = written(asked.mapInArrow(_anchor_answers(max(CROWDED, anchors // 10_000_000)), ROW), "anchor-filters")
     sizes = [(r["bucket"], r["uid"], r["doc_id"]) for r in answers.where("kind = 0").select("bucket", "uid", "doc_id").collect()]
     sort_buckets = max(12, -(-sum(n for _, n, _ in sizes) // 150_000))
@@ -588,14 +632,12 @@ def dedup(docs: DataFrame, extra: Column | None = None, as_text: bool = False) -
             room = FILTER_BYTES
         ranges[-1].append(k)
         room -= size
-    spans = []
+    rows = source.select(F.lit(TEXT).alias("kind"), (F.col("uid") % parts).cast("int").alias("bucket"), "uid", "doc_id", "data", "extra")
     for part in filter(None, ranges):
-        rows = answers.where(F.col("bucket").isin(part)).select("kind", "bucket", "data").collect()
-        known = Filter(buckets, {r["bucket"]: bytes(r["data"]) for r in rows if r["kind"] == 0}, np.sort(np.frombuffer(b"".join(bytes(r["data"]) for r in rows if r["kind"] == 1), np.uint64)))
+        found = answers.where(F.col("bucket").isin(part)).select("kind", "bucket", "data").collect()
+        known = Filter(buckets, {r["bucket"]: bytes(r["data"]) for r in found if r["kind"] == 0}, np.sort(np.frombuffer(b"".join(bytes(r["data"]) for r in found if r["kind"] == 1), np.uint64)))
         # Slices go to their bucket, and what a batch settled itself straight to the texts: one shuffle deals both.
-        dealt = source.mapInArrow(_slice_requests(docs.sparkSession.sparkContext.broadcast(known), sort_buckets, parts), ROW).repartition(sort_buckets, "kind", "bucket")
-        spans.append(dealt.mapInArrow(_sorted_buckets(parts), ROW))
-    rows = carried.mapInArrow(_texts(parts), ROW)
-    for more in spans:
-        rows = rows.unionByName(more)
-    return rows.repartition(parts, "bucket").sortWithinPartitions("kind").mapInArrow(_results(as_text), RESULT.replace("kept binary", "text string") if as_text else RESULT)
+        dealt = texts.mapInArrow(_slice_requests(docs.sparkSession.sparkContext.broadcast(known), sort_buckets, parts), ROW).repartition(sort_buckets, "kind", "bucket")
+        rows = rows.unionByName(dealt.mapInArrow(_sorted_buckets(parts), ROW), allowMissingColumns=True)
+    result = T.StructType([*long("doc_id", "n_bytes", "n_removed", "n_spans"), T.StructField("text", T.StringType()) if as_text else T.StructField("kept", T.BinaryType()), kind])
+    return rows.repartition(parts, "bucket").sortWithinPartitions("kind").mapInArrow(_results(as_text), result)

@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,6 +253,43 @@ def test_suffix_dedup_of_crowded_anchors_in_many_ranges(spark, monkeypatch):
     assert dedup(frame(spark, rows)) == brute_dedup(rows)
 
 
+def test_suffix_dedup_of_long_repetitive_texts(spark, monkeypatch):
+    """One character, a period, a repeated line and distinct text, over several pieces."""
+    r = random.Random(6)
+    words = "".join(r.choice("abcdefgh ") for _ in range(7000))
+    line = "the same line again and again, sixty bytes of it or more ...\n"
+    rows = [(3, "x" * 20_000), (5, words + "x" * 9000 + words), (4, "ab" * 6000), (9, "x" * 700 + line * 150), (7, line * 200 + "ab" * 100 + words[:6000]), (8, "abc" * 3000), (2, "abc" * 100 + line)]
+    assert dedup(frame(spark, rows)) == brute_dedup(rows)
+
+
+def test_slices_of_a_long_repetitive_text_stay_small():
+    import tracemalloc
+
+    import zstandard
+
+    class Known:
+        value = suffix_dedup.Filter(12, {}, np.zeros(0, np.uint64))
+
+    Known.value.has = lambda h: np.ones(len(h), bool)
+    for text in (b"x" * 4_000_000, b"a line of some length that is there a hundred thousand times\n" * 65_000):
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([zstandard.compress(text)], pa.binary())], ["uid", "doc_id", "data"])
+        tracemalloc.start()
+        sent = sum(len(d) for b in suffix_dedup._slice_requests(Known, 12, 12)(iter([batch])) for d in b.column("data").to_pylist())
+        assert sent < 100_000 and tracemalloc.get_traced_memory()[1] < 400 << 20
+        tracemalloc.stop()
+
+
+def test_columns_go_through_the_passage_stage_unchanged(spark):
+    import datetime
+
+    at = datetime.datetime(2024, 5, 6, 7, 8, 9, 123456)
+    rows = [(1, None, at, [1, 2], 0), (2, "a passage that is long enough to be found twice in this table", at, None, 7), (3, "a passage that is long enough to be found twice in this table!", None, [3], 7)]
+    source = spark.createDataFrame(rows, "doc_id int, text string, at timestamp, xs array<int>, n_chars int")
+    got = suffix_dedup.keep(source)
+    assert got.schema == source.schema
+    assert sorted(map(tuple, got.collect()), key=lambda x: x[0]) == [(1, None, at, [1, 2], 0), (2, rows[1][1], at, None, len(rows[1][1])), (3, "!", None, [3], 1)]
+
+
 def test_equal_windows_sorts_like_strings():
     r = random.Random(5)
     text = np.array([r.randrange(97, 99) for _ in range(2000)] + [0] * 200, np.uint8)
