@@ -15,7 +15,10 @@ class LineCRF:
 
     @classmethod
     def fit(cls, documents: list[tuple[np.ndarray, np.ndarray]], rounds: int = 80, step: float = 0.3, shrink: float = 1e-3) -> LineCRF:
-        """Gradient ascent (Adagrad) on the mean log-likelihood of (features, labels) sequences."""
+        """Gradient ascent (Adagrad) on the mean log-likelihood of (features, labels) sequences.
+
+        Sequences stand side by side, padded to the longest: callers bound their number and length.
+        """
         documents = [d for d in documents if len(d[1])]
         width = documents[0][0].shape[1] if documents else len(FEATURES)
         e, t = np.zeros((2, width)), np.zeros((2, 2))

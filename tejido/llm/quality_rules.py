@@ -2,8 +2,10 @@
 
 Counts (words, characters, signs, repeated lines, words in repeated windows) settle the base rule. For texts that pass it,
 Viterbi decoding of a linear-chain CRF marks each line with a word as content or boilerplate, and the share of words that
-stand in content lines decides retention. The CRF is trained by likelihood on weakly labelled lines (crf.seed_labels) of a
-bounded sample of documents: `sample_docs` rows, those with the smallest hash of their id.
+stand in content lines decides retention. The CRF is trained by likelihood on weakly labelled lines (crf.seed_labels), that
+is, on rules about single lines, to which it adds what lines say about their neighbours. The sample is bounded: the
+documents with the `sample_docs` smallest hashes of their id, of these the `SAMPLE_PIECES` pieces of at most `PIECE_LINES`
+lines with the smallest hashes. Tasks make the features; two bytes for each line come to the driver, no text.
 
 Null and empty texts: all counts zero, base_failed, not kept. Repeated rows and ids give one result row each. An empty
 table gives no rows. Further columns are ignored.
@@ -20,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, texts
-from .crf import LineCRF, line_features, seed_labels
+from .crf import FEATURES, LineCRF, line_features, seed_labels
 from .textstats import repeated_words
 
-SAMPLE_DOCS = 600
+SAMPLE_DOCS, SAMPLE_PIECES, PIECE_LINES = 600, 1200, 200
 CONTENT_SHARE = 0.5
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, n_content_lines long, content_share double"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -42,15 +44,30 @@ def lines_of(text: str) -> tuple[list[bytes], list[bool]]:
     return lines, again
 
 
+def line_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of at most PIECE_LINES lines, each line's indicators as the bits of a number."""
+    weights = 1 << np.arange(len(FEATURES))
+    for b in batches:
+        for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+            lines, again = lines_of(text.as_py())
+            pieces = []
+            for at in range(0, len(lines), PIECE_LINES):
+                f = line_features(lines[at : at + PIECE_LINES], again[at : at + PIECE_LINES])
+                pieces.append((f.astype(np.int64) @ weights).astype("<u2").tobytes())
+            if pieces:
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(pieces), pa.int64()), pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], ["doc_id", "piece", "bits"])
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LineCRF:
     picked = [r[0] for r in docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()]
-    rows = texts(docs.where(F.col("doc_id").isin(picked))).orderBy("doc_id", "text").limit(sample_docs).collect() if picked else []
+    if not picked:
+        return LineCRF.fit([])
+    pieces = texts(docs.where(F.col("doc_id").isin(picked))).mapInArrow(line_bits, "doc_id long, piece int, bits binary")
+    rows = pieces.orderBy(F.xxhash64("doc_id", "piece"), "doc_id", "piece", "bits").limit(SAMPLE_PIECES).collect()
     sequences = []
     for r in rows:
-        lines, again = lines_of(r["text"])
-        if lines:
-            f = line_features(lines, again)
-            sequences.append((f, seed_labels(f)))
+        f = (np.frombuffer(r["bits"], "<u2")[:, None].astype(np.int64) >> np.arange(len(FEATURES)) & 1).astype(float)
+        sequences.append((f, seed_labels(f)))
     return LineCRF.fit(sequences)
 
 

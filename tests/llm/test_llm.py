@@ -494,6 +494,65 @@ def test_rules_keep_good_texts_and_drop_junk(spark):
     assert np.mean([not r["kept"] for r in rows if r["quality"] == 0]) > 0.4
 
 
+def test_rules_on_texts_of_many_lines(spark):
+    """Training takes bounded pieces of them, however long they are."""
+    import tracemalloc
+
+    line = lambda i: "every{0} sentence{0} has{0} some{0} more{0} words{0}, all{0} its{0} own{0}.".format("".join(chr(97 + int(d)) for d in str(i)))
+    many = "\n".join(map(line, range(100_000)))
+    rows = [(i, "\n".join(line(i * 10 + j) for j in range(8))) for i in range(50)] + [(100, many), (101, "x" * 4_000_000), (102, "menu | home | about | more\n" * 20_000)]
+    source = frame(spark, rows)
+    tracemalloc.start()
+    model = quality_rules.train(source)
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+    got = {r["doc_id"]: r for r in quality_rules.apply_rules(source, model).collect()}
+    assert got[100]["n_lines"] == 100_000 and got[100]["kept"] and got[1]["kept"] and not got[101]["kept"] and not got[102]["kept"]
+
+
+def test_crf_gradient_is_that_of_the_likelihood():
+    """One small step against differences of the log-likelihood, summed over all labellings."""
+    import itertools
+
+    r = np.random.default_rng(5)
+    docs_ = [(r.standard_normal((n, 3)), r.integers(0, 2, n)) for n in (1, 4, 3)]
+
+    def likelihood(e, t):
+        def score(f, y):
+            return sum(e[a] @ x for a, x in zip(y, f)) + sum(t[a, b] for a, b in zip(y, y[1:]))
+
+        return sum(score(f, y) - np.logaddexp.reduce([score(f, z) for z in itertools.product((0, 1), repeat=len(y))]) for f, y in docs_) / sum(len(y) for _, y in docs_)
+
+    zero_e, zero_t, h = np.zeros((2, 3)), np.zeros((2, 2)), 1e-5
+    # the first step of the training moves every weight by the step's length in the direction of its gradient
+    model = crf.LineCRF.fit(docs_, rounds=1, step=1e-3, shrink=0)
+    for name, zero in (("emission", zero_e), ("transition", zero_t)):
+        for at in np.ndindex(zero.shape):
+            up = {"emission": zero_e.copy(), "transition": zero_t.copy()}
+            up[name][at] = h
+            slope = (likelihood(up["emission"], up["transition"]) - likelihood(zero_e, zero_t)) / h
+            assert getattr(model, name)[at] == pytest.approx(1e-3 * slope / math.sqrt(slope * slope + 1e-8), rel=2e-2, abs=2e-6)
+
+
+def brute_verdict(text, model):
+    """The verdict from every labelling's score."""
+    import itertools
+
+    lines, again = quality_rules.lines_of(text or "")
+    if brute_counts(text)[-1]:
+        return False
+    f = crf.line_features(lines, again)
+    best = max(itertools.product((0, 1), repeat=len(lines)), key=lambda y: sum(model.emission[a] @ x for a, x in zip(y, f)) + sum(model.transition[a, b] for a, b in zip(y, y[1:])))
+    return sum(len(x.split()) for x, y in zip(lines, best) if y) >= 0.5 * len((text or "").encode().split())
+
+
+def test_verdicts_are_those_of_the_best_labelling(spark, docs, texts):
+    model = quality_rules.train(docs)
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(docs, model).collect()}
+    short = [(i, x) for i, x in texts if len(quality_rules.lines_of(x or "")[0]) <= 10]
+    assert len(short) > 40 and all(got[i] == brute_verdict(x, model) for i, x in short)
+
+
 def test_viterbi_is_the_best_of_all_labellings():
     import itertools
 
