@@ -1,7 +1,7 @@
 """Landed shop data to the canonical product, one select per platform.
 
-JSON platforms are parsed by schema and mapped by column expressions. Pages are first read by `pages.extract`, whose
-output has the same shape for every page platform, and mapped by the same expressions. A record without an id, a price or
+JSON platforms are parsed by schema and mapped by column expressions. Pages are first read by `pages.fields`,
+which gives a struct of plain fields, and mapped by the same expressions. A record without an id, a price or
 a variant gives no row.
 """
 
@@ -264,10 +264,10 @@ def zara(raw: DataFrame, slug: str, base: str, store_name: str) -> DataFrame:
 
 def generic_pages(pages: DataFrame, slug: str, store_name: str) -> DataFrame:
     """pages (url, html) of shops that describe products by JSON-LD, microdata or OpenGraph."""
-    from .pages import extract
+    from .pages import fields
 
     p = F.col("p")
-    rows = extract(pages, "generic").withColumn("p", F.from_json("data", "name string, description string, brand string, id string, breadcrumb array<string>, images array<string>, offers array<struct<price:string,availability:string,name:string,sku:string,id:string>>"))
+    rows = fields(pages, "generic")
     title = clean(p["name"])
     offers = F.transform(p["offers"], lambda o: F.struct(o.alias("o"), parse_money(o["price"]).alias("cents")))
     cents = F.filter(F.transform("_offers", lambda x: x["cents"]), lambda c: c > 0)
@@ -292,14 +292,10 @@ def generic_pages(pages: DataFrame, slug: str, store_name: str) -> DataFrame:
 
 def tiendanube(pages: DataFrame, slug: str, store_name: str) -> DataFrame:
     """pages (url, html). Options are positional there: the form's labels name them, else their values do."""
-    from .pages import extract
+    from .pages import fields
 
-    schema = (
-        "external_id string, title string, description string, brand string, breadcrumb array<string>, images array<struct<url:string,width:int>>, labels map<string,string>, price string, "
-        "variants array<struct<id:string,price_number:double,price_number_raw:double,compare_at_price_number:double,stock:int,sku:string,available:boolean,option0:string,option1:string,option2:string,image_url:string>>"
-    )
     p = F.col("p")
-    rows = extract(pages, "tiendanube").withColumn("p", F.from_json("data", schema)).where(p["external_id"].isNotNull())
+    rows = fields(pages, "tiendanube")
     values = lambda i: F.filter(F.transform(p["variants"], lambda v: v[f"option{i}"]), lambda x: x != "")
     label = lambda i: F.coalesce(p["labels"][str(i)], F.when(F.size(values(i)) > 0, F.when(looks_like_size(values(i)), "talle").otherwise("color")), F.lit(""))
     rows = rows.withColumns({f"_l{i}": label(i) for i in range(3)})
@@ -330,23 +326,21 @@ def marketplace(pages: DataFrame, slug: str, store_name: str) -> DataFrame:
     from ..functions.text import visible_text
     from .landed import from_url
 
-    schema = "name string, description string, image string, brand struct<name:string>, offers struct<lowPrice:string,highPrice:string,price:string,availability:string,seller:struct<name:string,address:struct<streetAddress:string>>>"
-    from .pages import extract
+    from .pages import fields
 
-    d, text = F.col("d"), F.col("text")
-    rows = extract(pages, "marketplace").withColumns({"j": F.from_json("data", "product string, breadcrumb array<string>"), "ident": from_url(F.col("url")), "text": visible_text(F.regexp_extract("html", r"(?is)<body\b.*", 0))})
-    rows = rows.withColumn("d", F.from_json("j.product", schema)).where(F.col("ident").isNotNull() & d.isNotNull())
-    wholesale = parse_money(F.coalesce(_blank(F.col("d.offers.lowPrice")), F.col("d.offers.price")))
-    high = parse_money(F.col("d.offers.highPrice"))
+    d, text = F.col("p"), F.col("text")
+    rows = fields(pages, "marketplace").withColumns({"ident": from_url(F.col("url")), "text": visible_text(F.regexp_extract("html", r"(?is)<body\b.*", 0))}).where(F.col("ident").isNotNull())
+    wholesale = parse_money(F.coalesce(_blank(F.col("p.offers.lowPrice")), F.col("p.offers.price")))
+    high = parse_money(F.col("p.offers.highPrice"))
     rows = rows.withColumn("_cents", wholesale).where(F.col("_cents").isNotNull()).withColumn("_retail", F.coalesce(F.nullif(retail_cents(text), F.lit(0)), F.when((high > 0) & (high != F.col("_cents")), high)))
     title = clean(F.coalesce(_blank(d["name"]), F.col("ident.title_guess")))
-    state = availability(F.col("d.offers.availability"))
-    who = seller(F.coalesce(_blank(F.col("d.offers.seller.name")), F.col("d.brand.name")), F.col("d.offers.seller.address.streetAddress"), text)
+    state = availability(F.col("p.offers.availability"))
+    who = seller(F.coalesce(_blank(F.col("p.offers.seller.name")), F.col("p.brand.name")), F.col("p.offers.seller.address.streetAddress"), text)
     trade = labelled(text, TRADE)
-    images = F.filter(F.coalesce(F.from_json(d["image"], "array<string>"), F.array(d["image"])), lambda u: u.startswith("http"))
+    images = F.filter(d["images"], lambda u: u.startswith("http"))
     ready = rows.withColumn("_min", labelled(text, MINIMUM)).select(
         F.col("ident.external_id").alias("external_id"), "url", F.coalesce(_blank(F.col("ident.handle")), slugify(title)).alias("handle"), title.alias("title"), _blank(clean(d["description"])).alias("description"),
-        F.coalesce(F.col("d.brand.name"), who["name"]).alias("brand"), F.when(F.size("j.breadcrumb") > 0, F.col("j.breadcrumb")).when(trade.isNotNull(), F.array(trade)).otherwise(F.array().cast("array<string>")).alias("category_path"),
+        F.coalesce(F.col("p.brand.name"), who["name"]).alias("brand"), F.when(F.size("p.breadcrumb") > 0, F.col("p.breadcrumb")).when(trade.isNotNull(), F.array(trade)).otherwise(F.array().cast("array<string>")).alias("category_path"),
         F.array(variant(F.col("ident.external_id"), F.col("_cents"), state)).alias("variants"), numbered_images(images).alias("images"), state.alias("availability"), price(F.col("_cents")).alias("price_min"),
         price(F.coalesce("_retail", "_cents")).alias("price_max"), F.when(F.col("_retail").isNotNull(), price(F.col("_retail"))).alias("price_retail"), F.col("_min").alias("min_purchase"),
         least_purchase(F.col("_min"))["qty"].alias("min_qty"), least_purchase(F.col("_min"))["unit"].alias("min_unit"), who.alias("seller"), F.filter(F.array(labelled(text, SHIPPING)), lambda t: t != "").alias("tags"), "_cents", "_retail",

@@ -107,14 +107,36 @@ def test_landed_files(spark, tmp_path):
     assert {(r["table"], r["n"]) for r in landed.dump_rows(spark, str(tmp_path / "d.sql")).collect()} == {("public.product", 2), ("public.store", 0)}
 
 
-def test_generic_pages_prefer_structured_data():
-    ld = '<script type="application/ld+json">{"@graph":[{"@type":["Thing","Product"],"name":"A","offers":{"@type":"AggregateOffer","lowPrice":10}}]}</script>'
-    assert pages.generic("https://x/p/a", ld)["offers"][0]["price"] == "10,000000"
-    micro = '<div itemscope itemtype="https://schema.org/Product"><h1 itemprop="name">B <b>c</b></h1><meta itemprop="price" content="5"></div>'
-    assert pages.generic("https://x/p/b", micro)["name"] == "B c"
+def fields(spark, kind, *rows):
+    return {r["url"]: r["p"] for r in pages.fields(spark.createDataFrame(rows, "url string, html string"), kind).collect()}
+
+
+def test_generic_pages_prefer_structured_data(spark):
+    ld = '<script type="application/ld+json">{"@graph":[{"@type":["Thing","Product"],"name":"A","image":["/a.jpg",{"url":"b.jpg"}],"brand":[{"name":"M"}],"sku":"S 1","offers":{"@type":"AggregateOffer","lowPrice":10}},{"@type":"BreadcrumbList","itemListElement":[{"name":"Home"},{"item":{"name":"Ropa"}},{"name":"A"}]}]}</script>'
+    micro = '<div itemscope itemtype="https://schema.org/Product"><h1 itemprop="name">B <b>c</b></h1><meta itemprop="price" content="5"></div><i itemprop="brand">outside</i>'
     og = '<meta property="og:type" content="product.item"><meta property="og:title" content="C"><meta property="product:price:amount" content="7">'
-    assert pages.generic("https://x/p/c", og)["offers"][0]["price"] == "7"
-    assert pages.generic("https://x/p/d", "<p>nothing</p>") is None
+    several = '<script type="application/ld+json">[{"@type":"Product","name":"first","offers":[{"price":"1","name":"x"},{"price":2.5}]},{"@type":"Product","name":"last","offers":{"offers":[{"price":3}]}}]</script><script type="application/ld+json">{broken</script>'
+    got = fields(spark, "generic", ("https://x/p/a?q=1", ld), ("https://x/p/b", micro), ("https://x/p/c", og), ("https://x/p/d", "<p>nothing</p>"), ("https://x/p/e", several), (None, ld), ("https://x/p/f", None))
+    a = got["https://x/p/a?q=1"]
+    assert (a["name"], a["brand"], a["id"], a["breadcrumb"], a["images"], a["offers"][0]["price"]) == ("A", "M", "s-1", ["Ropa"], ["https://x/a.jpg", "https://x/p/b.jpg"], "10,000000")
+    b = got["https://x/p/b"]
+    assert (b["name"], b["brand"], b["id"], b["offers"][0]["price"]) == ("B c", "", "p-b", "5")
+    assert (got["https://x/p/c"]["name"], got["https://x/p/c"]["offers"][0]["price"]) == ("C", "7")
+    assert (got["https://x/p/e"]["name"], [o["price"] for o in got["https://x/p/e"]["offers"]]) == ("last", ["3,000000"])
+    assert len(got) == 4
+
+
+def test_shop_pages_give_labels_gallery_and_variants(spark):
+    image = "//acdn-us.mitiendanube.com/stores/001/2/products/{}-{}-0.webp"
+    html = f"""<script type="application/ld+json">{{"@type":"WebPage","breadcrumb":{{"itemListElement":[{{"name":"Inicio"}},{{"name":" Ropa  x "}}]}},"mainEntity":{{"@id":"https://s.com/productos/vestido/","name":"Vestido","description":"corta"}}}}</script>
+    <div data-variants='[{{"product_id":7,"id":9,"price_number":10.5,"price_number_raw":1050,"available":true,"option0":"Negro"}}]'></div>
+    <img src="{image.format("other", 999)}"><div class="js-product-detail-img-col x"><img srcset="{image.format("uno", 240)} 1x, {image.format("uno", 640)} 2x"><a href="{image.format("dos", 50)}"></a></div>
+    <form><label for="variation_1">Color <b>del</b> g&eacute;nero</label></form><div class="js-product-description user"><div>larga</div> y <p>completa</p></div>"""
+    got = fields(spark, "tiendanube", ("https://s.com/productos/vestido", html), ("https://s.com/productos/otro", html))
+    (p,) = got.values()
+    assert (p["external_id"], p["title"], p["description"], p["breadcrumb"], p["variants"][0]["option0"], p["variants"][0]["price_number_raw"]) == ("7", "Vestido", "larga y completa", ["Inicio", "Ropa x"], "Negro", 1050)
+    assert [(i["url"].rsplit("/", 1)[1], i["width"]) for i in p["images"]] == [("uno-640-0.webp", 640), ("dos-50-0.webp", 50)]
+    assert list(p["labels"]) == ["0"] and p["labels"]["0"].startswith("color del")
 
 
 def test_page_without_price_is_no_product(spark):
