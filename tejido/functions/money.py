@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def _cents(number: Column) -> Column:
     return F.bround(number.try_cast("decimal(28,6)") * 100).cast("long")
@@ -12,7 +14,10 @@ def _cents(number: Column) -> Column:
 
 def parse_money(c: Column) -> Column:
     """Text to cents, half to even; null where it is no number."""
-    s = F.regexp_replace(c, r"[^\d,.\-]", "")
+    return let(F.regexp_replace(c, r"[^\d,.\-]", ""), _money)
+
+
+def _money(s: Column) -> Column:
     whole, part = F.split_part(s, F.lit("."), F.lit(1)), F.split_part(s, F.lit("."), F.lit(2))
     points = F.length(s) - F.length(F.replace(s, F.lit("."), F.lit("")))
     plain = (

@@ -26,7 +26,7 @@ def _accented() -> tuple[str, str]:
 
 def fold(c: Column) -> Column:
     """Without accents, whether letters come composed or with combining marks."""
-    return F.regexp_replace(F.translate(c, *_accented()), r"\p{Mn}+", "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(c, *_accented()), r"\p{Mn}+", "")).otherwise(c)
 
 
 def fold_literal(text: str) -> str:
@@ -39,13 +39,18 @@ def clean(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(c, " ", " "), SPACES, " "))
 
 
+def _plain(c: Column) -> Column:
+    """Folded and in lower case; what is no letter or digit of a-z and 0-9 afterwards is the caller's to replace, decoration too."""
+    return F.lower(fold(F.replace(F.coalesce(c, F.lit("")), F.lit("\ufe0f"), F.lit(" "))))
+
+
 def slugify(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(fold(clean(c))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.btrim(F.regexp_replace(_plain(c), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def normalize_title(c: Column) -> Column:
     """A title that can be compared between stores: folded, lower case, words of a-z and 0-9."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(fold(clean(c))), r"[^a-z0-9\s]+", " "), SPACES, " "))
+    return F.trim(F.regexp_replace(_plain(c), "[^a-z0-9]+", " "))
 
 
 def strip_tags(c: Column) -> Column:
