@@ -11,8 +11,11 @@ Equal vectors are one class with its smallest ids (no more than an answer can sh
 queries meet all codes in blocks: a block of codes and a chunk of queries make one task of bounded size, and a block
 answers with its best few for each query. Centroids are fitted on a bounded sample (`SAMPLE` vectors); every row is indexed.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors whose length is not the
-commonest one. Repeated rows (same id and vector) count once; where an id has several vectors, each is a candidate and the
+Meeting all codes is the choice that keeps recall: probing lists by centroid was measured, and half of the lists gave nine
+tenths of the neighbours at best (README).
+
+Vectors that are null, zero, or hold null or non-finite components take no part. Vectors of different lengths have no distance;
+each length is searched on its own, one job for each. Repeated rows (same id and vector) count once; where an id has several vectors, each is a candidate and the
 smallest in array order is the query. An empty table gives no rows. Further columns are ignored.
 """
 
@@ -92,14 +95,18 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def search(rows: DataFrame, k: int = 10, every: int = 100, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by `every`, by Euclidean distance."""
-    spark = rows.sparkSession
-    schema = "query_id long, ids array<long>, score double"
     good = valid(rows, id_column, vector_column)
-    sizes = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = sizes["d"]
-    good = good.where(F.size("v") == dim).dropDuplicates(["id", "v"])
+    lengths = sorted(r["d"] for r in good.select(F.size("v").alias("d")).distinct().collect())
+    found = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for i, d in enumerate(lengths):
+        one = _search(good.where(F.size("v") == d).dropDuplicates(["id", "v"]), d, k, every)
+        found = found.unionByName(one) if i else one
+    return found
+
+
+def _search(good: DataFrame, dim: int, k: int, every: int) -> DataFrame:
+    """The search among distinct (id, v) of one length."""
+    schema = "query_id long, ids array<long>, score double"
     # Only the k+1 smallest ids of a class can show in an answer; the limit works before the shuffle as well.
     low = good.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
     classes = written(low.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vector-classes")

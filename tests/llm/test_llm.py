@@ -434,6 +434,17 @@ def test_neighbours(spark, monkeypatch, chunk):
     assert neighbours.search(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_several_lengths(spark):
+    r = np.random.default_rng(4)
+    rows = [(100 * i, [float(x) for x in r.standard_normal(3 + i % 2)]) for i in range(8)]
+    got = collections.defaultdict(list)
+    for row in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).orderBy("query_id", "rank").collect():
+        got[row["query_id"]].append(row["vec_id"])
+    for i, v in rows:
+        d = sorted((math.dist(v, w), j) for j, w in rows if j != i and len(w) == len(v))
+        assert got[i] == [j for _, j in d[:3]]
+
+
 def test_error_bound_holds_nearly_always():
     r = np.random.default_rng(2)
     x, q = r.standard_normal((4000, 64)), r.standard_normal((20, 64))
