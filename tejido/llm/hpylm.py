@@ -7,8 +7,7 @@ unknown word. The customers of the contexts are the training corpus; a table ope
 
 Seating is sampled by Gibbs sweeps: the customers of one dish in one restaurant are taken out together and seated again
 one after the other, each at a new table in proportion to (strength + discount * tables) * parent's probability, else at
-an old one. How long it takes until the next new table is drawn exactly (`seat`), so that many customers cost no more than
-their tables. `burn_in` sweeps are let go; after each of the `samples` next ones the predictive probabilities are worked
+an old one (`seat`; many customers come in runs). `burn_in` sweeps are let go; after each of the `samples` next ones the predictive probabilities are worked
 out, a token's probability is their mean, and a text's score is the sum of the logarithms to base 10.
 
 Scale. Texts are cut into chunks of about CHUNK bytes, which are written once as word numbers; every later step refers to
@@ -53,7 +52,9 @@ SAMPLES, BURN_IN = 3, 3
 #: (strength, discount) of the parent and of the contexts.
 PARENT, CONTEXT = (1.0, 0.5), (1.0, 0.8)
 #: Bytes of text of a chunk; of all texts for each bucket of words and of contexts.
-CHUNK, WORDS_BYTES, CONTEXT_BYTES = 12 << 20, 48 << 20, 12 << 20
+CHUNK, WORDS_BYTES, CONTEXT_BYTES = 5 << 20, 24 << 20, 8 << 20
+#: A run of customers is this part of those that sit.
+RUN = 50
 END, UNKNOWN = b"\n", 1
 SPACE = re.compile(rb"[ \t-\r]")
 _decompress = lambda data: zstandard.ZstdDecompressor().decompress(data)
@@ -219,7 +220,8 @@ class Chunk:
         left, right = values // len(one), values % len(one)
         v, w = self.word[left], self.word[right]
         shares = np.maximum(1, np.ceil(self.count[left] / max(n, 1) * buckets)).astype(np.int64)
-        bucket = (mix(v) + mix(w) % shares) % buckets
+        # a context that training has not has no restaurant: nothing to ask, the parent's probability stands
+        bucket = np.where(self.count[left] > 0, (mix(v) + mix(w) % shares) % buckets, buckets)
         order = np.lexsort((w, v, bucket))
         self.left, self.right, self.v, self.w, self.shares = left[order], right[order], v[order], w[order], shares[order]
         self.cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -280,24 +282,31 @@ def seat(rng: np.random.Generator, c: np.ndarray, level: tuple[float, float], ta
     """Tables of each dish when its c customers are seated anew; tables: all tables of the restaurant but the dish's own.
 
     With t tables of the dish and n customers seated, the next one opens a table with probability a / (a + n - discount * t),
-    a = (strength + discount * (tables + t)) * parent. While t stays, these are the chances of a Polya urn, so the number of
-    customers up to the next new table is geometric with a chance drawn from Beta(a, n - discount * t): exact, however many.
+    a = (strength + discount * (tables + t)) * parent. Customers come one by one, or in runs of a fiftieth of those that sit,
+    within which that probability hardly moves: it is taken at the run's middle, and the run's new tables are binomial.
+    Against the exact recurrence the mean is within 0.1 % and the spread within 1 % (README, tests).
     """
     strength, d = level
     t = np.minimum(c, 1).astype(float)
     live = np.flatnonzero(c > 1)
     n = np.ones(len(live))
     while len(live):
-        a = np.maximum((strength + d * (tables[live] + t[live])) * parent[live], 1e-300)
-        chance = rng.beta(a, n - d * t[live])
-        # a geometric draw by inversion, as a float: it may be longer than any whole number
-        step = np.floor(np.log(np.maximum(rng.random(len(live)), 1e-300)) / np.log1p(-np.minimum(np.maximum(chance, 1e-300), 1 - 1e-16))) + 1
-        n = n + step
-        on = n <= c[live]
+        run = np.minimum(np.maximum(1, n // RUN), c[live] - n)
+        half = (run - 1) / 2
+        seats = t[live]
+        new = (strength + d * (tables[live] + seats)) * parent[live]
+        seats = seats + half * new / (new + n - d * seats)
+        new = (strength + d * (tables[live] + seats)) * parent[live]
+        chance = new / (new + n + half - d * seats)
+        one = run == 1
+        drawn = np.empty(len(live))
+        drawn[one] = rng.random(int(one.sum())) < chance[one]
+        if not one.all():
+            drawn[~one] = rng.binomial(run[~one].astype(np.int64), chance[~one])
+        t[live] += drawn
+        n = n + run
+        on = n < c[live]
         live, n = live[on], n[on]
-        t[live] += 1
-        more = n < c[live]
-        live, n = live[more], n[more]
     return t
 
 
@@ -408,8 +417,9 @@ def log10_of(n: int, v_size: int, buckets: int, times: int, customers: list[int]
             c = Chunk(doc, held, rows[ANSWER], n, buckets)
             of_words = [c.by_word(x) for x in map(np.concatenate, zip(*(unpack(rows[ASKED][k]) for k in sorted(rows[ASKED]))))]
             context = np.cumsum(np.concatenate([[0], np.diff(c.v) != 0])) if len(c.v) else c.v
-            parts = {k: unpack(rows[SAMPLED][k]) for k in sorted(rows[SAMPLED])}
-            there, *seats = (np.concatenate([p[i] for p in parts.values()]) for i in range(1 + times))
+            parts = {k: unpack(data) for k, data in sorted(rows.get(SAMPLED, {}).items())}
+            nothing = np.zeros(len(c.v) - c.cuts[-1], np.int64)
+            there, *seats = (np.concatenate([*(p[i] for p in parts.values()), nothing]) for i in range(1 + times))
             hot = np.flatnonzero(c.shares > 1)
             total = np.zeros(len(c.v))
             for i in range(times):
@@ -417,7 +427,7 @@ def log10_of(n: int, v_size: int, buckets: int, times: int, customers: list[int]
                 for k, p in parts.items():
                     a, z = c.cuts[k], c.cuts[k + 1]
                     of_context.append(p[1 + times + i][context[a:z] - context[a]])
-                in_context = np.concatenate(of_context)
+                in_context = np.concatenate([*of_context, nothing])
                 in_context[hot] = split[1][i, np.searchsorted(split[0], c.v[hot])]
                 k, t = of_words[2 * i], of_words[2 * i + 1]
                 word = (k - PARENT[1] * t + (PARENT[0] + PARENT[1] * tables[i]) / (v_size + 1)) / (PARENT[0] + customers[i])
