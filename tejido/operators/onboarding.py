@@ -47,7 +47,7 @@ def mall_directory(shops: DataFrame, terms: DataFrame) -> DataFrame:
 
 def sampled_coverage(products: DataFrame, n: int, fields: dict[str, Column]) -> DataFrame:
     """Share of a sample of n products (by hash of the id, so the same each time) that has each field."""
-    sample = products.orderBy(F.xxhash64("product_uid"), "product_uid").limit(n)
+    sample = products.orderBy(F.md5("product_uid"), "product_uid").limit(n)
     return sample.agg(F.count("*").alias("n"), *(F.avg(F.coalesce(c, F.lit(False)).cast("int")).alias(k) for k, c in fields.items()))
 
 
@@ -93,6 +93,20 @@ def onboard(products: DataFrame, existing: DataFrame, points: DataFrame, now: Co
     return {"products": upsert_products(existing, new, now), "points": new_points(price_points(new if only_changed else products, now), points), "changed": new}
 
 
+def chain(passes: list[DataFrame], existing: DataFrame, points: DataFrame, now: Column, provider, text: str = "title", **gate_options) -> dict[str, DataFrame]:
+    """The whole way of a shop: what earlier passes lack is taken from later ones, then gate, upsert, vectors for what waits for one, counts by store."""
+    from .requests import embedded
+    from .storage import pending_embedding, set_embeddings
+
+    seen = passes[0]
+    for more in passes[1:]:
+        seen = seen.unionByName(more.join(seen.select("product_uid"), "product_uid", "left_anti"))
+    out = onboard(seen, existing, points, now, **gate_options)
+    waiting = embedded(pending_embedding(out["products"]).select("product_uid", text), text, provider).drop(text)
+    products = set_embeddings(out["products"], waiting)
+    return out | {"products": products, "counts": products.groupBy("store_slug").agg(F.count("*").alias("products"), F.count("embedding").alias("with_vector"))}
+
+
 def inventory_hash(url: Column) -> Column:
     """The name under which a fetched page is kept."""
     return short_hash(url)

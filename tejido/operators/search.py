@@ -134,17 +134,19 @@ def search_relaxed(products: DataFrame, stores: DataFrame, filters: Filters, emb
     """search(), letting go of filters in RELAX_ORDER until something is found, in one pass.
 
     A row's level is the last filter in that order that it fails; the rows of the lowest level are what the first
-    successful relaxation finds. `relaxed` names the filters let go of.
+    successful relaxation finds. Levels are ranked apart, so the best of the lowest come first in one scan, and of the page
+    (`limit` rows) only its lowest level stays. `relaxed` names the filters let go of.
     """
     _checked(limit, 0)
     soft = soft_conditions(filters)
     order = [f for f in RELAX_ORDER if f in soft]
     level = F.greatest(F.lit(0), F.lit(0), *(F.when(~F.coalesce(soft[f], F.lit(False)), i + 1).otherwise(0) for i, f in enumerate(order)))
     rows = ranked(with_store(products, stores).where(_all(hard_conditions(filters))), embedding, text).withColumn("level", level)
-    lowest = rows.agg(F.min("level").alias("lowest"))
-    found = rows.join(F.broadcast(lowest), F.col("level") == F.col("lowest"))
+    w = Window.partitionBy("level", "title_normalized", F.coalesce("brand", F.lit(""))).orderBy("distance", "product_uid")
+    best = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").orderBy("level", "distance", "product_uid").limit(limit)
+    found = best.withColumn("_lowest", F.min("level").over(Window.partitionBy())).where("level = _lowest").drop("_lowest")
     names = F.array(*(F.lit(f"{f}={getattr(filters, f)}") for f in order)) if order else F.array().cast("array<string>")
-    return page(found, limit).withColumn("relaxed", F.slice(names, F.lit(1), F.col("level")))
+    return found.orderBy("distance", "product_uid").withColumn("relaxed", F.slice(names, F.lit(1), F.col("level")))
 
 
 def relaxed_by_loop(products: DataFrame, stores: DataFrame, filters: Filters, embedding=None, text: str = "", limit: int = 12) -> tuple[DataFrame, list[str]]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..functions.similarity import cosine_distance, literal_vector
 from ..functions.text import fold_literal
+from ..operators import requests as R
 from ..operators import search as S
 from .frames import PRODUCT_SQL, STORE_SQL, products, similarity_sql, stores, table
 
@@ -155,3 +156,31 @@ def variant_price_join(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     joined = line.join(part, F.col("p_partkey") == F.col("l_partkey")).join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.col("s_suppkey") == F.col("l_suppkey"))
     return joined.orderBy("l_extendedprice", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "p_name", "s_name", "l_extendedprice")
+
+
+_MESSAGE = "remera hasta 1.500 pesos"
+
+
+def _no_vectors(texts):
+    raise ConnectionError("no provider here")
+
+
+@query(
+    f"""{_JOINED}, hit AS (SELECT *, 1 - {similarity_sql("title_normalized", repr(_MESSAGE))} AS distance FROM row WHERE availability = 'in_stock' AND {_FRESH} AND price_min_cents <= 150000 AND category = 'tops' AND store_slug <> 'avellaneda'),
+    best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY title_normalized, coalesce(brand, '') ORDER BY distance, product_uid) = 1)
+    SELECT product_uid, title, round(distance, 4) AS distance, 'words' AS mode FROM best ORDER BY best.distance, product_uid LIMIT 20 OFFSET 2"""
+)
+def request_search(spark, sf_dir):
+    """A request in words with a stated channel; its provider of vectors fails."""
+    r = R.search_request(products(spark, sf_dir), stores(spark, sf_dir), _MESSAGE, _no_vectors, limit=20, offset=2, canal="marcas")
+    return r.rows.select("product_uid", "title", "distance", F.lit(r.mode).alias("mode"))
+
+
+def _lengths(texts):
+    return [(i, [len(t), t.count("e")]) for i, t in reversed(list(enumerate(texts)))]
+
+
+@query("SELECT doc_id, length(coalesce(text, ''))::DOUBLE AS first, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')))::DOUBLE AS second FROM documents")
+def embedding_map(spark, sf_dir):
+    """A provider that answers out of order."""
+    return R.embedded(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _lengths).select("doc_id", F.col("embedding")[0].alias("first"), F.col("embedding")[1].alias("second"))

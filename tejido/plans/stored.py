@@ -380,6 +380,6 @@ def description_anchor(spark, sf_dir):
     return products(spark, sf_dir).select("product_uid", O.anchor(F.col("title"), F.col("category")).alias("anchor"))
 
 
-@query()
+@query(f"WITH {PRODUCT_SQL}, s AS (SELECT * FROM product ORDER BY md5(product_uid), product_uid LIMIT 100) SELECT count(*) AS n, avg((title <> '')::INT) AS title, avg((description IS NOT NULL)::INT) AS description FROM s")
 def sampled_coverage(spark, sf_dir):
     return O.sampled_coverage(products(spark, sf_dir), 100, {"title": F.col("title") != "", "description": F.col("description").isNotNull()})

@@ -165,3 +165,28 @@ def test_gated_stream(spark, tmp_path):
     run = T.upsert_batches(T.landed(spark, str(tmp_path / "in"), b.schema), lambda: empty, lambda new, old, i: got.append(new.count()), str(tmp_path / "cp"))
     run.awaitTermination()
     assert sum(got) == 40
+
+
+def test_requests_have_limits_overrides_and_a_thread(spark):
+    from tejido.operators import requests as R
+
+    shop = products(spark, SF), stores(spark, SF)
+    for bad in (lambda: R.search_request(*shop, " "), lambda: R.search_request(*shop, "x" * 601), lambda: R.search_request(*shop, "x", offset=601), lambda: R.chat_request(*shop, "x", limit=21)):
+        with pytest.raises(ValueError):
+            bad()
+    f = R.understood(spark, "y en negro?", ("vestido con tajo para hombre hasta 20 lucas",), canal="marcas")
+    assert (f.category, f.color, f.detalle, f.max_cents, f.genero, f.canal) == ("dresses", "black", "tajo", 2000000, None, "marcas")
+    assert R.understood(spark, "campera para hombre", genero="women").genero == "women"
+    assert R.vector_of("a", lambda ts: [(0, [1, 2])]) == [1.0, 2.0] and R.vector_of("a", lambda ts: 1 / 0) is None
+    r = R.chat_request(*shop, "y en gris con tajo?", ("vestidos talle 700",), limit=5)
+    rows = r.rows.collect()
+    assert r.mode == "words" and 0 < len(rows) <= 5 and len({x["level"] for x in rows}) == 1 and "detalle" not in {x["axis"] for x in r.facets.collect()}
+
+
+def test_a_provider_must_answer_for_every_text(spark):
+    from tejido.operators import requests as R
+
+    rows = spark.createDataFrame([("a",), (None,), ("ccc",)], "t string").coalesce(1)
+    assert [x["embedding"] for x in R.embedded(rows, "t", lambda ts: [(i, [len(t)]) for i, t in enumerate(ts)][::-1], 2).collect()] == [[1.0], [0.0], [3.0]]
+    with pytest.raises(Exception, match="not answered"):
+        R.embedded(rows, "t", lambda ts: [(0, [1.0])]).collect()
