@@ -5,6 +5,8 @@ that landed files, a test double or an HTTP client can stand behind it. Rows are
 
 Plans: `shopify` reads pages of 250, up to 400, and a block of pages ends at its first short page. `vtex` reads offsets of
 50 up to 2,500; with more in total, each category is a scope of its own. `magento` reads pages of 50 until the total.
+The caps are the platforms': what lies beyond can't be fetched that way. A scope beyond its cap is an error, unless the
+option `beyond` is "leave".
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ class Block(InputPartition):
         self.scope, self.starts, self.size, self.stop_short = scope, starts, size, stop_short
 
 
-def plan(kind: str, total: int | None = None, scopes: dict[str, int] | None = None, block: int = 20) -> list[Block]:
+def plan(kind: str, total: int | None = None, scopes: dict[str, int] | None = None, block: int = 20, beyond: str = "raise") -> list[Block]:
     """Blocks of pages. total: rows of the whole catalogue where the platform tells; scopes: rows by category."""
     size = SIZE[kind]
     if kind == "shopify":
@@ -35,6 +37,9 @@ def plan(kind: str, total: int | None = None, scopes: dict[str, int] | None = No
         pages = list(range(1, math.ceil((total or 0) / size) + 1))
         return [Block("", pages[i : i + block], size, False) for i in range(0, len(pages), block)]
     parts = {"": total or 0} if (total or 0) <= VTEX_CAP else dict(scopes or {})
+    cut = {scope: n for scope, n in parts.items() if n > VTEX_CAP}
+    if cut and beyond != "leave":
+        raise ValueError(f"more than {VTEX_CAP} rows in {cut}: give narrower scopes, or beyond=leave")
     out = []
     for scope, n in parts.items():
         offsets = list(range(0, min(n, VTEX_CAP), size))
@@ -46,11 +51,12 @@ class PagedReader(DataSourceReader):
     def __init__(self, options):
         self.kind = options["kind"]
         self.fetcher = options["fetcher"]
+        self.beyond = options.get("beyond", "raise")
         self.total = int(options.get("total", "0"))
         self.scopes = dict((k, int(v)) for k, _, v in (x.partition("=") for x in options.get("scopes", "").split(",") if x))
 
     def partitions(self):
-        return plan(self.kind, self.total, self.scopes)
+        return plan(self.kind, self.total, self.scopes, beyond=self.beyond)
 
     def read(self, partition: Block) -> Iterator[tuple]:
         module, _, name = self.fetcher.partition(":")
@@ -62,6 +68,8 @@ class PagedReader(DataSourceReader):
                 yield partition.scope, base + i, line
             if partition.stop_short and len(lines) < partition.size:
                 return
+            if self.kind == "shopify" and start == SHOPIFY_PAGES and self.beyond != "leave":
+                raise ValueError(f"page {start} is full: there may be more than can be fetched; beyond=leave takes what there is")
 
 
 class PagedSource(DataSource):
