@@ -214,7 +214,8 @@ class Memo:
             self.words.clear()
         new = {s for segs in out for s in segs if s not in self.segments and isinstance(s, str)}
         cut = {s: WORD.findall(s) for s in new}
-        self.learn(({w for ws in cut.values() for w in ws} | self.besides(new)) - self.words.keys())
+        known = self.words
+        self.learn({w for ws in (*cut.values(), self.besides(new)) for w in ws if w not in known})
         for s, ws in cut.items():
             self.segments[s] = self.finished([self.words[w] for w in ws])
         for i in self.merges.special.values():
@@ -301,7 +302,7 @@ class Counter(Memo):
 
     def ensure(self, segment: str) -> None:
         """Learns what the memo has not, or no longer."""
-        new = {*WORD.findall(segment), *self.besides({segment})} - self.words.keys()
+        new = {w for w in (*WORD.findall(segment), *self.besides({segment})) if w not in self.words}
         if new:
             self.learn(new)
 
