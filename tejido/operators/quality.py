@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.size import suspicious_color_set
@@ -55,8 +55,15 @@ def measures(products: DataFrame) -> DataFrame:
     )
 
 
-def samples(products: DataFrame, condition: Column, n: int = 5) -> list[str]:
-    return [r[0] for r in products.where(condition).select("product_uid").orderBy("product_uid").limit(n).collect()]
+def samples(products: DataFrame, conditions: dict[str, Column], n: int = 5) -> dict[str, list[str]]:
+    """Of the rows of each condition the n smallest ids, in one job; no more than n of each leave their partition."""
+    names = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in conditions.items())), lambda x: x.isNotNull())
+    first = Window.partitionBy("_check").orderBy("product_uid")
+    rows = products.select("product_uid", F.explode(names).alias("_check")).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= n)
+    out: dict[str, list[str]] = {k: [] for k in conditions}
+    for r in sorted(rows.collect(), key=lambda r: r["_n"]):
+        out[r["_check"]].append(r["product_uid"])
+    return out
 
 
 def validate(products: DataFrame, baseline: dict | None = None, expected: int | None = None) -> DataFrame:
@@ -76,27 +83,29 @@ def validate(products: DataFrame, baseline: dict | None = None, expected: int |
         if m[f"cov_{name}"] < least:
             add(severity, f"cobertura:{name}", m[f"cov_{name}"], f"{name} in {m[f'cov_{name}']:.1%}, at least {least:.0%} expected")
     colors = F.array_distinct(F.filter(F.transform("variants", lambda v: v["color"]["raw"]), lambda c: c.isNotNull()))
+    price, many = F.col("price_min_cents"), m["priced"] > 20
+    far = (price > m["median_cents"] * OUTLIER) | ((price > 0) & (price < m["median_cents"] / OUTLIER)) if many else F.lit(False)
+    rows = {"far": (far, many), "odd": (suspicious_color_set(colors), m["odd_colors"]), "inverted": (F.col("compare_at_cents") <= price, m["inverted"]), "undecoded": (undecoded(F.col("title")) | undecoded(F.coalesce("description", F.lit(""))), m["undecoded"])}
+    wanted = {k: c for k, (c, needed) in rows.items() if needed}
+    shown = samples(products, wanted) if wanted else {}
     if m["odd_colors"]:
         share = m["odd_colors"] / n
-        add("block" if share > NUMERIC_COLORS else "warn", "semantica:color-numerico", share, "colors that look like numbers", samples(products, suspicious_color_set(colors)))
+        add("block" if share > NUMERIC_COLORS else "warn", "semantica:color-numerico", share, "colors that look like numbers", shown["odd"])
     if not m["priced"]:
         add("block", "precio:vacio", 0, "no positive price")
     else:
         if m["round_share"] > ROUND_PRICES:
             add("warn", "precio:demasiado-redondo", m["round_share"], "prices that are whole thousands")
         if m["inverted"]:
-            add("warn", "precio:descuento-invertido", m["inverted"] / n, "list price not above the price", samples(products, F.col("compare_at_cents") <= F.col("price_min_cents")))
-        if m["priced"] > 20:
-            far = (F.col("price_min_cents") > m["median_cents"] * OUTLIER) | ((F.col("price_min_cents") > 0) & (F.col("price_min_cents") < m["median_cents"] / OUTLIER))
-            shown = samples(products, far)
-            if shown:
-                add("warn", "precio:outlier", products.where(far).count() / m["priced"], "prices far from the median", shown)
+            add("warn", "precio:descuento-invertido", m["inverted"] / n, "list price not above the price", shown["inverted"])
+        if shown.get("far"):
+            add("warn", "precio:outlier", products.where(far).count() / m["priced"], "prices far from the median", shown["far"])
     if n - m["uids"]:
         add("block", "identidad:duplicados", (n - m["uids"]) / n, "repeated product ids")
     if m["titles"] / n < TITLES:
         add("block", "identidad:titulos-repetidos", m["titles"] / n, "too few distinct titles")
     if m["undecoded"]:
-        add("block", "contenido:no-decodificado", m["undecoded"] / n, "texts that were not decoded", samples(products, undecoded(F.col("title")) | undecoded(F.coalesce("description", F.lit("")))))
+        add("block", "contenido:no-decodificado", m["undecoded"] / n, "texts that were not decoded", shown["undecoded"])
     if baseline:
         before = baseline.get("n_products") or 0
         if before and abs(n - before) / before > COUNT_DRIFT:
