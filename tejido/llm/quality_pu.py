@@ -100,6 +100,25 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
     return float(np.clip(above_u[best] / above_p[best], 0.05, 0.95))
 
 
+def as_negatives(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> float:
+    """The negatives' share of the risk, from unlabelled rows less the positives among them; estimates can go below zero."""
+    return float(np.logaddexp(0, u @ w).mean() - prior * np.logaddexp(0, p @ w).mean())
+
+
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> float:
+    """The non-negative risk of weights w."""
+    return float(prior * np.logaddexp(0, -(p @ w)).mean() + max(0.0, as_negatives(w, p, u, prior)))
+
+
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """The risk's gradient; where the negatives' share is below zero, the step that brings it back up."""
+    sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
+    down = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
+    if as_negatives(w, p, u, prior) < 0:
+        return -down
+    return down - prior * (p.T @ (1 - sp)) / len(p)
+
+
 class QualityModel:
     def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, prior: float):
         self.mean, self.scale, self.weights, self.prior = mean, scale, weights, prior
@@ -118,16 +137,7 @@ class QualityModel:
         p, u = model.inputs(p), model.inputs(u)
         model.prior = prior = estimate_prior(p, u)
 
-        def gradient(w):
-            sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
-            zp, zu = p @ w, u @ w
-            as_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            down = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-            if as_negative < 0:  # the risk of negatives can't be negative: step back out of the overfit
-                return -down + 1e-3 * w
-            return -prior * (p.T @ (1 - sp)) / len(p) + down + 1e-3 * w
-
-        model.weights = _descend(p, gradient, rounds, 0.02)
+        model.weights = _descend(p, lambda w: risk_gradient(w, p, u, prior) + 1e-3 * w, rounds, 0.02)
         return model
 
 

@@ -466,6 +466,39 @@ def test_classifier_on_held_out_labels(spark):
     assert 0.6 < rows[0]["prior"] < 0.95
 
 
+def test_positive_unlabelled_risk_and_gradient():
+    """Against the definition, row by row, and against differences of it."""
+    r = np.random.default_rng(7)
+    p, u = r.standard_normal((30, 4)) + 1, r.standard_normal((50, 4))
+    seen = set()
+    for _ in range(60):
+        w, prior = r.standard_normal(4) * 2, r.uniform(0.1, 0.95)
+        loss = lambda z: math.log1p(math.exp(-z))
+        below = sum(loss(-(x @ w)) for x in u) / len(u) - prior * sum(loss(-(x @ w)) for x in p) / len(p)
+        assert quality_pu.risk(w, p, u, prior) == pytest.approx(prior * sum(loss(x @ w) for x in p) / len(p) + max(0, below))
+        what = (lambda v: quality_pu.risk(v, p, u, prior)) if below >= 0 else (lambda v: -quality_pu.as_negatives(v, p, u, prior))
+        slopes = [(what(w + h) - what(w - h)) / 2e-6 for h in np.eye(4) * 1e-6]
+        assert quality_pu.risk_gradient(w, p, u, prior) == pytest.approx(slopes, abs=1e-6)
+        seen.add(below >= 0)
+    assert seen == {True, False}
+
+
+def test_scores_are_those_of_the_model(spark, docs, texts):
+    """Each text's features, counted here, through the trained weights."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality_pu.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality_pu.classify(docs, labels).collect()}
+    group = lambda b: next((k for k, chars in enumerate(quality_pu._GROUPS, 1) if b in chars), 0)
+    for i, x in texts[:60]:
+        data = (x or "").encode()
+        pairs = collections.Counter((group(a), group(b)) for a, b in zip(data, data[1:]))
+        f = quality_pu.features(x or "")
+        if data.split():
+            assert all(f[a * quality_pu.CLASSES + b] == pytest.approx(math.sqrt(n / (len(data) - 1))) for (a, b), n in pairs.items())
+        z = sum(w * min(8, max(-8, (v - m) / s)) for w, v, m, s in zip(model.weights, f, model.mean, model.scale)) + model.weights[-1]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6)
+
+
 def test_classifier_on_awkward_rows(spark, awkward):
     labels = spark.createDataFrame([(4, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
     got = quality_pu.classify(awkward, labels).collect()
