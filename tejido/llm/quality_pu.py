@@ -10,7 +10,8 @@ the same two samples: a positive-versus-unlabelled model ranks held-back halves
 ratio, over score bounds, of the unlabelled to the positive share above the bound, each with its confidence margin.
 
 Both samples are bounded (`positives`, `unlabelled` rows: those with the smallest hash of their id) and are taken from rows
-outside the held-out fold only. Only the text is an input of a score. Every text is scored whole.
+outside the held-out fold only. Where ids repeat, all their rows belong to the samples, up to twice the bound in all; beyond
+it the rows of larger ids are left out. Only the text is an input of a score. Every text is scored whole.
 
 Null and empty texts: all statistics zero, scored like any other. Repeated rows and ids give one result row each. An
 empty table gives no rows; without positives the prior is 0.5 and the score that of an untrained model (0.5).

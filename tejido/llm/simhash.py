@@ -10,8 +10,9 @@ smallest doc_id. Where very many distinct fingerprints share a segment, the othe
 bits, one of its halves differs in one bit at most), so that no bucket gives all its pairs. Classes that link, directly
 or by others, form a component.
 
-Null, empty and blank texts: fingerprint zero, linked like any other. Repeated rows and ids give one result row each. A text
-that only rows without an id have is a component of its own, with a null id. An empty table gives no rows. Further columns are ignored.
+Null, empty and blank texts: fingerprint zero, linked like any other. Repeated rows and ids give one result row each. An id
+with several texts stands for all of them, so they are in one component. A text that only rows
+without an id have is a component of its own, with a null id. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations

@@ -352,6 +352,12 @@ def test_near_duplicates(spark, awkward):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_an_id_with_several_texts_joins_their_components(spark):
+    said = [" ".join(f"{name}{i}" for i in range(40)) for name in "abc"]
+    got = simhash.near_duplicates(frame(spark, [(5, said[0]), (5, said[1]), (7, said[1]), (6, said[0]), (9, said[2])])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(5, 5), (5, 5), (6, 5), (7, 5), (9, 9)]
+
+
 @pytest.mark.parametrize("keep", [simhash.keep, near_copies.keep])
 def test_null_and_repeated_ids_lose_no_text(spark, keep):
     said = [" ".join(f"{name}{i}" for i in range(40)) for name in "abcdefghijkl"]
