@@ -206,8 +206,9 @@ def lower_words(data: dict) -> bool:
 @lru_cache(maxsize=2)
 def library_ids(path: str) -> LibraryIds:
     """One per worker process: later tasks find the memo filled."""
-    gc.disable()  # the memos hold many small objects without cycles
-    return LibraryIds(path)
+    ids = LibraryIds(path)
+    gc.freeze()  # the vocabulary's objects stay; the collector need not walk them again and again
+    return ids
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
