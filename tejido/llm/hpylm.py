@@ -176,7 +176,12 @@ def vocabulary(buckets: int):
             for _, joined, n in asked:
                 counts.append(unpack(n)[0])
                 words.append(pc.list_flatten(pc.split_pattern(pa.array([_decompress(joined)], pa.large_binary()), " ")))
-            coded = pa.chunked_array(words).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            named = pa.chunked_array(words).combine_chunks().dictionary_encode()
+            # numbers follow the words' order, so they don't depend on which chunk came first
+            order = pc.array_sort_indices(named.dictionary).to_numpy(zero_copy_only=False)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            coded = rank[named.indices.to_numpy(zero_copy_only=False)]
             c = np.bincount(coded, np.concatenate(counts)).astype(np.int64)
             number = np.where(c > 0, 2 + k + np.arange(len(c)) * buckets, UNKNOWN)
             at = 0

@@ -708,6 +708,16 @@ def test_sampled_scores_are_near_a_plain_sampler(spark):
     assert sum(got.values()) == pytest.approx(sum(want), rel=0.01)
 
 
+def test_sampled_scores_are_the_same_each_time(spark, docs):
+    """Also when the table is split into other tasks and its texts into other chunks."""
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    one = {r["doc_id"]: r["score"] for r in hpylm.score(docs).collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    two = {r["doc_id"]: r["score"] for r in hpylm.score(docs, chunk=50_000).collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    assert all(s == pytest.approx(two[i], rel=1e-9) for i, s in one.items())
+
+
 def test_held_out_texts_are_scored_better_than_the_base(spark):
     rows = hpylm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows) + 0.3 * sum(r["n_tokens"] for r in rows)
