@@ -770,8 +770,7 @@ def test_pipeline_is_its_stages(spark, docs):
     good = spark.createDataFrame(kept, docs.schema)
     verdict = {r["doc_id"] for r in quality_rules.apply_rules(good).where("kept").collect()}
     ids = sorted(verdict)
-    groups = roots([brute_fingerprint(rows[i]["text"]) for i in ids])
-    firsts = [i for k, i in enumerate(ids) if groups[k] == k]
+    firsts = sorted(brute_copies([(i, rows[i]["text"]) for i in ids]))
     left = {i: k.decode("utf-8", "replace") for (i, _, _, _, k) in brute_dedup([(i, rows[i]["text"]) for i in firsts])}
     assert {r["doc_id"]: r["text"] for r in at.collect()} == left
     pieces = C.run(spark, SF)
