@@ -1,10 +1,11 @@
-"""The ten queries and the pipeline, as __spark_entry__ registers them; each is a thin digest over its operator."""
+"""The queries and the pipeline, as __spark_entry__ registers them; each is a thin digest over its operator."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
 from .common import table
 
 
@@ -78,5 +79,29 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), 1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_hpylm_scores, op2_trie_bpe, op3_one_bit_neighbours, op4_pu_quality, op5_minimax_sharding, op6_suffix_dedup, op7_crf_line_rules, op8_multi_index_simhash, op9_harmonic_packing, op10_prefix_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_son_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), 100, 5, 2000)
+
+
+def op12_token_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shingle_join import linked_documents
+
+    return linked_documents(table(spark, sf_dir, "documents"), 3, 90)
+
+
+def op13_filter_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit, failure_masks
+
+    return audit(*failure_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_hpylm_scores, op2_trie_bpe, op3_one_bit_neighbours, op4_pu_quality, op5_minimax_sharding, op6_suffix_dedup, op7_crf_line_rules, op8_multi_index_simhash, op9_harmonic_packing,
+        op10_prefix_token_counts, op11_son_phrases, op12_token_combination_join, op13_filter_diagrams,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op11_son_phrases": sql.PHRASES, "op12_token_combination_join": sql.SHINGLE_JOIN, "op13_filter_diagrams": sql.FILTER_AUDIT}
