@@ -1,24 +1,24 @@
 """Jaccard join of word-shingle sets by token-combination prefixes.
 
 Two documents link if the sets of their k-word shingles (fewer words: the whole sequence) are as similar as `percent`. A set
-of n shingles can lack e = n - ceil(percent * n / 100) of them and still link. The shingles are split into classes by one
-global rule:
+of n shingles can lack e = n - ceil(percent * n / 100) of them and still link. Shingles are split into classes by their exact
+counts over sets: rare ones are in FREQUENT sets at most. A set's prefix are its first e + 1 rare shingles, each a key by
+itself. If it has fewer, the prefix goes on with its frequent shingles, of which only combinations are keys: they are dealt
+to groups by their hash, and all that a set has in a group make one key.
 
-* rare: of a fixed share of the hash space (LOW), and in FREQUENT sets at most, by exact counts over all sets;
-* frequent: all others. They are dealt to groups by their hash; the combination of all that a set has in a group is a key.
+No pair is lost. If one of two similar sets has e + 1 rare shingles, one of these is in the other, and in its prefix. If neither
+has, all their rare ones are keys; if they share none of these, their r1 + r2 rare ones all count as differences, of which
+there may be d, so with d - r1 - r2 + 1 groups or more they are the same in one of them. A set gives keys for 1, 2, 4 ... groups, as many as
+it can need with any partner, and a pair meets only under the number of groups that it needs. So sets that a few changes keep
+below the threshold seldom meet, although they share nearly all shingles with thousands of others.
 
-A set's prefix are its first e + 1 rare shingles, each a key by itself. If it has fewer, the prefix goes on with the
-combinations of its frequent shingles. That loses no pair: if one of two similar sets has e + 1 rare ones, one of these is in
-the other's prefix. If neither has, all their rare ones are keys; and if they share none of these, the most that the two may
-differ in is one less than there are groups, so that in one group they are the same. How many groups there are depends on the
-sets' sizes, which are cut into bands; a set gives keys for each band in which a smaller partner can be, so a pair meets in
-the smaller one's. Combinations hold about ten shingles at 90 %, so passages that thousands of documents share give no
-crowded keys unless whole stretches of the sets are the same.
+This goes in two rounds. The first counts the shingles of a fixed share of the hash space (LOW), which nearly always hold a
+prefix of rare ones. The second takes the sets whose prefix isn't filled so, with all their shingles, counted over these sets.
 
 Equal sets are one class from the start, however many documents have them. Under each key all classes are first compared with a few
 of them (HEADS); what that leaves in different components is then compared, only classes outside a key's largest component
-looking for partners. All candidates of fitting sizes are verified with the complete sets; of the texts only those asked for
-(a bit filter of a fixed size tells most others apart) are shingled once more, where they are read.
+looking for partners. All candidates of fitting sizes are verified with the complete sets. The texts asked for are shingled once
+more where they are read (a bit filter of a fixed size tells most others apart).
 
 Null, empty and blank texts: no shingles, linked with nothing, their own component. A row is known by its text: repeated ids
 give one row each, with the component of the row's own text. A component without any id has a null component_id. An empty table gives no rows.
@@ -28,7 +28,6 @@ Further columns are ignored. Shingles and sets are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +39,12 @@ from .common import small_batches, trim, written
 from .components import components
 
 #: The share of the hash space from which rare shingles are taken, and the sets that one may be in.
-LOW, FREQUENT = 0.16, 48
+LOW, FREQUENT = 0.18, 48
 #: Classes of a key that all others under it are compared with at first.
 HEADS = 4
 #: Words whose hashes a task remembers.
 REMEMBERED = 1 << 19
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-#: Where bands of sizes begin: each is half as large again as the one before.
-BANDS = np.unique((1.5 ** np.arange(60)).astype(np.int64))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -85,110 +82,61 @@ def lacking(n, percent: int):
     return n - -(-percent * n // 100)
 
 
-@lru_cache(100_000)
-def bands(n: int, percent: int) -> tuple[tuple[int, int], ...]:
-    """(band, groups) of the bands in which a set of n meets a partner that is no larger than it."""
-    out = []
-    for b in range(int(np.searchsorted(BANDS, -(-percent * n // 100), "right")), int(np.searchsorted(BANDS, n, "right")) + 1):
-        most = int(BANDS[b]) - 1
-        out.append((b, (100 - percent) * (most + 100 * most // percent) // (100 + percent) + 1))
-    return tuple(out)
+def differing(n, m, percent: int):
+    """Shingles that are in one only of two sets of n and m that link, at most."""
+    return (100 - percent) * (n + m) // (100 + percent)
 
 
-def combined(shingles: np.ndarray, groups: int) -> np.ndarray:
-    """For each group the sum of its shingles' hashes, modulo 2^32: sums of two parts of a set add up."""
+def combinations(shingles: np.ndarray, groups: int) -> np.ndarray:
+    """For each of so many groups (a power of two) a key: which of the shingles are in it."""
     h = _mixed(shingles * _A)
-    at = (h >> np.uint64(40)) % np.uint64(groups)
-    return np.bincount(at.astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.float64), groups).astype(np.int64) & 0xFFFFFFFF
+    order = np.argsort(at := (h >> np.uint64(40)) & np.uint64(groups - 1), kind="stable")
+    ends = np.searchsorted(at[order], np.arange(groups + 1, dtype=np.uint64))
+    sums = np.append(np.uint64(0), np.cumsum(_mixed(h + _B)[order], dtype=np.uint64))
+    return _mixed(_mixed((np.arange(groups, dtype=np.uint64) + np.uint64(groups)) * _B) + sums[ends[1:]] - sums[ends[:-1]])
 
 
-def _lists(arrays: list, kind: pa.DataType) -> pa.ListArray:
+def _lists(arrays: list) -> pa.ListArray:
     """Nones are null lists."""
-    lengths = [0 if a is None else len(a) for a in arrays]
-    ends = pa.array(np.cumsum([0, *lengths]), pa.int32(), mask=np.array([*(a is None for a in arrays), False]))
-    flat = [a for a in arrays if a is not None]
-    values = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(ends, pa.array(values.view(np.int64), pa.int64()).cast(kind))
+    ends = pa.array(np.cumsum([0, *(0 if a is None else len(a) for a in arrays)]), pa.int32(), mask=np.array([*(a is None for a in arrays), False]))
+    flat = [np.zeros(0, np.uint64), *(a for a in arrays if a is not None)]
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(flat).view(np.int64), pa.int64()))
+
+
+def _longs(hashes: list[int]) -> pa.Array:
+    return pa.array(np.array(hashes, np.uint64).view(np.int64), pa.int64())
 
 
 def marked(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, _row, _text (a hash of the text), fp (of the set), n; low (shingles that may be rare) and sums (of all others, by group) of a set that its task has not met yet."""
+    """doc_id, _text (a hash of the text), fp (of the set), n, and low: of a set that its task hasn't met yet, the shingles that are counted first."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_text", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("_text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         shingles, met, edge = Shingler(k), set(), np.uint64(int(LOW * 2**64))
         for b in batches:
-            fps, ns, lows, sums = [], [], [], []
+            fps, ns, lows = [], [], []
             for text in b.column("text"):
                 s = shingles.set_of(text.as_py())
                 n, fp = len(s), xxh3_64_intdigest(s.tobytes())
-                low = rest = None
-                if n and fp not in met and (lacking(n, percent) or 100 * n // percent > n):
+                low = None
+                # The smallest sets link with equal ones only.
+                if n and fp not in met and 100 * n // percent > n:
                     met.add(fp)
-                    at = int(np.searchsorted(s, edge))
-                    low, rest = s[:at], np.concatenate([combined(s[at:], g) for _, g in bands(n, percent)])
+                    low = s[: int(np.searchsorted(s, edge))]
                 fps.append(fp)
                 ns.append(n)
                 lows.append(low)
-                sums.append(rest)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("_row"), b.column("_text"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(ns, pa.int32()), _lists(lows, pa.int64()), _lists(sums, pa.int64())],
-                ["doc_id", "_row", "_text", "fp", "n", "low", "sums"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_text"), _longs(fps), pa.array(ns, pa.int32()), _lists(lows)], ["doc_id", "_text", "fp", "n", "low"])
         trim()
 
-    return written(rows.select("doc_id", "_row", "_text", "text").mapInArrow(run, "doc_id long, _row long, _text long, fp long, n int, low array<long>, sums array<long>"), "shingle-sets")
-
-
-def keys(sets: DataFrame, percent: int) -> DataFrame:
-    """The index (key, fp, n): rare shingles of each prefix, and combinations where the prefix goes on."""
-    own = sets.where("low is not null")
-    shingles = own.select("_row", F.posexplode("low").alias("at", "h"))
-    # Shingles of one set alone can't be shared; they only count as places in the order.
-    common = written(shingles.groupBy("h").count().where("count > 1").select("h", (F.col("count") > FREQUENT).alias("often")), "shingle-counts")
-    hits = shingles.join(common, "h").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("at", "h", "often"))).alias("hits"))
-    column = lambda c: F.coalesce(F.transform("hits", lambda x: x[c]), F.array().cast({"at": "array<int>", "h": "array<long>", "often": "array<boolean>"}[c])).alias(c)
-    whole = own.select("_row", "fp", "n", F.size("low").alias("n_low"), "sums").join(hits, "_row", "left").select("fp", "n", "n_low", "sums", column("at"), column("h"), column("often"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps, ns, out = b.column("fp").to_numpy(), b.column("n").to_numpy(), []
-            for i, (n, n_low) in enumerate(zip(ns.tolist(), b.column("n_low").to_pylist())):
-                at, h, often = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("at", "h", "often"))
-                h = h.view(np.uint64)
-                prefix = lacking(n, percent) + 1
-                single = h[(at - np.cumsum(often) < prefix) & ~often.astype(bool)] if len(h) else h
-                if n_low - int(often.sum()) >= prefix:
-                    out.append(single)
-                    continue
-                rest, start, found = b.column("sums")[i].values.to_numpy(), 0, [single]
-                for band, groups in bands(n, percent):
-                    whole = (rest[start : start + groups] + combined(h[often.astype(bool)], groups)) & 0xFFFFFFFF
-                    name = np.uint64(band << 32) + np.arange(groups, dtype=np.uint64)
-                    found.append(_mixed(_mixed(name * _A) + whole.astype(np.uint64)))
-                    start += groups
-                out.append(np.concatenate(found))
-            lengths = [len(x) for x in out]
-            flat = np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(fps, lengths)), pa.array(np.repeat(ns, lengths), pa.int32())], ["key", "fp", "n"])
-
-    return written(whole.mapInArrow(run, "key long, fp long, n int").distinct(), "shingle-keys")
-
-
-def _fit(a: str, b: str, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
-def _pair(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    return written(rows.mapInArrow(run, "doc_id long, _text long, fp long, n int, low array<long>"), "shingle-sets")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
-    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "shingle-asked")
+def _shingled(docs: DataFrame, sets: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """fp, n, s: the complete sets of the classes asked for (fp)."""
     texts = sets.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("_text").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(filters.filter_of(texts, "_text"))
 
@@ -197,36 +145,104 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent
 
         bits, shingles, met = np.frombuffer(shared.value, np.uint8), Shingler(k), set()
         for b in batches:
-            own = filters.found(bits, b.column("_text").to_numpy().view(np.uint64))
             fps, out = [], []
-            for text in b.column("text").filter(pa.array(own)):
+            for text in b.column("text").filter(pa.array(filters.found(bits, b.column("_text").to_numpy().view(np.uint64)))):
                 s = shingles.set_of(text.as_py())
                 if (fp := xxh3_64_intdigest(s.tobytes())) not in met:
                     met.add(fp)
                     fps.append(fp)
                     out.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64)), _lists(out, pa.int64())], ["fp", "s"])
+            yield pa.RecordBatch.from_arrays([_longs(fps), pa.array(map(len, out), pa.int32()), _lists(out)], ["fp", "n", "s"])
+        trim()
+
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(F.xxhash64("text").alias("_text"), "text")
+    return written(rows.mapInArrow(run, "fp long, n int, s array<long>").join(asked, "fp", "left_semi").dropDuplicates(["fp"]), "shingle-whole")
 
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("_text", F.xxhash64("text"))
-    whole = written(rows.select("_text", "text").mapInArrow(run, "fp long, s array<long>").join(asked, "fp", "left_semi").dropDuplicates(["fp"]), "shingle-whole")
+
+INDEX = "key long, groups int, fp long, n int, rare int"
+
+
+def prefixes(sets: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """INDEX: the keys of sets (fp, n, s). groups: 0 for a rare shingle, else the number of groups of a combination.
+
+    Without `whole`, s is part of a set; one whose prefix isn't filled gives a row of -1 groups instead of combinations.
+    """
+    shingles = sets.select("fp", F.posexplode("s").alias("at", "h"))
+    # Shingles of one set alone can't be shared; they only count as places in the order.
+    common = written(shingles.groupBy("h").count().where("count > 1").select("h", (F.col("count") > FREQUENT).alias("often")), "shingle-counts")
+    hits = shingles.join(common, "h").groupBy("fp").agg(F.sort_array(F.collect_set(F.struct("at", "h", "often"))).alias("hits"))
+    column = lambda c, kind: F.coalesce(F.transform("hits", lambda x: x[c]), F.array().cast(f"array<{kind}>")).alias(c)
+    met = sets.select("fp", "n", F.size("s").alias("size")).join(hits, "fp", "left").select("fp", "n", "size", column("at", "int"), column("h", "long"), column("often", "boolean"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for i, (n, size) in enumerate(zip(b.column("n").to_pylist(), b.column("size").to_pylist())):
+                at, h, often = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("at", "h", "often"))
+                h, often = h.view(np.uint64), often.astype(bool)
+                rare, prefix = size - int(often.sum()), lacking(n, percent) + 1
+                single = h[~often & (at - np.cumsum(often) < prefix)]
+                found.append((i, 0, rare, single))
+                if rare < prefix and not whole:
+                    found.append((i, -1, rare, np.zeros(1, np.uint64)))
+                elif rare < prefix:
+                    most, groups = differing(n, 100 * n // percent, percent) - rare + 1, 1
+                    while groups < 2 * most:
+                        found.append((i, groups, rare, combinations(h[often], groups)))
+                        groups *= 2
+            at, groups, rare = (np.array([x[j] for x in found], np.int64) for j in range(3))
+            times = np.array([len(x[3]) for x in found], np.int64)
+            keys = np.concatenate([np.zeros(0, np.uint64), *(x[3] for x in found)]).view(np.int64)
+            own = [np.repeat(x, times) for x in (groups, b.column("fp").to_numpy()[at], b.column("n").to_numpy()[at], rare)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own[0], pa.int32()), pa.array(own[1]), pa.array(own[2], pa.int32()), pa.array(own[3], pa.int32())], ["key", "groups", "fp", "n", "rare"])
+
+    # A set that several tasks have met gives the same keys again.
+    return written(met.mapInArrow(run, INDEX).distinct(), "shingle-keys")
+
+
+def indexed(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """INDEX of all classes: by the shingles that are counted first, and of those that lack a prefix there by all."""
+    first = prefixes(sets.where("low is not null").select("fp", "n", F.col("low").alias("s")), percent, False)
+    lacking_one = first.where("groups = -1").select("fp")
+    rest = prefixes(_shingled(docs, sets, lacking_one, k), percent, True)
+    return first.where("groups >= 0").unionByName(rest)
+
+
+def _may(a: str, b: str, percent: int) -> Column:
+    """Whether two rows of a key can link, and meet under as many groups as they need; a and b: what their columns end in."""
+    one = lambda c: (F.col(f"{c}{a}"), F.col(f"{c}{b}"))
+    (n, m), (r, s) = one("n"), one("rare")
+    need = F.floor((100 - percent) * (n + m) / (100 + percent)) - r - s + 1
+    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return sizes & ((F.col("groups") == 0) | (need <= F.col("groups")) & (2 * need > F.col("groups")))
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link."""
+    whole = _shingled(docs, sets, written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "shingle-asked"), k)
     side = lambda i: whole.select(F.col("fp").alias(i), F.col("s").alias(f"s_{i}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("c", F.size(F.array_intersect("s_a", "s_b")))
     return both.where(100 * F.col("c") >= percent * (F.size("s_a") + F.size("s_b") - F.col("c"))).select("a", "b")
 
 
 def linked(index: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """(node, component) of the classes that link with others, from an index (key, fp, n)."""
-    first = Window.partitionBy("key").orderBy("fp")
-    heads = index.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= HEADS).select("key", F.col("fp").alias("head"), F.col("n").alias("n_head"))
-    star = written(index.join(heads, "key").where((F.col("fp") > F.col("head")) & _fit("n", "n_head", percent)).select(*_pair("fp", "head")).distinct(), "shingle-star")
+    """(node, component) of the classes that link with others."""
+    named = lambda df, end: df.select("key", "groups", *(F.col(c).alias(c + end) for c in ("fp", "n", "rare")))
+    first = Window.partitionBy("key", "groups").orderBy("fp")
+    heads = named(index.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= HEADS), "_head")
+    star = written(index.join(heads, ["key", "groups"]).where((F.col("fp") > F.col("fp_head")) & _may("", "_head", percent)).select(*_pair("fp", "fp_head")).distinct(), "shingle-star")
     links = written(verify(star), "shingle-links")
 
-    named = index.join(components(links), F.col("fp") == F.col("node"), "left").select("key", "fp", "n", F.coalesce("component", "fp").alias("of"))
-    several = named.groupBy("key", "of").count().groupBy("key").agg(F.max_by("of", "count").alias("most"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "most")
-    apart = written(named.join(several, "key"), "shingle-apart")
-    outside = apart.where("of <> most").select("key", F.col("fp").alias("x"), F.col("n").alias("n_x"), F.col("of").alias("of_x"))
-    partner = (F.col("of") != F.col("of_x")) & ((F.col("of") == F.col("most")) | (F.col("fp") > F.col("x"))) & _fit("n", "n_x", percent)
-    crossed = apart.join(outside, "key").where(partner).select(*_pair("fp", "x")).distinct().join(star, ["a", "b"], "left_anti")
+    of = index.join(components(links), F.col("fp") == F.col("node"), "left").select(*index.columns, F.coalesce("component", "fp").alias("of"))
+    several = of.groupBy("key", "groups", "of").count().groupBy("key", "groups").agg(F.max_by("of", "count").alias("most"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+    apart = written(of.join(several, ["key", "groups"]), "shingle-apart")
+    outside = apart.where("of <> most").select("key", "groups", F.col("fp").alias("fp_x"), F.col("n").alias("n_x"), F.col("rare").alias("rare_x"), F.col("of").alias("of_x"))
+    partner = (F.col("of") != F.col("of_x")) & ((F.col("of") == F.col("most")) | (F.col("fp") > F.col("fp_x"))) & _may("", "_x", percent)
+    crossed = apart.join(outside, ["key", "groups"]).where(partner).select(*_pair("fp", "fp_x")).distinct().join(star, ["a", "b"], "left_anti")
     return components(links.unionByName(verify(written(crossed, "shingle-crossed"))))
 
 
@@ -235,7 +251,7 @@ def linked_documents(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFram
     if not 50 < percent <= 100:
         raise ValueError("percent is above 50 and 100 at most")
     sets = marked(docs, k, percent)
-    found = linked(keys(sets, percent), lambda pairs: verified(pairs, docs, sets, k, percent), percent)
+    found = linked(indexed(docs, sets, k, percent), lambda pairs: verified(pairs, docs, sets, k, percent), percent)
     ids = sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"))
     of = ids.join(found, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("component", "fp").alias("of"))
     least = of.groupBy("of").agg(F.min("id").alias("component_id"))
