@@ -38,7 +38,7 @@ from .common import small_batches, trim, written
 from .packed import pack, unpack
 
 #: Shards: the lowered support of an even one is ceil(support / SHARDS).
-SHARDS = 40
+SHARDS = 8
 #: Words of a chunk that a task counts at once, phrases of a range at most (about), and the least number of ranges.
 CHUNK, RANGE, LEAST_RANGES = 1 << 20, 4 << 20, 64
 #: Bits of a phrase's hash while shards are mined.
