@@ -45,6 +45,8 @@ CHUNK, RANGE, LEAST_RANGES = 1 << 20, 4 << 20, 64
 HASH_BITS = 40
 #: Words that a task remembers between chunks.
 REMEMBERED = 1 << 21
+#: Phrases whose counts a task adds up before they become rows (and those of one chunk more).
+HELD = 1 << 20
 #: Lower-cases A-Z; what ends a piece becomes a line end, a tab a space.
 SIGNS = bytes(ord("\n") if chr(c) in ".,;:!?\n\v\f\r" else ord(" ") if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -198,12 +200,23 @@ def frequent(docs: DataFrame, support: int, longest: int) -> DataFrame:
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(locally_frequent(texts, support, longest))
 
+    def out(held: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+        for lang, own in held.items():
+            phrases = pa.array(own.keys(), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), phrases, pa.array(own.values(), pa.int64())], ["lang", "phrase", "f"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
+        bits, held = np.frombuffer(shared.value, np.uint8), {}
         for lang, ids, words in chunks(batches):
-            yield pa.RecordBatch.from_pydict({"lang": [lang], "phrase": [""], "f": pa.array([int((ids > 0).sum())], pa.int64())})
+            own = held.setdefault(lang, {})
+            own[b""] = own.get(b"", 0) + int((ids > 0).sum())
             for found, counts in _counted(lang, ids, words, bits, longest):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["lang", "phrase", "f"])
+                for phrase, n in zip(found, counts.tolist()):
+                    own[phrase] = own.get(phrase, 0) + n
+            if sum(map(len, held.values())) > HELD:
+                yield from out(held)
+                held.clear()
+        yield from out(held)
 
     rows = texts.mapInArrow(count, "lang string, phrase string, f long")
     return written(rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= support) | (F.col("phrase") == "")), "phrases")
