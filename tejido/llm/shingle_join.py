@@ -17,8 +17,8 @@ prefix of rare ones. The second takes the sets whose prefix isn't filled so, wit
 
 Equal sets are one class from the start, however many documents have them. Under each key all classes are first compared with a few
 of them (HEADS); what that leaves in different components is then compared, only classes outside a key's largest component
-looking for partners. All candidates of fitting sizes are verified with the complete sets. The texts asked for are shingled once
-more where they are read (a bit filter of a fixed size tells most others apart).
+looking for partners. All candidates of fitting sizes are verified with the complete sets, from the
+texts asked for (a bit filter of a fixed size tells most others apart where they are read).
 
 Null, empty and blank texts: no shingles, linked with nothing, their own component. A row is known by its text: repeated ids
 give one row each, with the component of the row's own text. A component without any id has a null component_id. An empty table gives no rows.
@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ from .components import components
 #: The share of the hash space from which rare shingles are taken, and the sets that one may be in.
 LOW, FREQUENT = 0.18, 48
 #: Classes of a key that all others under it are compared with at first.
-HEADS = 4
+HEADS = 2
 #: Words whose hashes a task remembers.
 REMEMBERED = 1 << 19
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -108,9 +109,9 @@ def _longs(hashes: list[int]) -> pa.Array:
 
 
 def marked(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, _text (a hash of the text), fp (of the set), n, and low: of a set that its task hasn't met yet, the shingles that are counted first."""
+    """doc_id, _row (a hash of id and text), fp (of the set), n, and low: of a set that its task hasn't met yet, the shingles that are counted first."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("_text"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("_row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
@@ -129,43 +130,48 @@ def marked(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 fps.append(fp)
                 ns.append(n)
                 lows.append(low)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_text"), _longs(fps), pa.array(ns, pa.int32()), _lists(lows)], ["doc_id", "_text", "fp", "n", "low"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_row"), _longs(fps), pa.array(ns, pa.int32()), _lists(lows)], ["doc_id", "_row", "fp", "n", "low"])
         trim()
 
-    return written(rows.mapInArrow(run, "doc_id long, _text long, fp long, n int, low array<long>"), "shingle-sets")
+    return written(rows.mapInArrow(run, "doc_id long, _row long, fp long, n int, low array<long>"), "shingle-sets")
 
 
-def _shingled(docs: DataFrame, sets: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """fp, n, s: the complete sets of the classes asked for (fp)."""
-    texts = sets.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("_text").alias("_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(filters.filter_of(texts, "_text"))
+def _read_again(docs: DataFrame, rows: DataFrame, took: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """took() of the rows (_row, text) of docs that are asked for by _row, and of few others (those that the bit filter lets through)."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters.filter_of(rows, "_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
-        bits, shingles, met = np.frombuffer(shared.value, np.uint8), Shingler(k), set()
+        bits = np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            fps, out = [], []
-            for text in b.column("text").filter(pa.array(filters.found(bits, b.column("_text").to_numpy().view(np.uint64)))):
-                s = shingles.set_of(text.as_py())
-                if (fp := xxh3_64_intdigest(s.tobytes())) not in met:
-                    met.add(fp)
-                    fps.append(fp)
-                    out.append(s)
-            yield pa.RecordBatch.from_arrays([_longs(fps), pa.array(map(len, out), pa.int32()), _lists(out)], ["fp", "n", "s"])
+            yield took(b.filter(pa.array(filters.found(bits, b.column("_row").to_numpy().view(np.uint64)))))
         trim()
 
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(F.xxhash64("text").alias("_text"), "text")
-    return written(rows.mapInArrow(run, "fp long, n int, s array<long>").join(asked, "fp", "left_semi").dropDuplicates(["fp"]), "shingle-whole")
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("_row"), text.alias("text")).mapInArrow(run, schema)
+
+
+def _whole(docs: DataFrame, sets: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """fp, n, s: the complete sets of the classes asked for (fp), and of few others; a set may come twice."""
+    first = sets.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("_row").alias("_row"))
+
+    def took(b: pa.RecordBatch) -> pa.RecordBatch:
+        from xxhash import xxh3_64_intdigest
+
+        shingles = Shingler(k)
+        found = [shingles.set_of(t) for t in b.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([_longs([xxh3_64_intdigest(s.tobytes()) for s in found]), pa.array(map(len, found), pa.int32()), _lists(found)], ["fp", "n", "s"])
+
+    return written(_read_again(docs, first, took, "fp long, n int, s array<long>").where("n > 0"), "shingle-whole")
 
 
-INDEX = "key long, groups int, fp long, n int, rare int"
+INDEX = "key long, groups int, fp long, n int, rare int, alone int"
 
 
 def prefixes(sets: DataFrame, percent: int, whole: bool) -> DataFrame:
     """INDEX: the keys of sets (fp, n, s). groups: 0 for a rare shingle, else the number of groups of a combination.
 
-    Without `whole`, s is part of a set; one whose prefix isn't filled gives a row of -1 groups instead of combinations.
+    alone: shingles that no other set has. A set with more of them than it may lack links with nothing and has no keys, two
+    sets with more of them than they may differ in don't link. Without `whole`, s is part of a set; one whose prefix isn't filled gives a row of -1 groups instead of combinations.
     """
     shingles = sets.select("fp", F.posexplode("s").alias("at", "h"))
     # Shingles of one set alone can't be shared; they only count as places in the order.
@@ -179,22 +185,24 @@ def prefixes(sets: DataFrame, percent: int, whole: bool) -> DataFrame:
             found = []
             for i, (n, size) in enumerate(zip(b.column("n").to_pylist(), b.column("size").to_pylist())):
                 at, h, often = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("at", "h", "often"))
-                h, often = h.view(np.uint64), often.astype(bool)
+                h, often, alone = h.view(np.uint64), often.astype(bool), size - len(h)
+                if alone > lacking(n, percent):
+                    continue
                 rare, prefix = size - int(often.sum()), lacking(n, percent) + 1
                 single = h[~often & (at - np.cumsum(often) < prefix)]
-                found.append((i, 0, rare, single))
+                found.append((i, 0, rare, alone, single))
                 if rare < prefix and not whole:
-                    found.append((i, -1, rare, np.zeros(1, np.uint64)))
+                    found.append((i, -1, rare, alone, np.zeros(1, np.uint64)))
                 elif rare < prefix:
                     most, groups = differing(n, 100 * n // percent, percent) - rare + 1, 1
                     while groups < 2 * most:
-                        found.append((i, groups, rare, combinations(h[often], groups)))
+                        found.append((i, groups, rare, alone, combinations(h[often], groups)))
                         groups *= 2
-            at, groups, rare = (np.array([x[j] for x in found], np.int64) for j in range(3))
-            times = np.array([len(x[3]) for x in found], np.int64)
-            keys = np.concatenate([np.zeros(0, np.uint64), *(x[3] for x in found)]).view(np.int64)
-            own = [np.repeat(x, times) for x in (groups, b.column("fp").to_numpy()[at], b.column("n").to_numpy()[at], rare)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own[0], pa.int32()), pa.array(own[1]), pa.array(own[2], pa.int32()), pa.array(own[3], pa.int32())], ["key", "groups", "fp", "n", "rare"])
+            at, groups, rare, alone = (np.array([x[j] for x in found], np.int64) for j in range(4))
+            times = np.array([len(x[4]) for x in found], np.int64)
+            keys = np.concatenate([np.zeros(0, np.uint64), *(x[4] for x in found)]).view(np.int64)
+            own = [pa.array(np.repeat(x, times)) for x in (groups, b.column("fp").to_numpy()[at], b.column("n").to_numpy()[at], rare, alone)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(x if i == 1 else x.cast(pa.int32()) for i, x in enumerate(own))], ["key", "groups", "fp", "n", "rare", "alone"])
 
     # A set that several tasks have met gives the same keys again.
     return written(met.mapInArrow(run, INDEX).distinct(), "shingle-keys")
@@ -204,34 +212,65 @@ def indexed(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame
     """INDEX of all classes: by the shingles that are counted first, and of those that lack a prefix there by all."""
     first = prefixes(sets.where("low is not null").select("fp", "n", F.col("low").alias("s")), percent, False)
     lacking_one = first.where("groups = -1").select("fp")
-    rest = prefixes(_shingled(docs, sets, lacking_one, k), percent, True)
+    rest = prefixes(_whole(docs, sets, lacking_one, k), percent, True)
     return first.where("groups >= 0").unionByName(rest)
 
 
 def _may(a: str, b: str, percent: int) -> Column:
     """Whether two rows of a key can link, and meet under as many groups as they need; a and b: what their columns end in."""
     one = lambda c: (F.col(f"{c}{a}"), F.col(f"{c}{b}"))
-    (n, m), (r, s) = one("n"), one("rare")
-    need = F.floor((100 - percent) * (n + m) / (100 + percent)) - r - s + 1
-    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    return sizes & ((F.col("groups") == 0) | (need <= F.col("groups")) & (2 * need > F.col("groups")))
+    (n, m), (r, s), (x, y) = one("n"), one("rare"), one("alone")
+    most = F.floor((100 - percent) * (n + m) / (100 + percent))
+    need = most - r - s + 1
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (x + y <= most) & ((F.col("groups") == 0) | (need <= F.col("groups")) & (2 * need > F.col("groups")))
 
 
 def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+#: Sets that a task keeps while pairs are verified.
+_KEPT = 64
+
+
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
-    whole = _shingled(docs, sets, written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "shingle-asked"), k)
-    side = lambda i: whole.select(F.col("fp").alias(i), F.col("s").alias(f"s_{i}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("c", F.size(F.array_intersect("s_a", "s_b")))
-    return both.where(100 * F.col("c") >= percent * (F.size("s_a") + F.size("s_b") - F.col("c"))).select("a", "b")
+    """The pairs (a, b) of classes that link. Compressed texts meet, which are a quarter of their sets in size."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    rows = written(sets.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("_row").alias("_row")), "shingle-asked")
+
+    def took(b: pa.RecordBatch) -> pa.RecordBatch:
+        press = zstandard.ZstdCompressor(level=3).compress
+        return pa.RecordBatch.from_arrays([b.column("_row"), pa.array([press(t.encode()) for t in b.column("text").to_pylist()], pa.binary())], ["_row", "z"])
+
+    texts = written(_read_again(docs, rows, took, "_row long, z binary"), "shingle-texts")
+    row = lambda i: rows.select(F.col("fp").alias(i), F.col("_row").alias(f"_row_{i}"))
+    text = lambda i: texts.select(F.col("_row").alias(f"_row_{i}"), F.col("z").alias(f"z_{i}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, kept, open_ = Shingler(k), {}, zstandard.ZstdDecompressor().decompress
+
+        def whole(fp: int, z: bytes) -> np.ndarray:
+            if fp not in kept:
+                if len(kept) >= _KEPT:
+                    kept.clear()
+                kept[fp] = shingles.set_of(open_(z).decode())
+            return kept[fp]
+
+        for batch in batches:
+            hit = []
+            for a, b, z_a, z_b in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "z_a", "z_b"))):
+                x, y = whole(a, z_a), whole(b, z_b)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                hit.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    met = pairs.join(row("a"), "a").join(row("b"), "b").join(text("a"), "_row_a").join(text("b"), "_row_b")
+    return met.select("a", "b", "z_a", "z_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def linked(index: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(node, component) of the classes that link with others."""
-    named = lambda df, end: df.select("key", "groups", *(F.col(c).alias(c + end) for c in ("fp", "n", "rare")))
+    named = lambda df, end: df.select("key", "groups", *(F.col(c).alias(c + end) for c in ("fp", "n", "rare", "alone")))
     first = Window.partitionBy("key", "groups").orderBy("fp")
     heads = named(index.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= HEADS), "_head")
     star = written(index.join(heads, ["key", "groups"]).where((F.col("fp") > F.col("fp_head")) & _may("", "_head", percent)).select(*_pair("fp", "fp_head")).distinct(), "shingle-star")
@@ -240,7 +279,7 @@ def linked(index: DataFrame, verify: Callable[[DataFrame], DataFrame], percent:
     of = index.join(components(links), F.col("fp") == F.col("node"), "left").select(*index.columns, F.coalesce("component", "fp").alias("of"))
     several = of.groupBy("key", "groups", "of").count().groupBy("key", "groups").agg(F.max_by("of", "count").alias("most"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
     apart = written(of.join(several, ["key", "groups"]), "shingle-apart")
-    outside = apart.where("of <> most").select("key", "groups", F.col("fp").alias("fp_x"), F.col("n").alias("n_x"), F.col("rare").alias("rare_x"), F.col("of").alias("of_x"))
+    outside = apart.where("of <> most").select("key", "groups", F.col("fp").alias("fp_x"), F.col("n").alias("n_x"), F.col("rare").alias("rare_x"), F.col("alone").alias("alone_x"), F.col("of").alias("of_x"))
     partner = (F.col("of") != F.col("of_x")) & ((F.col("of") == F.col("most")) | (F.col("fp") > F.col("fp_x"))) & _may("", "_x", percent)
     crossed = apart.join(outside, ["key", "groups"]).where(partner).select(*_pair("fp", "fp_x")).distinct().join(star, ["a", "b"], "left_anti")
     return components(links.unionByName(verify(written(crossed, "shingle-crossed"))))
