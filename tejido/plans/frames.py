@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,3 +118,21 @@ def shared_folder(spark) -> str:
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def state_of(spark, path: str) -> str:
+    """Names a table as it stands: its files, their sizes and times."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}{{,/*}}"))
+    said = sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files or ())
+    return hashlib.sha256("\n".join([path, *said]).encode()).hexdigest()[:32]
+
+
+def kept_index(spark, sf_dir: str, name: str, last: str, build, *tables: str) -> str:
+    """The folder of an index over the tables as they stand, built by build(folder) unless it is there. last: what is written last."""
+    state = hashlib.sha256("".join(state_of(spark, f"{sf_dir}/{t}.parquet") for t in tables).encode()).hexdigest()[:32]
+    folder = f"{shared_folder(spark)}/indexes/{name}-{state}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{last}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build(folder)
+    return folder
