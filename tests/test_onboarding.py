@@ -35,15 +35,15 @@ def test_descriptions(spark):
 def test_plans():
     assert len(paged.plan("shopify")) == 20 and paged.plan("magento", 120)[0].starts == [1, 2, 3]
     blocks = paged.plan("vtex", 2630, {"a": 2600, "b": 30}, beyond="leave")
-    assert {b.scope for b in blocks} == {"a", "b"} and max(s for b in blocks for s in b.starts) < 2500
+    assert {b.scope for b in blocks} == {"", "a", "b"} and max(s for b in blocks for s in b.starts) < 2500
     with pytest.raises(ValueError, match="2600"):
         paged.plan("vtex", 2630, {"a": 2600, "b": 30})
 
 
-@pytest.mark.parametrize("kind, options, n", [("shopify", {}, 600), ("magento", {"total": "120"}, 120), ("vtex", {"total": "70"}, 70), ("vtex", {"total": "2630", "scopes": "a=2600,b=30", "beyond": "leave"}, 2530)])
+@pytest.mark.parametrize("kind, options, n", [("shopify", {}, 600), ("magento", {"total": "120"}, 120), ("vtex", {"total": "70"}, 70), ("vtex", {"total": "2630", "scopes": "a=2600,b=30", "beyond": "leave", "fetcher": "tests.paged_double:fetch_large"}, 5030)])
 def test_paged_source(spark, kind, options, n):
     spark.dataSource.register(paged.PagedSource)
-    got = spark.read.format("shop_pages").options(kind=kind, fetcher="tests.paged_double:fetch", **options).load()
+    got = spark.read.format("shop_pages").options(**{"kind": kind, "fetcher": "tests.paged_double:fetch"} | options).load()
     assert got.count() == n and got.select("scope", "position").distinct().count() == n
     assert json.loads(got.first()["line"])
 
