@@ -120,19 +120,23 @@ def shared_folder(spark) -> str:
     return folder
 
 
-def state_of(spark, path: str) -> str:
-    """Names a table as it stands: its files, their sizes and times."""
+def _files(spark, path: str) -> list:
+    """What is at a path: the file, or the files of the folder; nothing if nothing is there."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}{{,/*}}"))
-    said = sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files or ())
-    return hashlib.sha256("\n".join([path, *said]).encode()).hexdigest()[:32]
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f for f in fs.listStatus(where) if f.isFile()] if fs.exists(where) else []
+
+
+def state_of(spark, path: str, oldest: bool = False) -> str:
+    """Names a table as it stands: its files, their sizes and times. oldest: by its oldest file only, so that a table that files are added to keeps its name."""
+    said = sorted((f.getModificationTime(), f.getPath().toString(), f.getLen()) for f in _files(spark, path))
+    return hashlib.sha256(repr((path, said[:1] if oldest else said)).encode()).hexdigest()[:32]
 
 
 def kept_index(spark, sf_dir: str, name: str, last: str, build, *tables: str) -> str:
     """The folder of an index over the tables as they stand, built by build(folder) unless it is there. last: what is written last."""
     state = hashlib.sha256("".join(state_of(spark, f"{sf_dir}/{t}.parquet") for t in tables).encode()).hexdigest()[:32]
     folder = f"{shared_folder(spark)}/indexes/{name}-{state}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{last}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+    if not _files(spark, f"{folder}/{last}/_SUCCESS"):
         build(folder)
     return folder

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import analytics as A
 from ..operators import onboarding as O
 from ..operators import storage as K
 from ..sources import platforms as P
 from ..streaming import price_stream as T
-from .frames import COLORS, GARMENTS, NOW, POINT_SQL, PRODUCT_SQL, STORE_SQL, at, points, products, shared_folder, sql_at, stores, table
+from .frames import COLORS, GARMENTS, NOW, POINT_SQL, PRODUCT_SQL, STORE_SQL, at, points, products, shared_folder, sql_at, state_of, stores, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -126,39 +125,41 @@ def pending_urls(spark, sf_dir):
     return o.join(done.union(skipped).distinct(), "o_orderkey", "left_anti")
 
 
-def _through_stream(spark: SparkSession, sf_dir: str, build, mode: str) -> DataFrame:
-    """Runs a stream over the events table's file to its end; Parquet parts and the stream's progress go to the shared folder.
+def _through_stream(spark: SparkSession, sf_dir: str, name: str, build, mode: str) -> DataFrame:
+    """Runs a stream over the events table's files to their end; Parquet parts and the stream's progress go to the shared folder.
 
-    Complete results are written once for each micro-batch, under its number, so a batch that is run again replaces its own rows.
+    The folder goes by the query and the table (its oldest file), so a run that broke is gone on with, and files that came since are all that is
+    read. Complete results are written once for each micro-batch, under its number, so a batch that is run again replaces its
+    own rows; the newest number in the folder has the result.
     """
-    at = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    source = f"{sf_dir}/events.parquet"
+    at = f"{shared_folder(spark)}/streams/{name}-{state_of(spark, source, oldest=True)}"
+    schema = spark.read.parquet(source).schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{sf_dir}/[e]vents.parquet")
     out = build(events)
     sink = out.writeStream.option("checkpointLocation", f"{at}/progress").outputMode(mode).trigger(availableNow=True)
     if mode == "append":
         sink.format("parquet").option("path", f"{at}/rows").start().awaitTermination()
         return spark.read.schema(out.schema).parquet(f"{at}/rows")
-    last = [0]
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
-        last[0] = number
 
     sink.foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{at}/rows/batch={last[0]}")
+    rows = spark.read.schema(StructType([*out.schema.fields, StructField("batch", LongType())])).parquet(f"{at}/rows")
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_window_counts(spark, sf_dir):
-    out = _through_stream(spark, sf_dir, T.window_counts, "complete")
+    out = _through_stream(spark, sf_dir, "window-counts", T.window_counts, "complete")
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT event_id, user_id FROM events")
 def stream_dedup_append(spark, sf_dir):
     """Every event comes twice and is appended once."""
-    return _through_stream(spark, sf_dir, lambda e: T.once(e.unionByName(e), ["event_id"]), "append").select("event_id", "user_id")
+    return _through_stream(spark, sf_dir, "dedup-append", lambda e: T.once(e.unionByName(e), ["event_id"]), "append").select("event_id", "user_id")
 
 
 _HOST_EVENTS = "e AS (SELECT cast(user_id % 20 AS VARCHAR) AS host, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS i, CASE WHEN event_type = 'error' THEN 503 ELSE 200 END AS status, value / 100 AS latency FROM events)"
