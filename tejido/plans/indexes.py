@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import search as S
 from ..operators import text_index, vector_index
+from ..operators.twins import twins
 from . import search as scans
 from .frames import kept_index, products, stores, table
 
@@ -37,3 +38,16 @@ def search_text_index(spark, sf_dir):
     folder = kept_index(spark, sf_dir, "titles", "counts", lambda to: text_index.build(products(spark, sf_dir), to), "part")
     found = text_index.search(text_index.TextIndex(folder, "title_normalized"), stores(spark, sf_dir), S.Filters(category="tops", max_cents=150000), scans.TEXT, 12)
     return found.select("product_uid", "store_slug", "title", "brand", "price", "distance")
+
+
+@query(
+    """WITH items AS (SELECT DISTINCT 's' || l_suppkey AS store, l_partkey AS key FROM lineitem UNION SELECT 't' || l_suppkey, l_partkey FROM lineitem WHERE l_linenumber <> 7),
+    sizes AS (SELECT store, count(*) AS n FROM items GROUP BY store),
+    shared AS (SELECT a.store AS store_a, b.store AS store_b, count(*) AS shared FROM items a JOIN items b ON a.key = b.key AND a.store < b.store GROUP BY ALL)
+    SELECT store_a, store_b, shared, a.n AS n_a, b.n AS n_b FROM shared JOIN sizes a ON a.store = store_a JOIN sizes b ON b.store = store_b WHERE 100 * shared >= 80 * (a.n + b.n - shared)"""
+)
+def same_catalogue(spark, sf_dir):
+    """Each supplier's parts under one domain, and all but a seventh of its lines under another."""
+    line = table(spark, sf_dir, "lineitem")
+    named = lambda df, letter: df.select(F.concat(F.lit(letter), F.col("l_suppkey").cast("string")).alias("store"), F.col("l_partkey").alias("key"))
+    return twins(named(line, "s").unionByName(named(line.where("l_linenumber <> 7"), "t")), 80)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import clean, fold
+from ..operators.running import before
 
 
 def jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -59,11 +60,43 @@ NEVER = (
 )
 
 
-def likely_first(urls: DataFrame, url: str = "url", position: str = "position", most: int = 8000) -> DataFrame:
-    """Addresses worth fetching, likely products first, each part in its own order."""
+class TooMany(ValueError):
+    """More addresses than are taken."""
+
+
+def likely_first(urls: DataFrame, url: str = "url", position: str = "position", most: int = 8000, beyond: str = "leave") -> DataFrame:
+    """Addresses worth fetching, likely products first, each part in its own order.
+
+    Of more than `most` the last are left (count_left says how many), or with beyond="raise" refused.
+    """
+    if beyond == "raise" and (left := count_left(urls, url, most)):
+        raise TooMany(f"{left} addresses beyond {most}")
     return urls.where(~F.col(url).rlike(NEVER)).orderBy(~F.col(url).rlike(LIKELY), position).limit(most)
 
 
+def count_left(urls: DataFrame, url: str = "url", most: int = 8000) -> int:
+    """How many addresses worth fetching likely_first leaves."""
+    return max(0, urls.where(~F.col(url).rlike(NEVER)).count() - most)
+
+
+#: Misses in a row, without a hit before, after which a shop is given up.
+HOPELESS = 60
+
+
+def until_hopeless(pages: DataFrame, url: str = "url", position: str = "position", hit: str = "hit", misses: int = HOPELESS) -> DataFrame:
+    """The pages that are asked for, in the order of likely_first: after so many misses and not one hit the rest is left.
+
+    hit: true for a product, false for none, null for a page that failed, which counts as neither. Positions are each once and
+    not below zero. Running counts are by blocks (running.py), so no task has all rows.
+    """
+    # The unlikely come behind all of the likely.
+    place = F.col(position) + F.when(F.col(url).rlike(LIKELY), 0).otherwise(1 << 40)
+    counts = {"_misses": (F.col(hit) == F.lit(False)), "_hits": F.col(hit)}
+    counted = before(pages.where(~F.col(url).rlike(NEVER)).withColumn("_place", place), "_place", {k: F.when(c, 1).otherwise(0) for k, c in counts.items()})
+    stop = counted.where((F.col("_hits") == 0) & (F.col("_misses") >= misses)).agg(F.min("_place")).first()[0]
+    return (counted if stop is None else counted.where(F.col("_place") < stop)).orderBy("_place").drop("_place", *counts)
+
+
 def from_url(url: Column) -> Column:
     """struct(external_id, handle, title_guess) of an address /p/{id}-{slug}; null for others."""
     pattern = r"/p/(\d+)-([^/?#]+)"
