@@ -12,7 +12,8 @@ of a bounded number of words, and sends each range of hashes as a packed row (2.
 range has its part of all shards, adds up each shard's counts and holds them against the shard's support; every row names the
 words of its chunk, so each range knows all totals. Ranges grow in number with the corpus. The union is a bit filter of a
 fixed size (bits.py), the only thing that goes through the driver: a collision costs work, never a phrase. Counting looks
-at a phrase only if its parts without the last and without the first word passed.
+at a phrase only if its parts without the last and without the first word passed; a task adds up what it has counted and sends
+it packed, by ranges of phrases, to be added up once more.
 
 Only phrases that reach the support are kept from there; scoring, ranking and the search for longer phrases that hold a
 phrase are joins and aggregations over these.
@@ -28,6 +29,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
@@ -136,12 +138,16 @@ def _summed(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def locally_frequent(docs: DataFrame, support: int, longest: int) -> bytes:
-    """The bit filter of all phrases that reach the lowered support of a shard; docs: lang, text."""
+def _ranges(docs: DataFrame, longest: int) -> int:
+    """Bits of the number of ranges into which phrases are dealt while shards are mined."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # A word and the sign after it are seldom under four bytes.
     bits = max(LEAST_RANGES, longest * size // 4 // RANGE).bit_length() - 1
-    bits = min(bits, filters.BITS - 3)
+    return min(bits, filters.BITS - 3)
+
+
+def locally_frequent(docs: DataFrame, support: int, longest: int, bits: int) -> bytes:
+    """The bit filter of all phrases that reach the lowered support of a shard; docs: lang, text; bits: see _ranges."""
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() % SHARDS
@@ -194,32 +200,55 @@ def _counted(lang: str, ids: np.ndarray, words: Words, bits: np.ndarray, longest
         yield [b" ".join([words.words[w] for w in ids[p : p + n].tolist()]) for p in at[first].tolist()], counts
 
 
+def _rows(held: dict[str, dict[bytes, int]], ranges: int) -> Iterator[pa.RecordBatch]:
+    """A packed row for each lang and range of phrases; a line end is in no phrase."""
+    from xxhash import xxh32_intdigest
+
+    press = zstandard.ZstdCompressor(level=1).compress
+    for lang, own in held.items():
+        dealt: dict[int, list[bytes]] = {}
+        for phrase in sorted(own):
+            dealt.setdefault(xxh32_intdigest(phrase) % ranges, []).append(phrase)
+        for r, phrases in dealt.items():
+            counts = pack(np.array([own[x] for x in phrases], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([lang], pa.string()), pa.array([press(b"\n".join(phrases))], pa.binary()), pa.array([counts], pa.binary())], ["range", "lang", "phrases", "counts"])
+
+
 def frequent(docs: DataFrame, support: int, longest: int) -> DataFrame:
     """lang, phrase, f of all phrases with f >= support, and of the empty phrase: f is all words of the lang."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(locally_frequent(texts, support, longest))
-
-    def out(held: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
-        for lang, own in held.items():
-            phrases = pa.array(own.keys(), pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), phrases, pa.array(own.values(), pa.int64())], ["lang", "phrase", "f"])
+    bits = _ranges(texts, longest)
+    shared = docs.sparkSession.sparkContext.broadcast(locally_frequent(texts, support, longest, bits))
+    # What is counted is a small part of what is mined.
+    ranges = max(LEAST_RANGES, (1 << bits) // 16)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held = np.frombuffer(shared.value, np.uint8), {}
+        passed, held = np.frombuffer(shared.value, np.uint8), {}
         for lang, ids, words in chunks(batches):
             own = held.setdefault(lang, {})
             own[b""] = own.get(b"", 0) + int((ids > 0).sum())
-            for found, counts in _counted(lang, ids, words, bits, longest):
+            for found, counts in _counted(lang, ids, words, passed, longest):
                 for phrase, n in zip(found, counts.tolist()):
                     own[phrase] = own.get(phrase, 0) + n
             if sum(map(len, held.values())) > HELD:
-                yield from out(held)
+                yield from _rows(held, ranges)
                 held.clear()
-        yield from out(held)
+        yield from _rows(held, ranges)
+
+    def add(rows: pa.Table) -> pa.Table:
+        sums: dict[str, dict[bytes, int]] = {}
+        for r in rows.to_pylist():
+            own = sums.setdefault(r["lang"], {})
+            for phrase, n in zip(zstandard.decompress(r["phrases"]).split(b"\n"), unpack(r["counts"])[0].tolist()):
+                own[phrase] = own.get(phrase, 0) + n
+        out = [(lang, phrase, n) for lang, own in sums.items() for phrase, n in own.items() if n >= support or not phrase]
+        trim()
+        langs, phrases, counts = zip(*out) if out else ((), (), ())
+        return pa.table({"lang": pa.array(langs, pa.string()), "phrase": pa.array(phrases, pa.binary()).cast(pa.string()), "f": pa.array(counts, pa.int64())})
 
-    rows = texts.mapInArrow(count, "lang string, phrase string, f long")
-    return written(rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= support) | (F.col("phrase") == "")), "phrases")
+    packed = texts.mapInArrow(count, "range int, lang string, phrases binary, counts binary")
+    return written(packed.groupBy("range").applyInArrow(add, "lang string, phrase string, f long"), "phrases")
 
 
 def lift(a: Column, n: Column, left: Column, right: Column) -> Column:
