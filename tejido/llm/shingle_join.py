@@ -16,7 +16,7 @@ This goes in two rounds. The first counts the shingles of a fixed share of the h
 prefix of rare ones. The second takes the sets whose prefix isn't filled so, with all their shingles, counted over these sets.
 
 Equal sets are one class from the start, however many documents have them. Under each key all classes are first compared with a few
-of them (HEADS); what that leaves in different components is then compared, only classes outside a key's largest component
+of them (HEADS, those with the fewest rare shingles); what that leaves in different components is then compared, only classes outside a key's largest component
 looking for partners. All candidates of fitting sizes are verified with the complete sets, from the
 texts asked for (a bit filter of a fixed size tells most others apart where they are read).
 
@@ -271,9 +271,10 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent
 def linked(index: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(node, component) of the classes that link with others."""
     named = lambda df, end: df.select("key", "groups", *(F.col(c).alias(c + end) for c in ("fp", "n", "rare", "alone")))
-    first = Window.partitionBy("key", "groups").orderBy("fp")
+    # The sets with the fewest rare shingles are the likeliest to be near to all others of a key.
+    first = Window.partitionBy("key", "groups").orderBy("rare", "fp")
     heads = named(index.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= HEADS), "_head")
-    star = written(index.join(heads, ["key", "groups"]).where((F.col("fp") > F.col("fp_head")) & _may("", "_head", percent)).select(*_pair("fp", "fp_head")).distinct(), "shingle-star")
+    star = written(index.join(heads, ["key", "groups"]).where((F.struct("rare", "fp") > F.struct("rare_head", "fp_head")) & _may("", "_head", percent)).select(*_pair("fp", "fp_head")).distinct(), "shingle-star")
     links = written(verify(star), "shingle-links")
 
     of = index.join(components(links), F.col("fp") == F.col("node"), "left").select(*index.columns, F.coalesce("component", "fp").alias("of"))

@@ -259,7 +259,7 @@ def brute_masks(rows, labels):
     for i, text, _ in rows:
         if i is not None:
             least[text or ""] = min(i, least.get(text or "", i))
-    good, toxic = ({i for i, *x in labels if x[j] == 1} for j in (0, 1))
+    good, toxic = ({i for i, *x in labels if x[j] == 1 and i is not None} for j in (0, 1))
     parts = collections.defaultdict(lambda: collections.defaultdict(lambda: (0, 0, 0)))
     for i, text, source in rows:
         t = text or ""
