@@ -24,6 +24,8 @@ class Reply:
     filters: S.Filters
     mode: str
     facets: DataFrame | None = None
+    #: Why the search went by words though there is a provider.
+    warning: str | None = None
 
 
 def _message(text: str) -> str:
@@ -41,21 +43,26 @@ def understood(spark: SparkSession, message: str, thread: tuple[str, ...] = (),
     return replace(S.Filters(**found.asDict()), **stated)
 
 
-def vector_of(text: str, provider: Provider | None) -> list[float] | None:
-    """A text's vector; null without a provider or when it fails, and the search goes by words then."""
+def vector_or_reason(text: str, provider: Provider | None) -> tuple[list[float] | None, str | None]:
+    """A text's vector, or none and why: without a provider, or when it fails, the search goes by words."""
     if provider is None:
-        return None
+        return None, None
     try:
-        return [float(x) for x in dict(provider([text]))[0]]
-    except Exception:  # noqa: BLE001  whatever a provider raises, an answer is still due
-        return None
+        return [float(x) for x in dict(provider([text]))[0]], None
+    except Exception as e:  # noqa: BLE001  whatever a provider raises, an answer is still due
+        return None, f"no vector ({type(e).__name__}), searching by words"
+
+
+def vector_of(text: str, provider: Provider | None) -> list[float] | None:
+    """A text's vector; null without a provider or when it fails."""
+    return vector_or_reason(text, provider)[0]
 
 
 def search_request(products: DataFrame, stores: DataFrame, message: str, provider: Provider | None = None, limit: int = 12, offset: int = 0, genero: str | None = None, canal: str | None = None, fresh_hours: int | None = 12) -> Reply:
     text = _message(message)
     filters = replace(understood(products.sparkSession, text, (), genero, canal), fresh_hours=fresh_hours)
-    vector = vector_of(text, provider)
-    return Reply(S.search(products, stores, filters, vector, text.lower(), limit, offset), filters, "words" if vector is None else "meaning")
+    vector, warning = vector_or_reason(text, provider)
+    return Reply(S.search(products, stores, filters, vector, text.lower(), limit, offset), filters, "words" if vector is None else "meaning", warning=warning)
 
 
 def chat_request(products: DataFrame, stores: DataFrame, message: str, thread: tuple[str, ...] = (), provider: Provider | None = None, limit: int = 12, genero: str | None = None, canal: str | None = None, fresh_hours: int | None = 12) -> Reply:
@@ -65,10 +72,10 @@ def chat_request(products: DataFrame, stores: DataFrame, message: str, thread: t
     text, spark = _message(message), products.sparkSession
     filters = replace(understood(spark, text, thread, genero, canal), fresh_hours=fresh_hours)
     asked = spark.range(1).select(questions.query_text(F.lit(text), F.array(*map(F.lit, thread)).cast("array<string>")).alias("t")).first()["t"]
-    vector = vector_of(asked, provider)
+    vector, warning = vector_or_reason(asked, provider)
     rows = S.search_relaxed(products, stores, filters, vector, text.lower(), limit)
     used = tuple(a for a in ("tela", "detalle") if getattr(filters, a))
-    return Reply(rows, filters, "words" if vector is None else "meaning", S.facets(rows, used))
+    return Reply(rows, filters, "words" if vector is None else "meaning", S.facets(rows, used), warning)
 
 
 def health(products: DataFrame, variants: DataFrame, points: DataFrame, stores: DataFrame) -> DataFrame:

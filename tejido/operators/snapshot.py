@@ -73,15 +73,15 @@ class Tables:
                 number = (identity or {}).get(name)
                 facts = self.spark.read.schema(df.schema).parquet(path).agg(F.count("*"), F.max(number) if number else F.lit(None)).first()
                 after[name] = {"path": path, "rows": facts[0], "last": max([x for x in (facts[1], before.get(name, {}).get("last")) if x is not None], default=None)}
-            return self._publish({"tables": after}, attempt)
+            return self._publish({"tables": after})
         except BaseException:
             path, fs = self._at(attempt)
             fs.delete(path, True)
             raise
 
-    def _publish(self, manifest: dict, attempt: str) -> int:
+    def _publish(self, manifest: dict) -> int:
         version = max(self.versions(), default=0) + 1
-        staged, fs = self._at(attempt, "manifest.json")
+        staged, fs = self._at("staged", f"{uuid.uuid4().hex}.json")
         out = fs.create(staged, False)
         try:
             out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
@@ -93,6 +93,12 @@ class Tables:
             raise Occupied(f"version {version} was published by another")
         return version
 
+    def reset(self, confirmed: bool = False) -> int:
+        """All tables gone from sight, numbers from one again; what they held stays until vacuum."""
+        if not confirmed:
+            raise Occupied("a reset leaves no table; it has to be confirmed")
+        return self._publish({"tables": {}})
+
     def vacuum(self, keep: int = 1) -> list[str]:
         """Takes away attempts that none of the last `keep` versions names; not while a restore is under way."""
         named = {v["path"].removeprefix(f"{self.folder}/").split("/")[1] for n in self.versions()[-keep:] for v in self.manifest(n)["tables"].values()}

@@ -97,6 +97,12 @@ def set_embeddings(products: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.withColumns({"embedding": F.coalesce("_embedding", "embedding"), "embedding_ia_at": F.when(hit, F.col("description_ia_at")).otherwise(F.col("embedding_ia_at"))}).select(products.columns)
 
 
+def set_descriptions(products: DataFrame, pairs: DataFrame, now: Column) -> DataFrame:
+    """Generated descriptions by product, with the time they came; a null one changes nothing. Of several of one product the first in order of text counts."""
+    new = pairs.where(F.col("description_ia").isNotNull()).groupBy("product_uid").agg(F.min("description_ia").alias("description_ia"))
+    return set_columns(products, new.withColumn("description_ia_at", now), "product_uid")
+
+
 def pending_embedding(products: DataFrame, only_generated: bool = False) -> DataFrame:
     """Products without a vector, or whose generated description changed since theirs was made."""
     stale = F.col("description_ia").isNotNull() & ~F.col("embedding_ia_at").eqNullSafe(F.col("description_ia_at"))
