@@ -21,6 +21,12 @@ def _first(choices: dict[str, Column]) -> Column:
     return out
 
 
+def _first_of(low: Column, words: dict[str, tuple], **how: bool) -> Column:
+    """The first choice that a text has a word of. One pattern of all words comes first: most texts have none, and need no other."""
+    choices = {name: low.rlike(word(ws, **how)) for name, ws in words.items()}
+    return F.when(low.rlike(word([w for ws in words.values() for w in ws], **how)), _first(choices))
+
+
 def own_filters(question: Column, fix_no_more: bool = True) -> dict[str, Column]:
     """The filters that one question names.
 
@@ -30,10 +36,9 @@ def own_filters(question: Column, fix_no_more: bool = True) -> dict[str, Column]
     group = lambda pattern, i: F.nullif(F.regexp_extract(low, pattern, i), F.lit(""))
     both = low.rlike(V.BETWEEN)
     lower = V.FROM.replace("(?:más de", "(?:(?<!no )más de") if fix_no_more else V.FROM
-    categories = {c: low.rlike(word(ws, plural=True)) for c, ws in V.CATEGORY_WORDS.items()}
-    garments = {c: low.rlike(word(w, plural=True)) for c, ws in V.CATEGORY_WORDS.items() if (w := [x for x in ws if x not in V.FABRIC_AND_CATEGORY])}
+    garments = {c: w for c, ws in V.CATEGORY_WORDS.items() if (w := tuple(x for x in ws if x not in V.FABRIC_AND_CATEGORY))}
     size = group(V.SIZE, 1)
-    begins = lambda axis: _first({label: low.rlike(word(keys, open_end=True)) for label, keys in V.AXES[axis].items()})
+    begins = lambda axis: _first_of(low, V.AXES[axis], open_end=True)
     return {
         "canal": F.when(F.greatest(*(F.contains(low, F.lit(w)) for w in V.WHOLESALE_WORDS)), "mayorista"),
         "genero": _first({g: low.rlike(p) for g, p in V.GENDER_PATTERNS.items()}),
@@ -41,8 +46,8 @@ def own_filters(question: Column, fix_no_more: bool = True) -> dict[str, Column]
         "detalle": begins("detalle"),
         "max_cents": F.when(both, spoken_cents(group(V.BETWEEN, 2), F.lit(None).cast("string"))).otherwise(spoken_cents(group(V.UPTO, 1), group(V.UPTO, 2))),
         "min_cents": F.when(both, spoken_cents(group(V.BETWEEN, 1), F.lit(None).cast("string"))).otherwise(spoken_cents(group(lower, 1), group(lower, 2))),
-        "category": F.coalesce(_first(garments), _first(categories)),
-        "color": _first({c: low.rlike(word(ws, plural=True)) for c, ws in V.COLOR_WORDS.items()}),
+        "category": F.coalesce(_first_of(low, garments, plural=True), _first_of(low, V.CATEGORY_WORDS, plural=True)),
+        "color": _first_of(low, V.COLOR_WORDS, plural=True),
         "size": F.upper(size),
     }
 
