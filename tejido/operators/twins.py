@@ -25,11 +25,13 @@ def twins(items: DataFrame, percent: int = 80, store: str = "store", key: str =
     below = (F.xxhash64("key") / F.lit(2.0**63) + 1) / 2 < share
     size = rows.groupBy("store").agg(F.count("*").alias("n"), F.count_if(below).alias("few"))
     lacks = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    sized = rows.withColumn("below", below).join(size.select("store", "n", (F.col("few") <= lacks).alias("small")), "store")
+    # least: keys below the bound that a partner must have as well.
+    sized = rows.withColumn("below", below).join(size.select("store", "n", (F.col("few") - lacks).alias("least"), (F.col("few") <= lacks).alias("small")), "store")
     side = lambda end, *more: sized.select(F.col("store").alias(f"store{end}"), "key", F.col("n").alias(f"n{end}"), *(F.col(c).alias(f"{c}{end}") for c in more))
-    both = side("_a", "below", "small").join(side("_b", "below", "small"), "key")
+    both = side("_a", "below", "small", "least").join(side("_b", "below", "small", "least"), "key")
     fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("store_a") < F.col("store_b"))
-    meet = both.where(fits & (F.col("below_a") | F.col("small_a") & F.col("small_b"))).select("store_a", "store_b", "n_a", "n_b").distinct()
+    found = both.where(fits & (F.col("below_a") | F.col("small_a") & F.col("small_b"))).groupBy("store_a", "store_b", "n_a", "n_b", "least_a", "least_b").agg(F.count_if("below_a").alias("c"))
+    meet = found.where(F.col("c") >= F.greatest("least_a", "least_b")).select("store_a", "store_b", "n_a", "n_b")
     of_a = meet.join(side("_a").select("store_a", "key"), "store_a")
     shared = of_a.join(side("_b").select("store_b", "key"), ["store_b", "key"]).groupBy("store_a", "store_b", "n_a", "n_b").agg(F.count("*").alias("shared"))
     return shared.where(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("store_a", "store_b", "shared", "n_a", "n_b")
