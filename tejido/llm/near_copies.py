@@ -1,19 +1,14 @@
 """Near copies by SimHash and the exact similarity of their word shingles: what the SimHash operator does in the pipeline.
 
 Two documents link if the sets of their five-word shingles (fewer words: the whole sequence) have a Jaccard similarity of
-0.8 or more; documents that link, directly or by others, form a component. No pair is missed: in one common order of all
-shingles, two such sets share one of the first n - ceil(0.8 n) + 1 of either, so each set stands in an index under these
-only. The order has the shingles last that are frequent in a sample; it bears on the number of candidates alone. Candidates
-whose sizes, places in the order or first shingles rule the similarity out are left, all others are verified with their complete sets.
-
-Documents with equal sets are one class from the start, and stand in the index once. Candidates come from two sources. The
-multi-index search of SimHash fingerprints (simhash.linked, over these shingles, three bits) gives the nearest pairs. Pairs
-of similarity 0.8 are about ten of 64 bits apart, which no multi-index of such short fingerprints can enumerate; they come
-from the index of first shingles. Each entry of the index first compares
-its classes with a few heads, those with the fewest shingles of their own before it, which are the likeliest to be near all
-others. What that leaves in different components is then compared, but only classes outside an entry's largest component
-look for partners: every pair across components has one of them. So a large group of near copies gives pairs in proportion
-to its size as long as most of it links through the heads.
+0.8 or more; documents that link, directly or by others, form a component. No pair is missed.
+
+Documents with equal sets are one class from the start. Candidates come from two sources. The multi-index search of SimHash
+fingerprints (simhash.linked, over these shingles, three bits) gives the nearest pairs. Pairs of similarity 0.8 are about ten of
+64 bits apart, which no multi-index of such short fingerprints can enumerate; they come from the keys of the shingle join
+(shingle_join.py): rare shingles by exact counts over all sets, and frequent ones only in combinations. So a line that very many
+documents have is no key by itself, and no shingle's documents are gathered in one row: keys are rows throughout. All
+candidates are verified with their complete sets.
 
 A component keeps the row of its smallest doc_id (nulls last, the first of several). Rows are told apart by a number of their own,
 so repeated and null ids lose nothing. Null, empty and blank texts have the empty set, and are one class. Shingles and
@@ -26,108 +21,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, written
-from .components import components
-from . import simhash
-from .simhash import SEED, first_rows, numbered, shingle_hashes
-
-WORDS = 5
-#: The least similarity, as a fraction of whole numbers.
-LEAST, OF = 4, 5
-#: Rows of the sample by which frequent shingles are told, and from how many of them on a shingle is frequent.
-SAMPLE, FREQUENT = 5_000, 3
-#: Classes of an entry that all of its classes are compared with at first.
-HEADS = 16
-
-
-def shingle_set(text: str | None) -> np.ndarray:
-    return np.unique(shingle_hashes(text or "", WORDS))
+from . import shingle_join, simhash
+from .common import small_batches, trim, written
+from .simhash import first_rows, numbered
 
-
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, "<u8"), *arrays]).view(np.int64), pa.int64()))
-
-
-def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several rows of a sample have, ascending, and how many."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingle_set(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, "<u8"), *found]).view(np.int64), pa.int64())], ["h"])
-
-    part = docs.select("text").sample(min(1.0, SAMPLE / max(1, docs.count())), 42)
-    rows = part.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT).collect()
-    hashes = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], np.array([r["count"] for r in rows], np.int64)[order]
+#: Words of a shingle, and the least similarity.
+WORDS, PERCENT = 5, 80
+#: The share of the hash space whose shingles are counted first: a set may lack a fifth of its shingles, and some are frequent.
+LOW = 0.28
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """docs with _row, _fp (a hash of the shingle set), _sim (its fingerprint), _n (its size) and _first (its first shingles in the common order)."""
-    from xxhash import xxh64_intdigest
-
+    """docs with _row, _key (a hash of id and text), _fp (a hash of the shingle set), _n (its size), _sim (its fingerprint) and _low: of a set that its task hasn't met yet, the shingles that are counted first."""
     small_batches(docs.sparkSession)
-    hashes, counts = _frequent(docs)
-
-    def first(s: np.ndarray) -> np.ndarray:
-        n = len(s)
-        if n and len(hashes):
-            at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
-            s = s[np.argsort(np.where(hashes[at] == s, counts[at], 0), kind="stable")]
-        return s[: n + 1 - -(-n * LEAST // OF)] if n else s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t) for t in b.column("text").to_pylist()]
-            fps = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            sims = np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)
-            sizes = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64()), pa.array(sims, pa.int64()), sizes, _lists([first(s) for s in sets])], [*b.schema.names, "_fp", "_sim", "_n", "_first"])
-
-    rows = numbered(docs)
-    schema = T.StructType([*rows.schema.fields, T.StructField("_fp", T.LongType()), T.StructField("_sim", T.LongType()), T.StructField("_n", T.IntegerType()), T.StructField("_first", T.ArrayType(T.LongType()))])
-    return written(rows.mapInArrow(run, schema), "near-copies-marked")
-
-
-def _may(x: Column, y: Column) -> Column:
-    """Whether two entries under one shingle can be as similar, if it is the first that they share."""
-    n = x["n"] + y["n"]
-    shared = F.least(x["n"] - x["at"], y["n"] - y["at"])
-    return (F.least(x["n"], y["n"]) * OF >= F.greatest(x["n"], y["n"]) * LEAST) & (shared * (LEAST + OF) >= n * LEAST)
-
-
-def _enough(shared: Column, a: str, b: str) -> Column:
-    return shared * (LEAST + OF) >= (F.col(a) + F.col(b)) * LEAST
+        from xxhash import xxh3_64_intdigest
 
-
-def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are as similar."""
-    side = lambda i: classes.select(F.col("_fp").alias(i), F.col("_n").alias(f"n_{i}"), F.col("_first").alias(f"first_{i}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    # What is not among the first of both is beyond the first of the one whose first end sooner.
-    beyond = F.greatest(F.col("n_a") - F.size("first_a"), F.col("n_b") - F.size("first_b"))
-    left = written(both.where(_enough(F.size(F.array_intersect("first_a", "first_b")) + beyond, "n_a", "n_b")).select("a", "b"), "near-copies-left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, met, edge = shingle_join.Shingler(WORDS), set(), np.uint64(int(LOW * 2**64))
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("_fp"), _lists([shingle_set(t) for t in b.column("text").to_pylist()])], ["_fp", "_set"])
-
-    asked = left.select(F.explode(F.array("a", "b")).alias("_fp")).distinct()
-    one = rows.select("_fp", "_row").join(asked, "_fp", "left_semi").groupBy("_fp").agg(F.min("_row").alias("_row"))
-    sets = written(rows.select("_row", "text").join(one, "_row").select("_fp", "text").mapInArrow(run, "_fp long, _set array<long>"), "near-copies-sets")
-    whole = lambda i: sets.select(F.col("_fp").alias(i), F.col("_set").alias(f"set_{i}"), F.size("_set").alias(f"n_{i}"))
-    both = left.join(whole("a"), "a").join(whole("b"), "b")
-    return both.where(_enough(F.size(F.array_intersect("set_a", "set_b")), "n_a", "n_b")).select("a", "b")
-
-
-def _by_fingerprint(classes: DataFrame) -> DataFrame:
+            fps, sims, ns, lows = [], [], [], []
+            for text in b.column("text"):
+                s = shingles.set_of(text.as_py() or "")
+                fp, low = xxh3_64_intdigest(s.tobytes()), None
+                # The smallest sets link with equal ones only.
+                if len(s) and fp not in met and 100 * len(s) // PERCENT > len(s):
+                    met.add(fp)
+                    low = s[: int(np.searchsorted(s, edge))]
+                fps.append(fp)
+                sims.append(simhash.majority(s))
+                ns.append(len(s))
+                lows.append(low)
+            longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, longs(fps), longs(sims), pa.array(ns, pa.int32()), shingle_join._lists(lows)], [*b.schema.names, "_fp", "_sim", "_n", "_low"])
+        trim()
+
+    rows = numbered(docs).withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    own = [T.StructField("_fp", T.LongType()), T.StructField("_sim", T.LongType()), T.StructField("_n", T.IntegerType()), T.StructField("_low", T.ArrayType(T.LongType()))]
+    return written(rows.mapInArrow(run, T.StructType([*rows.schema.fields, *own])), "near-copies-marked")
+
+
+def by_fingerprint(rows: DataFrame) -> DataFrame:
     """Candidate pairs (a, b): classes of one fingerprint with the smallest of them, and these across fingerprints three bits apart."""
+    classes = rows.where("_n > 0").select("_fp", "_sim").distinct()
     one = written(classes.groupBy(F.col("_sim").alias("fp")).agg(F.min("_fp").alias("id")), "near-copies-fingerprints")
     same = classes.join(one, F.col("_sim") == F.col("fp")).where("_fp <> id").select(F.least("_fp", "id").alias("a"), F.greatest("_fp", "id").alias("b"))
     return same.unionByName(simhash.linked(one).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
@@ -135,32 +75,11 @@ def _by_fingerprint(classes: DataFrame) -> DataFrame:
 
 def linked(rows: DataFrame) -> DataFrame:
     """(node, component) of the classes of marked rows that have a near copy."""
-    one = rows.where("_n > 0").groupBy("_fp").agg(F.min("_row").alias("_row"))
-    classes = written(rows.select("_row", "_fp", "_sim", "_n", "_first").join(one.select("_row"), "_row", "left_semi").drop("_row"), "near-copies-classes")
-    entries = classes.select("_fp", "_n", F.posexplode("_first").alias("at", "h")).repartition("h")
-    index = written(entries.groupBy("h").agg(F.collect_list(F.struct("at", F.col("_fp").alias("fp"), F.col("_n").alias("n"))).alias("es")).where(F.size("es") > 1), "near-copies-index")
-
-    def pairs(rows: DataFrame, other) -> DataFrame:
-        """Pairs of an entry's x with those of its es that may be as similar and that `other` allows.
-
-        A pair meets in many entries: partners are put together for each x before they become rows, each once.
-        """
-        x = F.col("x")
-        may = F.transform(F.filter("es", lambda y: other(x, y) & _may(x, y)), lambda y: y["fp"])
-        some = rows.select("x.fp", may.alias("ys")).where(F.size("ys") > 0).groupBy("fp").agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"))
-        return some.select("fp", F.explode("ys").alias("y")).select(F.least("fp", "y").alias("a"), F.greatest("fp", "y").alias("b"))
-
-    order = F.sort_array("es")
-    star = index.select(F.explode(F.slice(order, 1, HEADS)).alias("x"), "es")
-    compared = written(_by_fingerprint(classes).unionByName(pairs(star, lambda x, y: x < y)).distinct(), "near-copies-star")
-    links = written(_verified(compared, rows, classes), "near-copies-links")
-
-    named = index.select("h", F.explode("es").alias("e")).select("h", "e", F.col("e.fp").alias("node")).join(components(links), "node", "left")
-    kinds = named.select("h", F.struct("e.*", F.coalesce("component", "node").alias("of")).alias("e"))
-    apart = kinds.groupBy("h").agg(F.collect_list("e").alias("es"), F.mode("e.of", True).alias("most")).where(F.exists("es", lambda e: e["of"] != F.col("most")))
-    outside = apart.select(F.explode(F.filter("es", lambda e: e["of"] != F.col("most"))).alias("x"), "es", "most")
-    crossed = pairs(outside, lambda x, y: (x["of"] != y["of"]) & ((y["of"] == F.col("most")) | (x["fp"] < y["fp"]))).distinct().join(compared, ["a", "b"], "left_anti")
-    return components(links.unionByName(_verified(written(crossed, "near-copies-crossed"), rows, classes)))
+    docs = rows.select("doc_id", "text")
+    sets = rows.select(F.col("_key").alias("_row"), F.col("_fp").alias("fp"), F.col("_n").alias("n"), F.col("_low").alias("low"))
+    index = shingle_join.indexed(docs, sets, WORDS, PERCENT)
+    verify = lambda pairs: shingle_join.verified(pairs, docs, sets, WORDS, PERCENT)
+    return shingle_join.linked(index, verify, PERCENT, by_fingerprint(rows))
 
 
 def keep(docs: DataFrame) -> DataFrame:

@@ -268,13 +268,14 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent
     return met.select("a", "b", "z_a", "z_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def linked(index: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """(node, component) of the classes that link with others."""
+def linked(index: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, more: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the classes that link with others. more: pairs (a, b) of classes to be compared first as well."""
     named = lambda df, end: df.select("key", "groups", *(F.col(c).alias(c + end) for c in ("fp", "n", "rare", "alone")))
     # The sets with the fewest rare shingles are the likeliest to be near to all others of a key.
     first = Window.partitionBy("key", "groups").orderBy("rare", "fp")
     heads = named(index.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= HEADS), "_head")
-    star = written(index.join(heads, ["key", "groups"]).where((F.struct("rare", "fp") > F.struct("rare_head", "fp_head")) & _may("", "_head", percent)).select(*_pair("fp", "fp_head")).distinct(), "shingle-star")
+    star = index.join(heads, ["key", "groups"]).where((F.struct("rare", "fp") > F.struct("rare_head", "fp_head")) & _may("", "_head", percent)).select(*_pair("fp", "fp_head"))
+    star = written((star if more is None else star.unionByName(more)).distinct(), "shingle-star")
     links = written(verify(star), "shingle-links")
 
     of = index.join(components(links), F.col("fp") == F.col("node"), "left").select(*index.columns, F.coalesce("component", "fp").alias("of"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tejido.llm import bpe, counting, crf, encoding, hpylm, near_copies, neighbours, packing, quality_pu, quality_rules, sharding, simhash, suffix_dedup
+from tejido.llm import bpe, counting, crf, encoding, hpylm, near_copies, neighbours, packing, quality_pu, quality_rules, sharding, shingle_join, simhash, suffix_dedup
 from tejido.llm.common import written
 from tejido.llm.components import components
 
@@ -412,6 +412,22 @@ def test_pipeline_links_every_pair_as_similar_as_eight_tenths(spark, docs, texts
     assert counted(r["doc_id"] for r in near_copies.keep(docs).collect()) == brute_copies(texts)
 
 
+def test_a_line_of_many_documents_gives_no_pairs(spark, monkeypatch):
+    r, line = random.Random(3), " ".join(f"line{i}" for i in range(20))
+    said = [" ".join(f"w{r.randrange(9000)}" for _ in range(70)) for _ in range(500)]
+    rows = [(i, f"{x} {line}" if i % 2 else x) for i, x in enumerate(said)] + [(1000, said[1] + " " + line + " more")]
+    asked, verified = [], shingle_join.verified
+
+    def counting_(pairs, *rest):
+        asked.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(shingle_join, "verified", counting_)
+    kept = near_copies.keep(frame(spark, rows)).collect()
+    assert counted(x["doc_id"] for x in kept) == counted(range(500))
+    assert sum(asked) < 10
+
+
 # --- neighbours
 
 
