@@ -128,3 +128,19 @@ def test_the_whole_chain_of_a_shop(spark):
     # What an earlier pass has stands; a later one only adds.
     assert all(r["title"].startswith("otra ") == (u not in early) and r["embedding"] == [float(len(r["title"]))] for u, r in rows.items())
     assert [tuple(r) for r in out["counts"].collect()] == [("s", len(rows), len(rows))]
+
+
+def test_twins_send_few_rows_where_many_stores_share_some_keys(spark):
+    r = random.Random(5)
+    rows = [(f"s{i}", k) for i in range(600) for k in r.sample(range(400), 60)]
+    rows += [("twin", k) for s, k in rows if s == "s7"]
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+
+    def sent():
+        stages = tracker.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = sent()
+    assert [tuple(x) for x in twins(spark.createDataFrame(rows, "store string, key long")).collect()] == [("s7", "twin", 60, 60, 60)]
+    # Pairs of stores that share any key: about 180,000 here, and more for each task that counts them.
+    assert sent() - before < 3 * len(rows)
