@@ -10,6 +10,7 @@ from ..operators import analytics as A
 from ..operators import onboarding as O
 from ..operators import storage as K
 from ..sources import platforms as P
+from ..sources.pages import once
 from ..streaming import price_stream as T
 from .frames import COLORS, GARMENTS, NOW, POINT_SQL, PRODUCT_SQL, STORE_SQL, at, points, products, shared_folder, sql_at, state_of, stores, table
 
@@ -203,11 +204,16 @@ _COLOR = sql_at(COLORS, "p_partkey")
 _FAMILY = sql_at(("black", "red", "white", "green", "blue", "white", None), "p_partkey")
 
 
+#: Parts that one task makes into shop records and maps, a millisecond or less each.
+_A_TASK = 5000
+
+
 def _base(spark, sf_dir) -> DataFrame:
-    k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").withColumns({
-        "t": F.concat_ws(" ", at(GARMENTS, k), "p_name"), "c": at(COLORS, k), "price": F.bround("p_retailprice", 2), "handle": F.concat(F.lit("item-"), k.cast("string")), "ok": k % 3 != 0,
-    })
+    """Parts, dealt out by their number: they have few bytes for the work on them, so that files and shuffles split by size give few tasks."""
+    k, part = F.col("p_partkey"), table(spark, sf_dir, "part")
+    dealt = part.repartition(part.count() // _A_TASK + 1, "p_partkey")
+    # By `once`, since a mapper's filters would otherwise go below the dealing, with all the parsing that they need.
+    return once(dealt, t=F.concat_ws(" ", at(GARMENTS, k), "p_name"), c=at(COLORS, k), price=F.bround("p_retailprice", 2), handle=F.concat(F.lit("item-"), k.cast("string")), ok=k % 3 != 0)
 
 
 def _digest(mapped: DataFrame) -> DataFrame:
